@@ -3,7 +3,7 @@
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from darwise import values as V
 
@@ -28,15 +28,19 @@ def to_western_digits(c) -> Column:
     return F.translate(col(c), _DIGITS_FROM, _DIGITS_TO)
 
 
-@F.pandas_udf("string")
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def _nfkc_udf():
+    # Defined in here so that it travels by value: executors need no copy of
+    # this package.
+    def to_nfkc(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return F.pandas_udf(to_nfkc, T.StringType())
 
 
 def nfkc(c) -> Column:
     """Unicode NFKC. Only texts with characters it may change are sent to Python."""
     c = col(c)
-    return F.coalesce(_nfkc(F.when(c.rlike(_NFKC_SUSPECT), c)), c)
+    return F.coalesce(_nfkc_udf()(F.when(c.rlike(_NFKC_SUSPECT), c)), c)
 
 
 def _fold(c: Column) -> Column:
