@@ -120,9 +120,9 @@ def backtest(monthly: DataFrame, window: int = 6) -> DataFrame:
 
 
 def best_method() -> Column:
-    """The method of least error; of equal ones the first of the list."""
+    """The method of least error; of equal ones (to nine digits) the first of the list."""
     ranked = F.array(
-        *[F.struct(F.col(f"mae_{m}").alias("mae"), F.lit(i).alias("i"), F.lit(m).alias("method")) for i, m in enumerate(V.FORECAST_METHODS)]
+        *[F.struct(F.round(f"mae_{m}", 9).alias("mae"), F.lit(i).alias("i"), F.lit(m).alias("method")) for i, m in enumerate(V.FORECAST_METHODS)]
     )
     return F.array_min(ranked)["method"]
 

@@ -13,7 +13,7 @@ def units_with_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     The columns a query does not use are pruned from all five scans.
     """
     first_line = W.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount"
+        "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount", "l_quantity"
     )
     line = table(spark, sf_dir, "lineitem").withColumn("_rn", F.row_number().over(first_line)).filter("_rn = 1")
     return (
