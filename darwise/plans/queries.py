@@ -18,7 +18,7 @@ from darwise.operators import absorption as A, bm25, chunking, contracts as C, e
 from darwise.operators import routing, sqlgate, vectors
 from darwise.plans import contract_texts as CT, stand_in as S
 from darwise.session import configure
-from darwise.sources.files import split_by_length
+from darwise.sources.files import split_by_length, spread
 
 REGISTRY: dict = {}
 
@@ -206,14 +206,14 @@ def price_scored_units(spark, d):
 # --- text ----------------------------------------------------------------------------
 @query
 def tokens(spark, d):
-    docs = compute_once(S.table(spark, d, "documents").select("doc_id", "text"), {"_t": tokenize("text")}, ["doc_id"])
+    docs = compute_once(spread(S.table(spark, d, "documents").select("doc_id", "text"), "doc_id"), {"_t": tokenize("text")}, ["doc_id"])
     return docs.select("doc_id", F.size("_t").alias("n_tokens"), F.array_join("_t", " ").alias("tokens"))
 
 
 @query
 def term_stats(spark, d):
-    index = bm25.lexical_index(bm25.index_terms(S.table(spark, d, "documents"), chunk_id="doc_id"))
-    return index.term_stats
+    docs = spread(S.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return bm25.lexical_index(bm25.index_terms(docs, chunk_id="doc_id")).term_stats
 
 
 @query
@@ -282,7 +282,14 @@ def length_guard(spark, d):
 
 # --- chunks and search -------------------------------------------------------------------
 def _chunks(spark, d):
-    return chunking.chunk_documents(S.table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
+    docs = S.table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    return chunking.chunk_documents(spread(docs, "doc_id"))
+
+
+def _lexical(corpus):
+    """Index over a corpus used more than once in a query: terms and statistics are kept."""
+    terms = bm25.index_terms(corpus).persist()
+    return bm25.lexical_index(terms, bm25.lexical_index(terms).term_stats.persist())
 
 
 @query
@@ -323,7 +330,7 @@ def _item_queries(spark, d):
 
 @query
 def bm25_topk(spark, d):
-    index = bm25.lexical_index(bm25.index_terms(_chunks(spark, d)).persist())
+    index = _lexical(_chunks(spark, d))
     top = bm25.bm25_topk(_item_queries(spark, d), index)
     return top.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "bm25_rank")
 
@@ -364,7 +371,7 @@ def _vector_corpus(spark, d):
 
 def _hybrid(spark, d):
     corpus, asked = _vector_corpus(spark, d)
-    index = bm25.lexical_index(bm25.index_terms(corpus).persist())
+    index = _lexical(corpus)
     return corpus, fusion.hybrid_search(asked, corpus, index, corpus.select("chunk_id", "vector"), dim=64)
 
 
@@ -390,7 +397,7 @@ def hybrid_context(spark, d):
 def hybrid_ngrams(spark, d):
     """All chunks of all documents, ranked by BM25 and hashed n-gram vectors."""
     corpus = _chunks(spark, d).persist()
-    index = bm25.lexical_index(bm25.index_terms(corpus).persist())
+    index = _lexical(corpus)
     return fusion.hybrid_search(_item_queries(spark, d), corpus, index)
 
 
