@@ -311,7 +311,7 @@ SELECT (SELECT max(sale_date) FROM sales) AS as_of, s.*, (SELECT round(sum(sale_
 FROM status s, momentum m"""
     o["quarterly_median_ppsqm"] = _with(_STAND_IN) + """
 SELECT CAST(date_trunc('quarter', s.sale_date) AS DATE) AS quarter, p.name_en AS project_name,
-  round(median(s.sale_price_sar / nullif(u.area_sqm, 0)), 6) AS median_ppsqm
+  round(median(s.sale_price_sar / nullif(u.area_sqm, 0)) + 1e-9::DOUBLE, 6) AS median_ppsqm
 FROM sales s JOIN units u ON u.unit_id = s.unit_id JOIN projects p ON p.project_id = s.project_id GROUP BY 1, 2"""
     o["unit_stats"] = _with(_STAND_IN) + """
 SELECT project_id, unit_type, count(*) AS n_units, count(*) FILTER (WHERE status = 'available') AS available,

@@ -96,9 +96,9 @@ def kpi_snapshot(spark, d):
 @query
 def quarterly_median_ppsqm(spark, d):
     units, sales, projects = S.tables(spark, d)
-    return kpi.quarterly_median_ppsqm(kpi.sales_export(sales, units, projects)).withColumn(
-        "median_ppsqm", F.round("median_ppsqm", 6)
-    )
+    medians = kpi.quarterly_median_ppsqm(kpi.sales_export(sales, units, projects))
+    # Many medians end in a 5 after six digits; the offset takes them off the rounding border.
+    return medians.withColumn("median_ppsqm", F.round(F.col("median_ppsqm") + 1e-9, 6))
 
 
 @query
