@@ -19,6 +19,7 @@ from darwise.operators import routing, sqlgate, vectors
 from darwise.plans import contract_texts as CT, stand_in as S
 from darwise.session import configure
 from darwise.sources.files import split_by_length, spread
+from darwise.sources.scratch import stored
 
 REGISTRY: dict = {}
 
@@ -287,9 +288,10 @@ def _chunks(spark, d):
 
 
 def _lexical(corpus):
-    """Index over a corpus used more than once in a query: terms and statistics are kept."""
-    terms = bm25.index_terms(corpus).persist()
-    return bm25.lexical_index(terms, bm25.lexical_index(terms).term_stats.persist())
+    """Index over a corpus for one query: terms and statistics are written before they are read."""
+    terms = stored(bm25.index_terms(corpus))
+    index = bm25.lexical_index(terms, stored(bm25.lexical_index(terms).term_stats))
+    return index._replace(totals=stored(index.totals))
 
 
 @query
@@ -371,6 +373,7 @@ def _vector_corpus(spark, d):
 
 def _hybrid(spark, d):
     corpus, asked = _vector_corpus(spark, d)
+    corpus = stored(corpus)
     index = _lexical(corpus)
     return corpus, fusion.hybrid_search(asked, corpus, index, corpus.select("chunk_id", "vector"), dim=64)
 
@@ -396,7 +399,7 @@ def hybrid_context(spark, d):
 @query
 def hybrid_ngrams(spark, d):
     """All chunks of all documents, ranked by BM25 and hashed n-gram vectors."""
-    corpus = _chunks(spark, d).persist()
+    corpus = stored(_chunks(spark, d))
     index = _lexical(corpus)
     return fusion.hybrid_search(_item_queries(spark, d), corpus, index)
 
