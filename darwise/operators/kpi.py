@@ -37,15 +37,20 @@ def sales_totals(sales: DataFrame) -> DataFrame:
 def momentum(sales: DataFrame, months: int = 3) -> DataFrame:
     """Units and revenue of the last ``months`` before the last sale, and units of as many before.
 
-    Sales are first folded to one row per day; the windows then work on days,
-    so the sales table is read once.
+    Sales are folded to one row per day. The days of the calendar are few, so
+    they stand next to the last one in a single row and are looked at there:
+    the sales table is read once.
     """
     days = sales.groupBy("sale_date").agg(F.count(F.lit(1)).alias("n"), F.sum("sale_price_sar").alias("revenue"))
-    last = days.agg(F.max("sale_date")).scalar()
-    recent_from, before_from = months_back(last, months), months_back(last, 2 * months)
-    recent = F.col("sale_date") >= recent_from
-    before = (F.col("sale_date") < recent_from) & (F.col("sale_date") >= before_from)
-    return days.agg(
+    calendar = days.agg(F.max("sale_date").alias("last"), F.collect_list(F.struct("sale_date", "n", "revenue")).alias("days"))
+    calendar = calendar.select(
+        months_back("last", months).alias("recent_from"),
+        months_back("last", 2 * months).alias("before_from"),
+        F.inline("days"),
+    )
+    recent = F.col("sale_date") >= F.col("recent_from")
+    before = ~recent & (F.col("sale_date") >= F.col("before_from"))
+    return calendar.agg(
         F.coalesce(F.sum(F.when(recent, F.col("n"))), F.lit(0)).alias("units_sold"),
         F.round(F.sum(F.when(recent, F.col("revenue")))).alias("revenue_sar"),
         F.coalesce(F.sum(F.when(before, F.col("n"))), F.lit(0)).alias("units_sold_previous"),
@@ -107,8 +112,8 @@ def inventory_series(project_rows: DataFrame) -> DataFrame:
 def kpi_snapshot(units: DataFrame, sales: DataFrame, projects: DataFrame) -> DataFrame:
     """All figures as one nested row. The nested lists are as long as the project and type lists."""
 
-    def one_row(df, *cols):
-        return df.select(F.struct(*(cols or df.columns))).scalar()
+    def one_row(df):
+        return df.select(F.struct(*df.columns)).scalar()
 
     def listed(df, order, *cols):
         entries = F.sort_array(F.collect_list(F.struct(*order, F.struct(*cols).alias("_row"))))
@@ -116,15 +121,13 @@ def kpi_snapshot(units: DataFrame, sales: DataFrame, projects: DataFrame) -> Dat
 
     projects_now = by_project(units, sales, projects)
     types_now = by_unit_type(sales, units)
-    totals = sales_totals(sales)
     mix = financing_mix(sales).filter(F.col("payment_method").isNotNull())
-    spark = units.sparkSession
-    return spark.range(1).select(
-        one_row(totals, "as_of")["as_of"].alias("as_of"),
+    return sales_totals(sales).select(
+        "as_of",
         one_row(status_totals(units)).alias("units"),
-        one_row(totals, "revenue_sar_total")["revenue_sar_total"].alias("revenue_sar_total"),
+        "revenue_sar_total",
         one_row(momentum(sales)).alias("last_3_months"),
-        one_row(totals, "avg_discount_pct")["avg_discount_pct"].alias("avg_discount_pct"),
+        "avg_discount_pct",
         listed(
             projects_now, [(-F.col("sold")).alias("_o"), F.col("project").alias("_p")], *projects_now.columns
         ).alias("by_project"),
