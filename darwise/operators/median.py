@@ -8,14 +8,23 @@ one pass counts what lies below the band, and only the band is ranked.
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from darwise.sources.scratch import stored
+
 HOT_ROWS = 2_000_000
 _ACCURACY = 10_000
 _MARGIN = 0.0005  # five times the rank error the sketch allows itself
 
 
-def grouped_median(df: DataFrame, keys: list[str], value: str, name: str = "median", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``keys`` and the interpolated median of ``value``; nulls do not count."""
+def grouped_median(
+    df: DataFrame, keys: list[str], value: str, name: str = "median", hot_rows: int = HOT_ROWS, store: bool = True
+) -> DataFrame:
+    """``keys`` and the interpolated median of ``value``; nulls do not count.
+
+    The rows are read several times, so keys and values are stored first; pass
+    ``store=False`` for a table that is stored already.
+    """
     rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    rows = stored(rows) if store else rows
     known = rows.filter(F.col("_v").isNotNull())
     largest = known.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if largest <= hot_rows:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from darwise import values as V
 from darwise.functions.text import month_index, month_start
 from darwise.operators.median import grouped_median
+from darwise.sources.scratch import stored
 
 _TARGET = "sale_price_sar"
 _EPS = 2.220446049250313e-16  # smallest relative error of a double, the floor of a percentage base
@@ -100,9 +101,10 @@ def predict(model: PipelineModel, df: DataFrame, name: str = "predicted") -> Dat
 
 def baseline_ppsqm(train: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Median price per sqm by project and unit type, and over all (one row)."""
-    priced = train.select("project_id", "unit_type", F.try_divide(_TARGET, "area_sqm").alias("ppsqm"))
-    overall = grouped_median(priced.withColumn("_all", F.lit(1)), ["_all"], "ppsqm", "global_ppsqm")
-    return grouped_median(priced, ["project_id", "unit_type"], "ppsqm", "ppsqm"), overall.select("global_ppsqm")
+    priced = stored(train.select("project_id", "unit_type", F.try_divide(_TARGET, "area_sqm").alias("ppsqm")))
+    overall = grouped_median(priced.withColumn("_all", F.lit(1)), ["_all"], "ppsqm", "global_ppsqm", store=False)
+    grouped = grouped_median(priced, ["project_id", "unit_type"], "ppsqm", "ppsqm", store=False)
+    return grouped, overall.select("global_ppsqm")
 
 
 def predict_baseline(train: DataFrame, test: DataFrame, name: str = "baseline") -> DataFrame:
