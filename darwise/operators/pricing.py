@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from darwise import values as V
 from darwise.functions.text import month_index, month_start
 from darwise.operators.median import grouped_median
-from darwise.sources.scratch import stored
+from darwise.sources.scratch import scratch_folder, stored
 
 _TARGET = "sale_price_sar"
 _EPS = 2.220446049250313e-16  # smallest relative error of a double, the floor of a percentage base
@@ -60,9 +60,9 @@ def _checkpoints(df: DataFrame) -> None:
     """Boosting cuts its lineage in the folder the cluster names."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named:
-            sc.setCheckpointDir(named)
+        folder = scratch_folder(df.sparkSession)
+        if folder:
+            sc.setCheckpointDir(folder)
 
 
 def fit_price_model(train: DataFrame, seed: int = 42, iterations: int = V.GBT_ITERATIONS) -> PipelineModel:
