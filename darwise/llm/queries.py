@@ -32,5 +32,28 @@ def op4_substring_dedup(spark, d):
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op6_packing(spark, d):
+    from darwise.llm.packing import pack
+
+    return pack(table(spark, d, "documents"), vocabulary(), end_id=0, capacity=2048)
+
+
+@query
+def op9_token_files(spark, d):
+    from darwise.llm.token_files import read_tokens, write_tokens
+    from darwise.sources.scratch import scratch_path
+
+    folder = scratch_path(spark, "tokens")
+    write_tokens(table(spark, d, "documents"), folder, vocabulary(), end_id=1)
+    return read_tokens(spark, folder)
+
+
 def oracle_sql() -> dict[str, str]:
     return {}
