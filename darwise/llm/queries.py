@@ -24,6 +24,15 @@ def op1_suffix_dedup(spark, d):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op3_decontamination(spark, d):
+    from darwise.llm.decontaminate import decontaminate
+
+    out = decontaminate(texts(table(spark, d, "documents")), table(spark, d, "benchmark"))
+    sha = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), sha.alias("items_sha256"), "contaminated")
+
+
 @query
 def op4_substring_dedup(spark, d):
     from darwise.llm.substrings import dedup_substrings
