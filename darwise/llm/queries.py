@@ -24,6 +24,19 @@ def op1_suffix_dedup(spark, d):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+@query
+def op2_toxicity(spark, d):
+    from darwise.llm.toxicity import fit, score
+
+    docs, labels = texts(table(spark, d, "documents")), table(spark, d, "labels")
+    out = score(docs, fit(docs, labels.where(remainder(5) != 0)))
+    return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
 @query
 def op3_decontamination(spark, d):
     from darwise.llm.decontaminate import decontaminate
@@ -54,6 +67,14 @@ def op6_packing(spark, d):
     return pack(table(spark, d, "documents"), vocabulary(), end_id=0, capacity=2048)
 
 
+@query
+def op8_quality_rules(spark, d):
+    from darwise.llm.quality_rules import judge
+
+    out = judge(table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+
+
 @query
 def op9_token_files(spark, d):
     from darwise.llm.token_files import read_tokens, write_tokens
