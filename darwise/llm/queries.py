@@ -85,5 +85,12 @@ def op9_token_files(spark, d):
     return read_tokens(spark, folder)
 
 
+@query
+def op10_simhash(spark, d):
+    from darwise.llm.simhash import near_duplicates
+
+    return near_duplicates(texts(table(spark, d, "documents"))).select("doc_id", "fingerprint", "component_id")
+
+
 def oracle_sql() -> dict[str, str]:
     return {}
