@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from darwise.llm.tables import with_columns
-from darwise.llm.text import slices, worker_cache
+from darwise.llm.text import filled, slices, worker_cache
 
 WINDOW = 13
 BLOCK_BYTES = 32 << 20  # of item texts for one automaton
@@ -83,7 +83,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, item_
     final = with_columns(docs.schema, *ADDED)
 
     def finish(batches):
-        for batch in batches:
+        for batch in filled(batches):
             made = {f.name: [] for f in ADDED}
             for part in slices(batch.column("text")):
                 starts, ends, first = _words(part)
@@ -122,7 +122,7 @@ def _words(part):
 def _scan(patterns, key: str, schema: T.StructType, first: bool):
     def scan(batches):
         automaton = _automaton(key, patterns)
-        for batch in batches:
+        for batch in filled(batches):
             runs = [[] for _ in range(batch.num_rows)] if first else batch.column("_runs").to_pylist()
             items = [[] for _ in range(batch.num_rows)] if first else batch.column("_items").to_pylist()
             for part in slices(batch.column("text")) if len(automaton) else ():

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from darwise.llm.exchange import saved
 from darwise.llm.statistics import statistics
 from darwise.llm.tables import with_columns
-from darwise.llm.text import slices
+from darwise.llm.text import filled, slices
 
 # Ratio of a text, and which side is bad; a bound lies `REACH` interquartile ranges beyond the quartile, and at least
 # `margin` beyond it, as clean groups can be very even.
@@ -40,7 +40,7 @@ def with_figures(docs: DataFrame) -> DataFrame:
     schema = with_columns(bare, *(T.StructField(n, T.LongType()) for n in FIGURES))
 
     def run(batches):
-        for batch in batches:
+        for batch in filled(batches):
             made = {n: [] for n in FIGURES}
             for part in slices(batch.column("text")):
                 found = statistics(part)

@@ -67,6 +67,15 @@ def op6_packing(spark, d):
     return pack(table(spark, d, "documents"), vocabulary(), end_id=0, capacity=2048)
 
 
+@query
+def op7_language_model(spark, d):
+    from darwise.llm.language_model import fit, score
+
+    docs = texts(table(spark, d, "documents"))
+    out = score(docs, fit(docs.where(remainder(7) != 2)))
+    return out.select("doc_id", (remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op8_quality_rules(spark, d):
     from darwise.llm.quality_rules import judge

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from darwise.llm.components import connected
 from darwise.llm.exchange import saved
 from darwise.llm.tables import with_columns
-from darwise.llm.text import LOWER, SPACE, slices
+from darwise.llm.text import LOWER, SPACE, filled, slices
 
 SHINGLE, SEED, BITS = 3, 42, 3
 LONG_LIST = 50_000  # fingerprints in one list before it is split by a further byte
@@ -62,7 +62,7 @@ def with_fingerprints(docs: DataFrame, name: str = "_fp") -> DataFrame:
     schema = with_columns(docs.schema, T.StructField(name, T.LongType()))
 
     def run(batches):
-        for batch in batches:
+        for batch in filled(batches):
             found = [fingerprints(part) for part in slices(batch.column("text"))]
             made = pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([made if f.name == name else batch.column(f.name) for f in schema.fields], names=schema.names)
@@ -72,7 +72,7 @@ def with_fingerprints(docs: DataFrame, name: str = "_fp") -> DataFrame:
 
 def _entries(batches):
     """Each fingerprint under its 14 lists: the block's number and the four bytes."""
-    for batch in batches:
+    for batch in filled(batches):
         fp = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
         of = fp.view(np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8)
         for number, block in enumerate(BLOCKS):
@@ -81,7 +81,7 @@ def _entries(batches):
 
 def _fifth(batches):
     """Entries of long lists once under each further byte: at least one of the other four is shared too."""
-    for batch in batches:
+    for batch in filled(batches):
         fp = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
         number = batch.column("block").to_numpy(zero_copy_only=False)
         of = fp.view(np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -123,7 +123,7 @@ def spanning(fps: np.ndarray, cells: int = 1 << 20) -> tuple[np.ndarray, np.ndar
 
 
 def _links(batches):
-    for batch in batches:
+    for batch in filled(batches):
         a, b = [], []
         for fps in batch.column("fps"):
             x, y = spanning(np.array(fps.values.to_numpy(zero_copy_only=False)).view(np.uint64))

@@ -82,6 +82,11 @@ class Slice:
         return starts, ends, np.searchsorted(starts, self.off)
 
 
+def filled(batches):
+    """The batches that have rows."""
+    return (b for b in batches if b.num_rows)
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and bounds of a text or binary array; nulls are empty. No copy unless there are nulls."""
     if isinstance(column, pa.ChunkedArray):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from darwise.llm.kneser_ney_words import SharedBackoff, ngrams
 from darwise.llm.tables import with_columns
-from darwise.llm.text import worker_cache
+from darwise.llm.text import filled, worker_cache
 
 ORDER = 5
 SAMPLE = (3000, 1500)  # ordinary and toxic texts that the models learn from at most
@@ -92,7 +92,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, label: str, sizes: tuple[int,
 
 
 def _gram_counts(batches):
-    for batch in batches:
+    for batch in filled(batches):
         held: dict[tuple, int] = {}
         for text, label, half in zip(*(batch.column(c).to_pylist() for c in ("text", "_label", "_half"))):
             for word in set(words(text)):
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sizes: tuple[i
 
     def compare(batches):
         scorers = {}
-        for batch in batches:
+        for batch in filled(batches):
             out = []
             for text, half in zip(batch.column("text").to_pylist(), batch.column("_half").to_pylist()):
                 if half not in scorers:
@@ -144,7 +144,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         if cache.get("toxicity", (None,))[0] is not own:
             cache["toxicity"] = (own, Scorer(own.counts) if own.counts else None)
         scorer = cache["toxicity"][1]
-        for batch in batches:
+        for batch in filled(batches):
             found = [scorer.features(t.as_py()) if scorer else [0.0] * 3 for t in batch.column("text")]
             p = own.curve(np.array(found).reshape(-1, 3)) if found else np.zeros(0)
             made = {"score": pa.array(p, pa.float64()), "predicted": pa.array((p >= 0.5).astype(np.int32))}
