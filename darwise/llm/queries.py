@@ -60,6 +60,16 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query
+def op5_quality_classifier(spark, d):
+    from darwise.llm.exchange import saved
+    from darwise.llm.quality_model import fit, score, with_figures
+
+    measured = saved(spark, with_figures(texts(table(spark, d, "documents"))), "figures")
+    out = score(measured, fit(measured, table(spark, d, "labels").where(remainder(3) != 1)))
+    return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
 @query
 def op6_packing(spark, d):
     from darwise.llm.packing import pack
