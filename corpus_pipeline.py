@@ -1,8 +1,85 @@
-"""A training corpus from the table of documents, stage by stage."""
+"""A training corpus from the table of documents, stage by stage.
 
-STAGES: list = []
+Every stage takes ``(spark, docs, sf_dir)``; what it returns is written as
+Parquet and read again as the documents of the next. All but the last keep the
+columns of ``documents`` (extra columns stay as they are). An empty table passes
+every stage; null and empty texts, and null or repeated doc_ids, are treated as
+the operators in ``darwise/llm`` say.
+"""
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from darwise.llm.decontaminate import decontaminate
+from darwise.llm.exchange import saved
+from darwise.llm.packing import pack
+from darwise.llm.quality_model import fit, score, with_figures
+from darwise.llm.queries import remainder, table, vocabulary
+from darwise.llm.simhash import near_duplicates
+from darwise.llm.substrings import dedup_substrings
+from darwise.llm.tables import texts
+
+
+def sealed(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and everything else as ``_docs``, where no column of an operator can clash with it."""
+    rest = [c for c in docs.columns if c != "text"]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_docs"))
+
+
+def unsealed(out: DataFrame, docs: DataFrame) -> DataFrame:
+    return out.select(*(F.col("text") if c == "text" else F.col(f"_docs.`{c}`").alias(c) for c in docs.columns))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; rows of one doc_id are judged one by one."""
+    labels = table(spark, sf_dir, "labels").where(remainder(3) != 1)
+    model = fit(saved(spark, with_figures(texts(docs)), "figures"), labels)
+    # The figures are made again beside the texts, so that no text is shuffled.
+    judged = score(with_figures(sealed(docs), keep_text=True), model)
+    return unsealed(judged.where("predicted = 1"), docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of smallest doc_id stays, once if it is repeated."""
+    found = near_duplicates(texts(docs))
+    first = saved(spark, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct(), "first")
+    kept = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_first")), "left_semi")
+    return kept.dropDuplicates(["doc_id"])
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated windows of 20 words lose their words; a text that loses none stays as it was. ``n_chars`` is renewed."""
+    out = dedup_substrings(sealed(docs))
+    out = unsealed(out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))), docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    judged = decontaminate(sealed(docs), table(spark, sf_dir, "benchmark"))
+    return unsealed(judged.where("not contaminated"), docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents that are left, in sequences of at most 2048 tokens."""
+    return pack(docs, vocabulary(), end_id=0, capacity=2048)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Models, fingerprints and tokens are beyond SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = saved(spark, stage(spark, docs, sf_dir), name)
+    return docs
