@@ -4,10 +4,9 @@ from darwise import values as V
 
 _STAND_IN = """
 line AS (
-  SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY l_orderkey
-      ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_discount, l_quantity) AS rn
-    FROM lineitem) WHERE rn = 1),
+  SELECT l_orderkey, first(l_partkey ORDER BY l_linenumber, l_partkey) AS l_partkey, CAST(count(*) AS INTEGER) AS n_lines,
+    sum(l_quantity) AS quantity, max(l_shipdate) AS shipped, sum(l_extendedprice) AS gross, sum(l_extendedprice * (1 - l_discount)) AS net
+  FROM lineitem GROUP BY 1),
 base AS (
   SELECT * FROM orders
   JOIN line ON o_orderkey = l_orderkey
@@ -16,14 +15,14 @@ base AS (
   JOIN nation ON c_nationkey = n_nationkey),
 units AS (
   SELECT o_orderkey AS unit_id, n_nationkey AS project_id, n_name || '-' || o_orderkey AS unit_no, p_type AS unit_type,
-    l_linenumber AS bedrooms, CAST(l_quantity AS INTEGER) AS bathrooms, CAST(p_size AS DOUBLE) AS area_sqm,
-    CASE WHEN p_size > 10 THEN l_linenumber END AS floor, p_brand AS view, l_linenumber AS parking_spaces,
+    n_lines AS bedrooms, CAST(quantity AS INTEGER) AS bathrooms, CAST(p_size AS DOUBLE) AS area_sqm,
+    CASE WHEN p_size > 10 THEN n_lines END AS floor, p_brand AS view, n_lines AS parking_spaces,
     o_totalprice AS list_price_sar,
     CASE o_orderstatus WHEN 'F' THEN 'sold' WHEN 'O' THEN 'available' ELSE 'reserved' END AS status
   FROM base),
 sales AS (
-  SELECT o_orderkey AS sale_id, o_orderkey AS unit_id, n_nationkey AS project_id, CAST(l_shipdate AS DATE) AS sale_date,
-    l_extendedprice * (1 - l_discount) AS sale_price_sar, 100 * l_discount AS discount_pct,
+  SELECT o_orderkey AS sale_id, o_orderkey AS unit_id, n_nationkey AS project_id, CAST(shipped AS DATE) AS sale_date,
+    net AS sale_price_sar, 100 * (1 - net / gross) AS discount_pct,
     o_orderpriority AS payment_method, CASE WHEN o_orderpriority <> '5-LOW' THEN c_mktsegment END AS bank_name,
     n_name AS buyer_city
   FROM base WHERE o_orderstatus = 'F'),
@@ -229,10 +228,10 @@ cf AS (SELECT o_orderkey AS order_key, substr('ABCD', CAST(o_orderkey % 4 + 1 AS
     n_name AS project_name, r_name AS city, 'U-' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS unit_no,
     CASE WHEN p_type = 'ECONOMY' THEN 'apartment' WHEN p_type IN ('SMALL', 'MEDIUM') THEN 'townhouse' WHEN p_type = 'LARGE' THEN 'duplex' ELSE 'villa' END AS unit_type,
     CAST(p_size + 40 AS DOUBLE) AS area_sqm, total AS total_price_sar, method AS payment_method, CAST(down AS DOUBLE) AS down_payment_sar,
-    CAST(CASE method WHEN 'cash' THEN 0 WHEN 'installments' THEN l_linenumber + 4 ELSE 1 END AS INTEGER) AS installments_count,
-    CAST(CASE method WHEN 'cash' THEN 0.0 WHEN 'installments' THEN floor((total - down) / (l_linenumber + 4)) ELSE total - down END AS DOUBLE) AS installment_amount_sar,
+    CAST(CASE method WHEN 'cash' THEN 0 WHEN 'installments' THEN n_lines + 4 ELSE 1 END AS INTEGER) AS installments_count,
+    CAST(CASE method WHEN 'cash' THEN 0.0 WHEN 'installments' THEN floor((total - down) / (n_lines + 4)) ELSE total - down END AS DOUBLE) AS installment_amount_sar,
     CASE WHEN method = 'bank_financing' THEN 'Bank ' || upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) END AS bank_name,
-    strftime(l_shipdate, '%Y-%m-%d') AS delivery_date
+    strftime(shipped, '%Y-%m-%d') AS delivery_date
   FROM cf1)
 """
 
