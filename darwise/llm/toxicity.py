@@ -61,11 +61,11 @@ class Model:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 50) -> tuple:
-    """Newton's method, both classes of equal weight."""
+    """Ridge logistic regression by Newton's method; the rarer class weighs more, by the root of the ratio."""
     centre, scale = x.mean(0), x.std(0)
     scale[scale == 0] = 1
     z = np.column_stack([np.ones(len(x)), (x - centre) / scale])
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    share = np.where(y == 1, np.sqrt((y == 0).sum() / max(1, (y == 1).sum())), 1.0)
     w, ridge = np.zeros(z.shape[1]), penalty * np.diag([1e-6] + [1.0] * x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
