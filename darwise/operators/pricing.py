@@ -16,6 +16,7 @@ _TARGET = "sale_price_sar"
 _EPS = 2.220446049250313e-16  # smallest relative error of a double, the floor of a percentage base
 _TREE_DEPTH = 4  # up to 16 leaves, the depth next to 15
 _BINS = 255
+ROWS_PER_TASK = 50_000  # training rows that a task goes over for each level of a tree
 
 
 class PricingReport(NamedTuple):
@@ -68,9 +69,9 @@ def _checkpoints(df: DataFrame) -> None:
 def fit_price_model(train: DataFrame, seed: int = 42, iterations: int = V.GBT_ITERATIONS) -> PipelineModel:
     """Boosted trees on log price. Categories unknown to training share one code of their own."""
     _checkpoints(train)
-    data = _model_input(train).select(
-        *V.PRICE_CATEGORICAL, *V.PRICE_NUMERIC, F.log(_TARGET).alias("_log_price")
-    ).persist()
+    data = stored(_model_input(train).select(*V.PRICE_CATEGORICAL, *V.PRICE_NUMERIC, F.log(_TARGET).alias("_log_price")))
+    # Every tree is several passes over the rows: as few tasks as the size of the table asks for.
+    data = data.coalesce(max(1, -(-data.count() // ROWS_PER_TASK))).persist()
     try:
         codes = [f"_c_{c}" for c in V.PRICE_CATEGORICAL]
         indexer = StringIndexer(inputCols=V.PRICE_CATEGORICAL, outputCols=codes, handleInvalid="keep").fit(data)

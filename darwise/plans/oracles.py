@@ -189,10 +189,10 @@ lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id OR
 
 _VECTOR_CORPUS = f"""
 corpus AS (SELECT CAST(d.doc_id AS VARCHAR) AS chunk_id, d.doc_id, d.text, d.lang, d.source, CAST(e.embedding AS DOUBLE[]) AS v
-  FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
+  FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
 asked AS (SELECT b.item_id AS query_id, b.text, c.lang, c.source AS project_id, c.v FROM benchmark b JOIN corpus c ON c.doc_id = b.item_id),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS dense_rank FROM (
-  SELECT q.query_id, c.chunk_id, round(list_cosine_similarity(q.v, c.v), 9) AS s FROM asked q, corpus c)) WHERE dense_rank <= {V.CANDIDATES})
+  SELECT q.query_id, c.chunk_id, round(list_cosine_similarity(q.v, c.v), 9) AS s FROM asked q, corpus c WHERE q.v IS NOT NULL AND c.v IS NOT NULL)) WHERE dense_rank <= {V.CANDIDATES})
 """
 
 _FUSED = f"""
@@ -207,6 +207,19 @@ hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 _HYBRID = _with(_VECTOR_CORPUS, _bm25("corpus", "asked"), _FUSED)
 
 
+_LO, _HI = V.NGRAM_RANGE
+
+
+def _ngrams(name: str, source: str, key: str) -> str:
+    """CTE ``name(k, bucket, w)``: hashed n-gram vectors of the texts of a table."""
+    grams = [f"list_transform(range(1, greatest(length(p) - {n} + 2, 1)), lambda i: substr(p, i, {n}))" for n in range(_LO, _HI + 1)]
+    return f"""
+{name}_tf AS (SELECT k, CAST('0x' || substr(md5(g), 1, 8) AS BIGINT) % {V.VECTOR_DIM} AS bucket, count(*) AS tf
+  FROM (SELECT k, unnest(flatten([{', '.join(grams)}])) AS g FROM (SELECT {key} AS k, ' ' || lower(text) || ' ' AS p FROM {source})) GROUP BY 1, 2),
+{name} AS (SELECT k, bucket, CAST(ln(1 + tf) / sqrt(sum(ln(1 + tf) * ln(1 + tf)) OVER (PARTITION BY k)) AS FLOAT) AS w FROM {name}_tf)
+"""
+
+
 def _any(column: str, words) -> str:
     return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
 
@@ -369,7 +382,7 @@ SELECT 'baseline' AS predictor, round(avg(abs(y - p)), 6) AS mae, round(avg(abs(
     o["length_guard"] = f"SELECT role, length({_strip('text')}) >= 20 AS accepted, count(*) AS n FROM conversations GROUP BY 1, 2"
     o["chunks"] = _with(_CHUNKS, recursive=True) + "SELECT chunk_id, doc_id, text, lang, source, title FROM chunks"
     o["markdown_chunks"] = """
-SELECT 'c' || c_custkey || '#' || n AS chunk_id, 'c' || c_custkey AS doc_id,
+SELECT '/sheets/c' || c_custkey || '.md#' || n AS chunk_id, 'c' || c_custkey AS doc_id,
   c_name || chr(10) || CASE n WHEN 0 THEN '## Balance' || chr(10) || 'The balance is ' || CAST(CAST(c_acctbal AS DECIMAL(18, 2)) AS VARCHAR) || '.' || chr(10) || '#### Note' || chr(10) || 'not a section'
     ELSE '### Segment: ' || c_mktsegment || chr(10) || chr(10) || '- nation ' || c_nationkey END AS text,
   'P' || c_nationkey AS project_id, 'sheet-' || c_custkey AS source, c_name AS title
@@ -385,6 +398,17 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, v
   SELECT query_id, vec_id, round(list_cosine_similarity(v, CAST(embedding AS DOUBLE[])), 9) AS s FROM means, embeddings))
 SELECT query_id, vec_id, round(s, 6) AS score, dense_rank FROM ranked WHERE dense_rank <= {V.CANDIDATES}"""
     o["hybrid_rrf"] = _HYBRID + "SELECT query_id, chunk_id, round(s9, 6) AS score, bm25_rank, dense_rank, rank FROM hits"
+    near = f"""near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS dense_rank FROM (
+  SELECT query_id, chunk_id, coalesce(s, 0) AS s FROM (SELECT query_id, chunk_id FROM items, chunks) LEFT JOIN (
+    SELECT q.k AS query_id, c.k AS chunk_id, round(sum(CAST(q.w AS DOUBLE) * CAST(c.w AS DOUBLE)), 9) AS s FROM qvec q JOIN cvec c USING (bucket) GROUP BY 1, 2)
+  USING (query_id, chunk_id))) WHERE dense_rank <= {V.CANDIDATES})"""
+    asked = "asked AS (SELECT query_id, text, CAST(NULL AS VARCHAR) AS lang, CAST(NULL AS VARCHAR) AS project_id FROM items)"
+    o["hybrid_ngrams"] = _with(
+        _CHUNKS, items, asked, "corpus AS (SELECT * FROM chunks)", _ngrams("qvec", "items", "query_id"), _ngrams("cvec", "chunks", "chunk_id"),
+        near, _bm25("chunks", "items"), _FUSED, recursive=True,
+    ) + "SELECT query_id, chunk_id, round(s9, 6) AS score, bm25_rank, dense_rank, rank FROM hits"
+    o["ngram_vectors"] = _with(_ngrams("vec", "documents", "doc_id")) + """
+SELECT k AS doc_id, CAST(count(*) AS INTEGER) AS n_buckets, CAST(sum(bucket) AS BIGINT) AS bucket_sum, round(sum(CAST(w AS DOUBLE) * (bucket % 7)), 4) AS weighed FROM vec GROUP BY 1"""
     o["hybrid_sources"] = _HYBRID + """
 SELECT query_id, string_agg(source, ',' ORDER BY r) AS sources FROM (SELECT query_id, source, min(rank) AS r FROM hits GROUP BY 1, 2) GROUP BY 1"""
     o["hybrid_context"] = _HYBRID + """
@@ -396,7 +420,7 @@ SELECT query_id, 'DOCUMENT EXCERPTS:' || chr(10) || string_agg('[' || rank || ']
 SELECT conv_id, turn, role, lang, route, project_id, route <> 'inventory' AS needs_documents, route <> 'docs' AS needs_inventory FROM (
   SELECT conv_id, turn, role, {language} AS lang, CASE WHEN {inv} AND {doc} THEN 'both' WHEN {inv} THEN 'inventory' ELSE 'docs' END AS route,
     {_project_case(q)} AS project_id FROM conversations)"""
-    o["recent_turns"] = """SELECT conv_id, turn, role, n_chars FROM (SELECT conv_id, turn, role, CAST(length(text) AS INTEGER) AS n_chars,
+    o["recent_turns"] = """SELECT conv_id, turn, role, text FROM (SELECT conv_id, turn, role, text,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 6"""
     o["sql_gate"] = _with(_GATE_TEXT) + """
 SELECT p_partkey, CASE WHEN reason IS NULL THEN 'safe' ELSE 'unsafe' END AS verdict, reason, CASE WHEN reason IS NOT NULL THEN NULL

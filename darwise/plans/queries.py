@@ -354,9 +354,12 @@ def dense_topk(spark, d):
 
 
 def _vector_corpus(spark, d):
-    """Documents with a stored vector, and benchmark items with the vector, language and source of their number."""
+    """All documents, with the stored vector some have, and benchmark items with vector, language and source of their number.
+
+    Documents without a vector take part by their words.
+    """
     vec = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    docs = S.table(spark, d, "documents").join(vec, "doc_id")
+    docs = S.table(spark, d, "documents").join(vec, "doc_id", "left")
     corpus = docs.select(
         F.col("doc_id").cast("string").alias("chunk_id"),
         "doc_id",
@@ -400,14 +403,15 @@ def hybrid_ngrams(spark, d):
     """All chunks of all documents, ranked by BM25 and hashed n-gram vectors."""
     corpus = stored(_chunks(spark, d))
     index = _lexical(corpus)
-    return fusion.hybrid_search(_item_queries(spark, d), corpus, index)
+    return fusion.hybrid_search(_item_queries(spark, d), corpus, index).withColumn("score", F.round("score", 6))
 
 
 @query
 def ngram_vectors(spark, d):
-    v = vectors.hashed_ngrams(S.table(spark, d, "benchmark"))
-    square = F.aggregate("vector.weights", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return v.select("item_id", F.size("vector.buckets").alias("n_buckets"), F.round(square, 3).alias("square_norm"))
+    v = vectors.hashed_ngrams(spread(S.table(spark, d, "documents").select("doc_id", "text"), "doc_id"))
+    total = F.aggregate("vector.buckets", F.lit(0).cast("long"), lambda s, x: s + x)
+    weighed = F.aggregate(F.arrays_zip("vector.weights", "vector.buckets"), F.lit(0.0), lambda s, x: s + x["weights"].cast("double") * (x["buckets"] % 7))
+    return v.select("doc_id", F.size("vector.buckets").alias("n_buckets"), total.alias("bucket_sum"), F.round(weighed, 4).alias("weighed"))
 
 
 # --- questions and SQL -----------------------------------------------------------------------
@@ -419,7 +423,7 @@ def route_questions(spark, d):
 
 @query
 def recent_turns(spark, d):
-    return routing.recent_turns(S.table(spark, d, "conversations")).select("conv_id", "turn", "role", F.length("text").alias("n_chars"))
+    return routing.recent_turns(S.table(spark, d, "conversations")).select("conv_id", "turn", "role", "text")
 
 
 @query

@@ -1,5 +1,10 @@
-"""Search index as Parquet tables: build, load with checks, load or build."""
+"""Search index as Parquet tables: build, load with checks, load or build.
 
+Every build writes a folder of its own; one pointer row, written last, names the
+folder that holds. A build that breaks off leaves the index before it as it was.
+"""
+
+import uuid
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
@@ -27,40 +32,54 @@ def build_index(
     dim: int = V.VECTOR_DIM,
     vectors: DataFrame | None = None,
 ) -> None:
-    """Write the tables of an index. Each is written from the stored one it depends on."""
+    """Write the tables of an index, each from the stored one it depends on, check them, and point to them.
+
+    No chunks, a repeated chunk_id, or vectors for other chunks are errors.
+    """
     spark = chunks.sparkSession
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    stored = spark.read.parquet(f"{path}/chunks")
-    n = stored.count()
+    version = f"version-{uuid.uuid4().hex}"
+    at = f"{path}/{version}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{at}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{at}/{name}")
+
+    stored = kept(chunks, "chunks")
+    n, distinct = stored.agg(F.count(F.lit(1)), F.count_distinct("chunk_id")).first()
     if n == 0:
         raise ValueError("no chunks to index")
-    index_terms(stored).write.mode("overwrite").parquet(f"{path}/terms")
-    lexical_index(spark.read.parquet(f"{path}/terms")).term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
-    lexical_index(spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/term_stats")).totals.write.mode("overwrite").parquet(f"{path}/totals")
+    if n != distinct:
+        raise ValueError("chunk ids are repeated")
+    terms = kept(index_terms(stored), "terms")
+    stats = kept(lexical_index(terms).term_stats, "term_stats")
+    kept(lexical_index(terms, stats).totals, "totals")
     if vectors is None:
         vectors = hashed_ngrams(stored.select("chunk_id", "text"), dim=dim).drop("text")
-    vectors.select("chunk_id", "vector").write.mode("overwrite").parquet(f"{path}/vectors")
-    if spark.read.parquet(f"{path}/vectors").count() != n:
-        raise ValueError("chunks and vectors differ in number")
-    # The meta row goes last: an index without it is not complete.
-    meta = spark.range(1).select(F.lit(embedder).alias("embedder"), F.lit(dim).alias("dim"), F.lit(n).cast("long").alias("n"))
-    meta.write.mode("overwrite").parquet(f"{path}/index_meta")
+    held = kept(vectors.select("chunk_id", "vector"), "vectors")
+    if held.count() != n or held.join(stored, "chunk_id", "left_anti").limit(1).count():
+        raise ValueError("chunks and vectors differ")
+    pointer = spark.range(1).select(F.lit(version).alias("version"), F.lit(embedder).alias("embedder"), F.lit(dim).alias("dim"), F.lit(n).cast("long").alias("n"))
+    pointer.coalesce(1).withColumn("built_at", F.current_timestamp()).write.mode("append").parquet(f"{path}/index_meta")
 
 
-def load_index(spark: SparkSession, path: str, embedder: str = HASHED) -> SearchIndex:
-    """The stored index; an index of another embedder is refused."""
-    meta = spark.read.parquet(f"{path}/index_meta").first()
+def load_index(spark: SparkSession, path: str, embedder: str = HASHED, dim: int | None = None) -> SearchIndex:
+    """The index built last; another embedder or dimension, or tables of other sizes than noted, are refused."""
+    meta = spark.read.parquet(f"{path}/index_meta").orderBy(F.desc("built_at")).first()
     if meta["embedder"] != embedder:
         raise ValueError(f"index was built with {meta['embedder']!r}, not {embedder!r}; build it again")
-    read = lambda name: spark.read.parquet(f"{path}/{name}")
-    lexical = LexicalIndex(read("terms"), read("term_stats"), read("totals"))
-    return SearchIndex(read("chunks"), lexical, read("vectors"), meta["embedder"], meta["dim"])
+    if dim is not None and meta["dim"] != dim:
+        raise ValueError(f"index was built with {meta['dim']} dimensions, not {dim}; build it again")
+    read = lambda name: spark.read.parquet(f"{path}/{meta['version']}/{name}")
+    chunks, vectors = read("chunks"), read("vectors")
+    if {chunks.count(), vectors.count()} != {meta["n"]}:
+        raise ValueError("index tables differ in number from what was built; build it again")
+    return SearchIndex(chunks, LexicalIndex(read("terms"), read("term_stats"), read("totals")), vectors, meta["embedder"], meta["dim"])
 
 
 def load_or_build(chunks: DataFrame, path: str, embedder: str = HASHED, dim: int = V.VECTOR_DIM) -> SearchIndex:
     spark = chunks.sparkSession
     try:
-        return load_index(spark, path, embedder)
+        return load_index(spark, path, embedder, dim)
     except (AnalysisException, ValueError):
         build_index(chunks, path, embedder, dim)
-        return load_index(spark, path, embedder)
+        return load_index(spark, path, embedder, dim)
