@@ -138,15 +138,14 @@ def kpi_snapshot(units: DataFrame, sales: DataFrame, projects: DataFrame) -> Dat
     )
 
 
-def quarterly_median_ppsqm(features: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def quarterly_median_ppsqm(features: DataFrame) -> DataFrame:
     """Median achieved price per sqm by quarter and project name, in long form."""
     priced = features.select(
         quarter_start("sale_date").alias("quarter"),
         "project_name",
         F.try_divide("sale_price_sar", "area_sqm").alias("ppsqm"),
     )
-    extra = {} if hot_rows is None else {"hot_rows": hot_rows}
-    return grouped_median(priced, ["quarter", "project_name"], "ppsqm", "median_ppsqm", **extra)
+    return grouped_median(priced, ["quarter", "project_name"], "ppsqm", "median_ppsqm")
 
 
 def pivot_quarters(medians: DataFrame, projects: list[str]) -> DataFrame:

@@ -1,40 +1,17 @@
-"""Exact grouped medians that survive a group holding most of the rows.
+"""Exact grouped medians, whatever the size of a group.
 
-The built-in ``median`` keeps all values of a group in one task. That is fine
-up to a checked group size. Beyond it the rank is found in three passes that
-each aggregate on the map side: a sketch gives a narrow band around the middle,
-one pass counts what lies below the band, and only the band is ranked.
+Equal values fold into one row with a count, the rows are written once in order
+of group and value, and each middle value is found from prefix sums: of the
+written parts within a group, then of the rows within a part. A group that holds
+most of the rows is spread over many parts, and one path serves all sizes.
 """
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from darwise.sources.scratch import stored
 
-HOT_ROWS = 2_000_000
-_ACCURACY = 10_000
-_MARGIN = 0.0005  # five times the rank error the sketch allows itself
 
-
-def grouped_median(
-    df: DataFrame, keys: list[str], value: str, name: str = "median", hot_rows: int = HOT_ROWS, store: bool = True
-) -> DataFrame:
-    """``keys`` and the interpolated median of ``value``; nulls do not count.
-
-    The rows are read several times, so keys and values are stored first; pass
-    ``store=False`` for a table that is stored already.
-    """
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
-    rows = stored(rows) if store else rows
-    known = rows.filter(F.col("_v").isNotNull())
-    largest = known.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= hot_rows:
-        return rows.groupBy(*keys).agg(F.median("_v").alias(name))
-    # A key without values keeps its row.
-    all_keys = rows.select(*keys).distinct()
-    return _join_keys(all_keys, _banded_median(known, keys, name), keys, "left")
-
-
-def _join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join that treats null keys as equal, as grouping does."""
     renamed = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     cond = F.lit(True)
@@ -43,40 +20,31 @@ def _join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return left.join(renamed, cond, how).drop(*[f"_k_{k}" for k in keys])
 
 
-def _banded_median(known: DataFrame, keys: list[str], name: str) -> DataFrame:
-    band = known.groupBy(*keys).agg(
-        F.percentile_approx("_v", [0.5 - _MARGIN, 0.5 + _MARGIN], _ACCURACY).alias("_q"), F.count("_v").alias("_n")
-    )
-    # Equal values fold into one row with a count, so a repeated value is no hot spot.
-    marked = _join_keys(known, band, keys)
-    low, high = F.col("_q")[0], F.col("_q")[1]
-    counts = marked.groupBy(*keys).agg(
-        F.first("_q").alias("_q"),
-        F.first("_n").alias("_n"),
-        F.count_if(F.col("_v") < low).alias("_below"),
-        F.count_if(F.col("_v").between(low, high)).alias("_within"),
-    )
-    # Ranks of the two middle values, from 1.
-    first_rank = F.floor((F.col("_n") + 1) / 2)
-    last_rank = F.floor(F.col("_n") / 2) + 1
-    held = (F.col("_below") < first_rank) & (last_rank <= F.col("_below") + F.col("_within"))
-    counts = counts.select(
-        *keys,
-        first_rank.alias("_lo"),
-        last_rank.alias("_hi"),
-        F.when(held, low).alias("_from"),
-        F.when(held, high).alias("_to"),
-        F.when(held, F.col("_below")).otherwise(F.lit(0)).alias("_below"),
-    )
-    # A band that missed (the sketch does not let it) leaves its bounds open.
-    inside = _join_keys(known, counts, keys).filter(
-        F.col("_from").isNull() | F.col("_v").between(F.col("_from"), F.col("_to"))
-    )
-    folded = inside.groupBy(*keys, "_v", "_lo", "_hi", "_below").agg(F.count(F.lit(1)).alias("_c"))
-    order = W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = folded.withColumn("_upto", F.col("_below") + F.sum("_c").over(order))
+def grouped_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    """``keys`` and the interpolated median of ``value``; nulls do not count.
+
+    The folded rows are written when this is called. Without ``keys`` there is
+    one row, the median over all.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    folded = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    folded = stored(folded.repartitionByRange(n, *keys, "_v").withColumn("_part", F.spark_partition_id()))
+    known = folded.where(F.col("_v").isNotNull())
+    # At most one row per part and group: small, whatever the groups' sizes.
+    parts = known.groupBy("_part", *keys).agg(F.sum("_c").alias("_in_part"))
+    own = W.partitionBy(*keys)
+    parts = parts.withColumns({"_n": F.sum("_in_part").over(own), "_before": F.sum("_in_part").over(own.orderBy("_part")) - F.col("_in_part")})
+    # Ranks of the two middle values, from 1; only parts that hold one of them are looked into.
+    lo, hi = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
+    parts = parts.withColumns({"_lo": lo, "_hi": hi}).where((F.col("_before") < F.col("_hi")) & (F.col("_before") + F.col("_in_part") >= F.col("_lo")))
+    inside = _joined(known, parts.select("_part", *keys, "_before", "_lo", "_hi"), ["_part", *keys])
+    upto = F.col("_before") + F.sum("_c").over(W.partitionBy("_part", *keys).orderBy("_v"))
+    ranked = inside.withColumn("_upto", upto)
 
     def at(rank):
-        return F.max(F.when((F.col("_upto") - F.col("_c") < rank) & (F.col("_upto") >= rank), F.col("_v")))
+        return F.max(F.when((F.col("_upto") - F.col("_c") < F.col(rank)) & (F.col("_upto") >= F.col(rank)), F.col("_v")))
 
-    return ranked.groupBy(*keys).agg(((at(F.col("_lo")) + at(F.col("_hi"))) / 2).alias(name))
+    found = ranked.groupBy(*keys).agg(((at("_lo") + at("_hi")) / 2).alias(name))
+    # A group without values keeps its row.
+    return _joined(folded.select(*keys).distinct(), found, keys, "left") if keys else found

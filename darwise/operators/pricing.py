@@ -3,7 +3,7 @@
 from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -66,6 +66,15 @@ def _checkpoints(df: DataFrame) -> None:
             sc.setCheckpointDir(folder)
 
 
+as_model_input = _model_input
+
+
+def category_codes(train: DataFrame) -> StringIndexerModel:
+    """Codes of the categories: the more frequent a value, the lower; unseen values share the code after the last."""
+    codes = [f"_c_{c}" for c in V.PRICE_CATEGORICAL]
+    return StringIndexer(inputCols=V.PRICE_CATEGORICAL, outputCols=codes, handleInvalid="keep").fit(_model_input(train))
+
+
 def fit_price_model(train: DataFrame, seed: int = 42, iterations: int = V.GBT_ITERATIONS) -> PipelineModel:
     """Boosted trees on log price. Categories unknown to training share one code of their own."""
     _checkpoints(train)
@@ -74,7 +83,7 @@ def fit_price_model(train: DataFrame, seed: int = 42, iterations: int = V.GBT_IT
     data = data.coalesce(max(1, -(-data.count() // ROWS_PER_TASK))).persist()
     try:
         codes = [f"_c_{c}" for c in V.PRICE_CATEGORICAL]
-        indexer = StringIndexer(inputCols=V.PRICE_CATEGORICAL, outputCols=codes, handleInvalid="keep").fit(data)
+        indexer = category_codes(data)
         widest = max((len(labels) for labels in indexer.labelsArray), default=0)
         trees = GBTRegressor(
             labelCol="_log_price",
@@ -103,9 +112,7 @@ def predict(model: PipelineModel, df: DataFrame, name: str = "predicted") -> Dat
 def baseline_ppsqm(train: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Median price per sqm by project and unit type, and over all (one row)."""
     priced = stored(train.select("project_id", "unit_type", F.try_divide(_TARGET, "area_sqm").alias("ppsqm")))
-    overall = grouped_median(priced.withColumn("_all", F.lit(1)), ["_all"], "ppsqm", "global_ppsqm", store=False)
-    grouped = grouped_median(priced, ["project_id", "unit_type"], "ppsqm", "ppsqm", store=False)
-    return grouped, overall.select("global_ppsqm")
+    return grouped_median(priced, ["project_id", "unit_type"], "ppsqm", "ppsqm"), grouped_median(priced, [], "ppsqm", "global_ppsqm")
 
 
 def predict_baseline(train: DataFrame, test: DataFrame, name: str = "baseline") -> DataFrame:
@@ -193,21 +200,14 @@ def permutation_importance(
     )
 
 
-def train_price_model(
-    df: DataFrame, test_months: int = 6, seed: int = 42, path: str | None = None, iterations: int = V.GBT_ITERATIONS
-) -> tuple[PipelineModel, PricingReport]:
-    """Fit on the past, measure on the last months; with ``path``, refit on all rows and store.
-
-    The report keeps the figures measured before the refit.
-    """
-    df = df.persist()
+def price_report(model: PipelineModel, df: DataFrame, test_months: int = 6, seed: int = 42) -> PricingReport:
+    """Figures of a model fitted on what lies before the last months, measured on these."""
     train, test, start = time_split(df, test_months)
     n_test = test.count()
     if n_test < V.MIN_TEST_ROWS:
         raise ValueError("test set too small; reduce test_months")
-    model = fit_price_model(train, seed, iterations)
     predicted = predict_baseline(train, predict(model, test))
-    report = PricingReport(
+    return PricingReport(
         n_train=train.count(),
         n_test=n_test,
         test_start=start,
@@ -215,12 +215,27 @@ def train_price_model(
         by_project_mape=project_mape(predicted),
         importance=permutation_importance(model, test, seed=seed),
     )
+
+
+def train_price_model(
+    df: DataFrame, test_months: int = 6, seed: int = 42, path: str | None = None, iterations: int = V.GBT_ITERATIONS
+) -> tuple[PipelineModel, PricingReport]:
+    """Fit on the past, measure on the last months; with ``path``, refit on all rows and store.
+
+    The report keeps the figures measured before the refit.
+    """
+    df = stored(df)
+    train, test, start = time_split(df, test_months)
+    if test.count() < V.MIN_TEST_ROWS:
+        raise ValueError("test set too small; reduce test_months")
+    model = fit_price_model(train, seed, iterations)
+    report = price_report(model, df, test_months, seed)
     if path is None:
         return model, report
     final = fit_price_model(df, seed, iterations)
     final.write().overwrite().save(f"{path}/model")
     report.metrics.withColumns(
-        {"n_train": F.lit(report.n_train), "n_test": F.lit(n_test), "test_start": F.lit(start)}
+        {"n_train": F.lit(report.n_train), "n_test": F.lit(report.n_test), "test_start": F.lit(start)}
     ).coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
     return final, report
 

@@ -362,6 +362,19 @@ FROM path p LEFT JOIN stock st USING (project_id) WINDOW w AS (PARTITION BY p.pr
     o["price_baseline_metrics"] = _with(_STAND_IN, _FEATURES, _PRICE_BASELINE) + """
 SELECT 'baseline' AS predictor, round(avg(abs(y - p)), 6) AS mae, round(avg(abs(y - p) / greatest(abs(y), 2.220446049250313e-16)), 6) AS mape,
   round(1 - sum((y - p) * (y - p)) / (count(*) * var_pop(y)), 6) AS r2 FROM test"""
+    o["price_split"] = _with(_STAND_IN, _FEATURES, _PRICE_BASELINE) + """
+SELECT CASE WHEN month < c THEN 'train' ELSE 'test' END AS half, project_name, count(*) AS n, min(month) AS first_month, max(month) AS last_month,
+  strftime(max(c), '%Y-%m') AS test_start FROM features, cut GROUP BY 1, 2"""
+    learnt = [
+        f"code_{c} AS (SELECT CAST({c} AS VARCHAR) AS v, CAST(row_number() OVER (ORDER BY count(*) DESC, CAST({c} AS VARCHAR)) - 1 AS INTEGER) AS code FROM train GROUP BY 1)"
+        for c in V.PRICE_CATEGORICAL
+    ]
+    coded = ", ".join(f"coalesce((SELECT code FROM code_{c} WHERE v = CAST(f.{c} AS VARCHAR)), CAST((SELECT count(*) FROM code_{c}) AS INTEGER)) AS {c}_code" for c in V.PRICE_CATEGORICAL)
+    o["price_codes"] = _with(_STAND_IN, _FEATURES, _PRICE_BASELINE, *learnt) + f"SELECT sale_id, {coded} FROM features f"
+    o["price_defaults"] = _with(_STAND_IN) + f"""
+SELECT unit_id, CASE WHEN unit_id % 4 = 0 THEN 'cash' ELSE '{V.DEFAULT_PAYMENT}' END AS payment_method, coalesce(floor, 0) AS floor, 7 AS month_index,
+  CASE WHEN unit_id % 5 = 0 THEN 'Somewhere' ELSE '{V.DEFAULT_CITY}' END AS city,
+  CASE WHEN unit_id % 3 = 0 AND bathrooms <> 0 THEN bathrooms ELSE greatest(1, bedrooms - 1) END AS bathrooms FROM units"""
     o["price_baseline_by_project"] = _with(_STAND_IN, _FEATURES, _PRICE_BASELINE) + (
         "SELECT project_name, round(avg(abs(y - p) / greatest(abs(y), 2.220446049250313e-16)), 6) AS mape FROM test GROUP BY 1"
     )

@@ -18,7 +18,7 @@ from darwise.operators import routing, sqlgate, vectors
 from darwise.plans import contract_texts as CT, stand_in as S
 from darwise.session import configure
 from darwise.sources.files import split_by_length, spread
-from darwise.sources.scratch import stored
+from darwise.sources.scratch import scratch_path, stored
 
 REGISTRY: dict = {}
 
@@ -179,28 +179,68 @@ def price_baseline_by_project(spark, d):
     return pricing.project_mape(_baseline(spark, d), "baseline").withColumn("mape", F.round("mape", 6))
 
 
-# Fewer trees than the default: enough to show the whole path in short time.
-_TREES = 8
+_MODELS: dict = {}
+
+
+def _price_model(spark, d, past_only: bool):
+    """The model of these tables, fitted once in an application, stored and loaded."""
+    key = spark.sparkContext.applicationId, d, past_only
+    if key not in _MODELS:
+        rows = _features(spark, d)
+        path = scratch_path(spark, "price-model")
+        pricing.fit_price_model(pricing.time_split(rows)[0] if past_only else rows).write().save(f"{path}/model")
+        _MODELS[key] = path
+    return pricing.load_price_model(_MODELS[key])
 
 
 @query
 def price_gbt(spark, d):
-    model, report = pricing.train_price_model(_features(spark, d), iterations=_TREES)
+    report = pricing.price_report(_price_model(spark, d, True), stored(_features(spark, d)))
     return report.metrics.withColumns({"n_train": F.lit(report.n_train), "n_test": F.lit(report.n_test)})
 
 
 @query
 def price_importance(spark, d):
-    train, test, _ = pricing.time_split(_features(spark, d))
-    return pricing.permutation_importance(pricing.fit_price_model(train, iterations=_TREES), test)
+    _, test, _ = pricing.time_split(_features(spark, d))
+    return pricing.permutation_importance(_price_model(spark, d, True), test)
 
 
 @query
 def price_scored_units(spark, d):
     """All unsold units priced by a model fitted on all sales."""
-    model = pricing.fit_price_model(_features(spark, d), iterations=_TREES)
     unsold = S.units(spark, d).filter(F.col("status") != "sold")
-    return pricing.score_units(model, unsold.drop("bathrooms")).select("unit_id", "estimated_price_sar", "price_per_sqm")
+    scored = pricing.score_units(_price_model(spark, d, False), unsold.drop("bathrooms"))
+    return scored.select("unit_id", "estimated_price_sar", "price_per_sqm")
+
+
+@query
+def price_split(spark, d):
+    """Sizes of the halves in time, by project."""
+    train, test, start = pricing.time_split(_features(spark, d))
+    both = train.withColumn("half", F.lit("train")).unionByName(test.withColumn("half", F.lit("test")))
+    return both.groupBy("half", "project_name").agg(F.count(F.lit(1)).alias("n"), F.min("month").alias("first_month"), F.max("month").alias("last_month"), F.lit(start).alias("test_start"))
+
+
+@query
+def price_codes(spark, d):
+    """Category codes learnt from sold units, given to all of them: frequent values first, unseen ones share a code."""
+    train, test, _ = pricing.time_split(_features(spark, d))
+    coded = pricing.category_codes(train).transform(pricing.as_model_input(_features(spark, d)))
+    return coded.select("sale_id", *[F.col(f"_c_{c}").cast("int").alias(f"{c}_code") for c in V.PRICE_CATEGORICAL])
+
+
+@query
+def price_defaults(spark, d):
+    """Unit descriptions with gaps, completed for scoring."""
+    u = S.units(spark, d).withColumns(
+        {
+            "bathrooms": F.when(F.col("unit_id") % 3 == 0, F.col("bathrooms")),
+            "month_index": F.lit(7),
+            "payment_method": F.when(F.col("unit_id") % 4 == 0, "cash").when(F.col("unit_id") % 4 == 1, ""),
+            "city": F.when(F.col("unit_id") % 5 == 0, "Somewhere"),
+        }
+    )
+    return pricing.with_defaults(u).select("unit_id", "payment_method", "floor", "month_index", "city", "bathrooms")
 
 
 # --- text ----------------------------------------------------------------------------
