@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from darwise.llm.tables import partitions
-from darwise.llm.text import flat
+from darwise.llm.text import filled, flat
 from darwise.sources.scratch import scratch_path, short_lived_shuffles
 
 BLOCK_BYTES = 2 << 20
@@ -156,7 +156,7 @@ def with_answers(blocks: Blocks, answers: list[DataFrame]) -> DataFrame:
 
 def each_block(fn: Callable, batches):
     """``fn(block, table, answers by level)`` for each row of ``with_answers``; yields what it yields."""
-    for batch in batches:
+    for batch in filled(batches):
         for i in range(batch.num_rows):
             by_level: dict[int, list] = {}
             for part in batch.column("answers")[i].as_py() or []:

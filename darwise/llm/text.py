@@ -6,7 +6,7 @@ import types
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20  # texts are worked on in slices of about this size; one longer text is a slice of its own
+SLICE_BYTES = 1 << 19  # texts are worked on in slices of about this size; one longer text is a slice of its own
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True  # word bounds: blank, tab, the line breaks
@@ -25,13 +25,13 @@ def worker_cache() -> dict:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     cache = worker_cache()
     if "powers" not in cache or len(cache["powers"][0]) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = max(n, 4 * SLICE_BYTES + 1)
         made = []
         for base in (_STEP, pow(_STEP, -1, 2**64)):
             p = np.full(size, base, np.uint64)
             p[0] = 1
             made.append(np.cumprod(p, dtype=np.uint64))
-        if n > 8 * SLICE_BYTES:  # a giant text: not kept
+        if n > 16 * SLICE_BYTES:  # a giant text: not kept
             return tuple(made)
         cache["powers"] = tuple(made)
     return cache["powers"]
@@ -83,8 +83,9 @@ class Slice:
 
 
 def filled(batches):
-    """The batches that have rows."""
-    return (b for b in batches if b.num_rows)
+    """The batches that have rows; what Arrow holds free after them goes back."""
+    yield from (b for b in batches if b.num_rows)
+    pa.default_memory_pool().release_unused()
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 from darwise.llm.text import worker_cache
 
-KEPT_PARTS = 600_000  # parts a worker remembers before it begins anew; no text is encoded differently for it
+KEPT_PARTS = 250_000  # parts a worker remembers before it begins anew; no text is encoded differently for it
 # The pre-tokenizer's pattern on lower-case Latin-1.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 # Byte-level vocabularies write the bytes of UTF-8 as printable characters.
@@ -86,6 +86,8 @@ def encoder(path: str) -> Encoder:
 def encoded(column: pa.Array, path: str, rows: int = 500):
     """``(first row, list of id bytes)`` for runs of rows of a text column."""
     own = encoder(path)
-    gc.disable()  # millions of small objects, none in a cycle
     for lo in range(0, len(column), rows):
-        yield lo, own.encode(column.slice(lo, rows).to_pylist())
+        gc.disable()  # many small objects, none in a cycle
+        found = own.encode(column.slice(lo, rows).to_pylist())
+        gc.enable()
+        yield lo, found
