@@ -24,11 +24,14 @@ def put(path: str, write) -> None:
 
 
 def mapped(path: str) -> pa.Buffer:
-    """A whole file: memory-mapped where it is local, else read."""
+    """A whole file: memory-mapped where it is local, else read; ``FileNotFoundError`` if there is none."""
     system, at = place(path)
+    found = system.get_file_info(at)
+    if found.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    if not found.size:
+        return pa.py_buffer(b"")
     if isinstance(system, fs.LocalFileSystem):
-        if not system.get_file_info(at).size:
-            return pa.py_buffer(b"")
         with pa.memory_map(at) as source:
             return source.read_buffer()
     with system.open_input_file(at) as source:

@@ -33,8 +33,6 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
 
     def _learn(self, unseen: set[str]) -> None:
-        if len(self.parts) + len(unseen) > KEPT_PARTS:
-            self.parts, self.pieces = {}, {}
         other = []
         for part in unseen:
             # Printable Latin-1 is left as it is by normalisation, but for case; merges alone are left to do.
@@ -54,13 +52,11 @@ class Encoder:
         out = []
         for lo in range(0, len(texts), many):
             cut = [_parts(t) for t in texts[lo : lo + many]]
-            known = self.parts
-            unseen = {p for parts in cut for p in parts if p not in known}
-            if unseen:
-                self._learn(unseen)
-                if self.parts is not known:  # begun anew: what these texts need besides
-                    known = self.parts
-                    self._learn({p for parts in cut for p in parts if p not in known})
+            distinct = {p for parts in cut for p in parts}
+            unseen = distinct - self.parts.keys()
+            if len(self.parts) + len(unseen) > KEPT_PARTS:
+                self.parts, self.pieces, unseen = {}, {}, distinct
+            self._learn(unseen)
             out += [b"".join([self.parts[p] for p in parts]) for parts in cut]
         return out
 

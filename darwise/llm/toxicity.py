@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sizes: tuple[i
     sent.destroy()
     y = np.array([r.y for r in seen])
     if not (y == 1).any() or not (y == 0).any():
-        return Model({}, np.zeros(3), np.ones(3), np.array([-1e3, 0, 0, 0]))
+        return Model({}, np.zeros(3), np.ones(3), np.zeros(4))
     return Model(whole, *_logistic(np.array([r.x for r in seen]), y))
 
 
@@ -145,8 +145,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             cache["toxicity"] = (own, Scorer(own.counts) if own.counts else None)
         scorer = cache["toxicity"][1]
         for batch in filled(batches):
-            found = [scorer.features(t.as_py()) if scorer else [0.0] * 3 for t in batch.column("text")]
-            p = own.curve(np.array(found).reshape(-1, 3)) if found else np.zeros(0)
+            p = own.curve(np.array([scorer.features(t.as_py()) for t in batch.column("text")])) if scorer else np.zeros(batch.num_rows)
             made = {"score": pa.array(p, pa.float64()), "predicted": pa.array((p >= 0.5).astype(np.int32))}
             yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else batch.column(f.name) for f in schema.fields], names=schema.names)
 
