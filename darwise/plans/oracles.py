@@ -1,6 +1,7 @@
 """The registered queries once more, as SQL for another engine."""
 
 from darwise import values as V
+from darwise.plans import queries as Q
 
 _STAND_IN = """
 line AS (
@@ -224,6 +225,28 @@ def _any(column: str, words) -> str:
     return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
 
 
+def _arabic_texts(words) -> str:
+    listed = "[" + _quoted(words) + "]"
+    return f"""texts AS (SELECT o_orderkey, w[(o_orderkey % {len(words)}) + 1] || '  ' || w[(o_custkey % {len(words)}) + 1] || '  ' || w[((o_orderkey + 3 * o_custkey + 1) % {len(words)}) + 1]
+    || CASE WHEN o_orderkey % 3 = 0 THEN ' ' || o_orderpriority ELSE '' END AS text FROM orders, (SELECT {listed} AS w))"""
+
+
+_MARKS = "".join(chr(c) for lo, hi in V.DIACRITIC_RANGES for c in range(lo, hi + 1))
+_FOLD_FROM = V.ARABIC_INDIC_DIGITS + V.EASTERN_ARABIC_INDIC_DIGITS + V.ARABIC_SEPARATORS + V.LETTER_VARIANTS
+_FOLD_TO = V.WESTERN_DIGITS * 2 + V.WESTERN_SEPARATORS + V.LETTER_TARGETS
+
+
+def _folded(text: str) -> str:
+    return f"lower(translate({text}, '{_FOLD_FROM}{V.TATWEEL}{_MARKS}', '{_FOLD_TO}'))"
+
+
+def _without_articles(token: str) -> str:
+    """An article goes where two letters or more are left behind it."""
+    for article in V.ARABIC_ARTICLES:
+        token = f"CASE WHEN starts_with({token}, '{article}') AND length({token}) >= {len(article) + 2} THEN substr({token}, {len(article) + 1}) ELSE {token} END"
+    return token
+
+
 def _project_case(column: str) -> str:
     whens = " ".join(f"WHEN {_any(column, words)} THEN '{p}'" for p, words in V.PROJECT_PATTERNS.items())
     return f"CASE {whens} END"
@@ -433,6 +456,16 @@ SELECT query_id, 'DOCUMENT EXCERPTS:' || chr(10) || string_agg('[' || rank || ']
 SELECT conv_id, turn, role, lang, route, project_id, route <> 'inventory' AS needs_documents, route <> 'docs' AS needs_inventory FROM (
   SELECT conv_id, turn, role, {language} AS lang, CASE WHEN {inv} AND {doc} THEN 'both' WHEN {inv} THEN 'inventory' ELSE 'docs' END AS route,
     {_project_case(q)} AS project_id FROM conversations)"""
+    arabic_token = V.ARABIC_LETTER_CLASS + "+|" + _TOKEN
+    o["arabic_tokens"] = _with(_arabic_texts(Q.ARABIC_WORDS)) + f"""
+SELECT o_orderkey, len(ts) AS n_tokens, array_to_string(ts, ' ') AS tokens FROM (
+  SELECT o_orderkey, list_filter(list_transform(regexp_extract_all({_folded('text')}, '{arabic_token}', 0), lambda t: {_without_articles('t')}), lambda t: t NOT IN ({_STOP})) AS ts FROM texts)"""
+    o["arabic_match_keys"] = _with(_arabic_texts(Q.ARABIC_WORDS)) + f"""
+SELECT o_orderkey, trim(regexp_replace({_folded('text')}, '[\\s\\-_/,،:;]+', ' ', 'g')) AS match_key FROM texts"""
+    o["arabic_routes"] = _with(_arabic_texts(Q.QUESTION_WORDS)) + f"""
+SELECT o_orderkey, lang, route, project_id, route <> 'inventory' AS needs_documents, route <> 'docs' AS needs_inventory FROM (
+  SELECT o_orderkey, {language} AS lang, CASE WHEN {inv} AND {doc} THEN 'both' WHEN {inv} THEN 'inventory' ELSE 'docs' END AS route,
+    {_project_case(q)} AS project_id FROM texts)"""
     o["recent_turns"] = """SELECT conv_id, turn, role, text FROM (SELECT conv_id, turn, role, text,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 6"""
     o["sql_gate"] = _with(_GATE_TEXT) + """

@@ -320,6 +320,45 @@ def length_guard(spark, d):
     return both.groupBy("role", "accepted").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Words with diacritics, alef and other letter forms, articles, stretching, digits of both kinds, separators and stop words.
+ARABIC_WORDS = [
+    "الشُّقَّةُ", "والفِيلّا", "بالأرضِ", "إيجــار", "آخِر", "مؤجَّل", "قائم", "على", "الرِّياضُ", "٣٥٠", "۴۲٫۵", "عقار/بيت",
+    "الـضـمـان", "بال", "والمبنى،الثاني", "رسوم", "ما", "الال", "شقة-دور", "Tower", "أُسرة", "١٬٢٥٠", "هذا", "ٱلدار",
+]
+
+
+def arabic_texts(spark, d, words):
+    """Three words for each order, picked by its keys, with Latin letters behind every third."""
+    listed = F.array(*[F.lit(w) for w in words])
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    picked = [F.element_at(listed, (x % len(words) + 1).cast("int")) for x in (k, c, k + 3 * c + 1)]
+    tail = F.when(k % 3 == 0, F.concat(F.lit(" "), F.col("o_orderpriority"))).otherwise("")
+    return S.table(spark, d, "orders").select("o_orderkey", F.concat(F.concat_ws("  ", *picked), tail).alias("text"))
+
+
+@query
+def arabic_tokens(spark, d):
+    rows = compute_once(arabic_texts(spark, d, ARABIC_WORDS), {"_t": tokenize("text")}, ["o_orderkey"])
+    return rows.select("o_orderkey", F.size("_t").alias("n_tokens"), F.array_join("_t", " ").alias("tokens"))
+
+
+@query
+def arabic_match_keys(spark, d):
+    return arabic_texts(spark, d, ARABIC_WORDS).select("o_orderkey", normalize_for_match("text").alias("match_key"))
+
+
+QUESTION_WORDS = [
+    *V.INVENTORY_HINTS_AR, *V.DOCUMENT_HINTS_AR, *[w for words in V.PROJECT_PATTERNS.values() for w in words],
+    "البيت", "مرحبا", "How Many", "Policy", "شكرا", "Narjis",
+]
+
+
+@query
+def arabic_routes(spark, d):
+    asked = routing.triage(arabic_texts(spark, d, QUESTION_WORDS))
+    return asked.select("o_orderkey", "lang", "route", "project_id", "needs_documents", "needs_inventory")
+
+
 # --- chunks and search -------------------------------------------------------------------
 def _chunks(spark, d):
     docs = S.table(spark, d, "documents").select("doc_id", "text", "lang", "source")
