@@ -8,6 +8,8 @@ patterns whose size is checked: a benchmark too large for one goes over the
 documents in several blocks of items, one after the other, without a shuffle.
 """
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -79,7 +81,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, item_
     schema = with_columns(docs.schema, T.StructField("_runs", FOUND), T.StructField("_items", T.ArrayType(T.StringType())))
     for number, block in enumerate(blocks):
         sent = spark.sparkContext.broadcast(item_windows([(r.item_id, r.text) for r in block.toLocalIterator()], window))
-        out = out.mapInArrow(_scan(sent, f"{id(sent)}-{hash(frozenset(sent.value))}", schema, first=number == 0), schema)
+        scan = _scan(sent, uuid.uuid4().hex, schema, first=number == 0)
+        if number < len(blocks) - 1:
+            out = out.mapInArrow(scan, schema)
     final = with_columns(docs.schema, *ADDED)
 
     def finish(batches):
@@ -104,7 +108,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, item_
             columns = [pa.array(made[f.name], _ARROW[f.name]) if f.name in made else batch.column(f.name) for f in final.fields]
             yield pa.RecordBatch.from_arrays(columns, names=final.names)
 
-    return out.mapInArrow(finish, final)
+    # The last scan and the sums are one pass: one Python worker for a task.
+    return out.mapInArrow(lambda batches: finish(scan(batches)), final)
 
 
 _ARROW = {

@@ -39,9 +39,9 @@ def figures(part) -> np.ndarray:
     )
 
 
-def with_figures(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """``docs`` with the array ``_x``; without ``text`` unless asked."""
-    kept = T.StructType([f for f in docs.schema.fields if keep_text or f.name != "text"])
+def with_figures(docs: DataFrame) -> DataFrame:
+    """``docs`` with the array ``_x`` in place of ``text``."""
+    kept = T.StructType([f for f in docs.schema.fields if f.name != "text"])
     schema = with_columns(kept, T.StructField("_x", T.ArrayType(T.DoubleType())))
 
     def run(batches):
@@ -132,6 +132,11 @@ def fit(measured: DataFrame, labels: DataFrame, label: str = "quality") -> Model
     return model
 
 
+def _verdict(model: Model, x: np.ndarray) -> dict[str, pa.Array]:
+    p = np.clip(model.score(x), 0, 1)
+    return {"score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))}
+
+
 def score(measured: DataFrame, model: Model) -> DataFrame:
     """Replace ``_x`` by ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on).
 
@@ -143,8 +148,19 @@ def score(measured: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in filled(batches):
-            p = np.clip(model.score(_matrix(batch.column("_x"))), 0, 1)
-            made = {"score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))}
+            made = _verdict(model, _matrix(batch.column("_x")))
             yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else batch.column(f.name) for f in schema.fields], names=schema.names)
 
     return measured.mapInArrow(run, schema)
+
+
+def classify(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with ``score`` and ``predicted``, figures and score in one pass over the texts."""
+    schema = with_columns(docs.schema, *ADDED)
+
+    def run(batches):
+        for batch in filled(batches):
+            made = _verdict(model, np.concatenate([figures(part) for part in slices(batch.column("text"))]))
+            yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else batch.column(f.name) for f in schema.fields], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
