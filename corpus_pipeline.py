@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from darwise.llm.decontaminate import decontaminate
 from darwise.llm.exchange import saved
 from darwise.llm.packing import pack
-from darwise.llm.quality_model import fit, score, with_figures
+from darwise.llm.quality_model import classify, fit, with_figures
 from darwise.llm.queries import remainder, table, vocabulary
 from darwise.llm.simhash import near_duplicates
 from darwise.llm.substrings import dedup_substrings
@@ -34,7 +34,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     labels = table(spark, sf_dir, "labels").where(remainder(3) != 1)
     model = fit(saved(spark, with_figures(texts(docs)), "figures"), labels)
     # The figures are made again beside the texts, so that no text is shuffled.
-    judged = score(with_figures(sealed(docs), keep_text=True), model)
+    judged = classify(sealed(docs), model)
     return unsealed(judged.where("predicted = 1"), docs)
 
 
