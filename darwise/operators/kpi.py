@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from darwise.functions.text import months_back, quarter_start
 from darwise.operators.median import grouped_median
+from darwise.sources.scratch import stored
 
 _STATUSES = ["available", "reserved", "sold"]
 
@@ -110,7 +111,12 @@ def inventory_series(project_rows: DataFrame) -> DataFrame:
 
 
 def kpi_snapshot(units: DataFrame, sales: DataFrame, projects: DataFrame) -> DataFrame:
-    """All figures as one nested row. The nested lists are as long as the project and type lists."""
+    """All figures as one nested row. The nested lists are as long as the project and type lists.
+
+    The columns the figures need are written once and read by each of them.
+    """
+    units = stored(units.select("unit_id", "project_id", "unit_type", "status", "area_sqm"))
+    sales = stored(sales.select("unit_id", "sale_date", "sale_price_sar", "discount_pct", "payment_method"))
 
     def one_row(df):
         return df.select(F.struct(*df.columns)).scalar()

@@ -22,11 +22,15 @@ class UnsafeSQL(ValueError):
 
 
 class SQLResult(NamedTuple):
-    sql: str
+    sql: str  # what ran: the safe form; of a refused statement the statement itself
     columns: list[str]
     rows: list[tuple]
     error: str | None = None
     attempts: int = 1
+    explanation: str = ""  # what the statement's author says of it
+
+
+_FILES_OFF = threading.Lock()  # two threads must not undo each other's setting
 
 
 def _capped(s: Column, max_rows: int) -> Column:
@@ -81,18 +85,20 @@ def guarded_sql(spark: SparkSession, sql: str, max_rows: int = 50) -> DataFrame:
     safe = checked_sql(spark, sql, max_rows)
     # Tables only: a statement may not name files.
     key = "spark.sql.runSQLOnFiles"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
-    try:
-        return spark.sql(safe).limit(max_rows)
-    finally:
-        spark.conf.set(key, before)
+    with _FILES_OFF:
+        before = spark.conf.get(key, "true")
+        spark.conf.set(key, "false")
+        try:
+            return spark.sql(safe).limit(max_rows)
+        finally:
+            spark.conf.set(key, before)
 
 
 def run_guarded(spark: SparkSession, sql: str, max_rows: int = 50, timeout_s: float = 5.0) -> SQLResult:
     """Rows of a checked statement; its jobs are interrupted after ``timeout_s``."""
-    df = guarded_sql(spark, sql, max_rows)
-    sc = spark.sparkContext
+    df, safe = guarded_sql(spark, sql, max_rows), checked_sql(spark, sql, max_rows)
+    sc, interrupt = spark.sparkContext, "spark.job.interruptOnCancel"
+    before = sc.getLocalProperty(interrupt)
     tag = f"guarded-{uuid.uuid4().hex}"
     # Context tags: a session's own tags are known to the thread that set them only.
     sc.addJobTag(tag)
@@ -104,22 +110,26 @@ def run_guarded(spark: SparkSession, sql: str, max_rows: int = 50, timeout_s: fl
     finally:
         timer.cancel()
         sc.removeJobTag(tag)
-        sc.setInterruptOnCancel(False)
-    return SQLResult(sql, df.columns, rows)
+        sc.setLocalProperty(interrupt, before)
+    return SQLResult(safe, df.columns, rows)
 
 
 def first_runnable(
-    spark: SparkSession, statements: list[str], max_rows: int = 50, timeout_s: float = 5.0, max_attempts: int = 2
+    spark: SparkSession, statements: list[str | tuple[str, str]], max_rows: int = 50, timeout_s: float = 5.0, max_attempts: int = 2
 ) -> SQLResult:
-    """Result of the first statement that passes and runs, or the last error and no rows."""
-    error, last, tried = None, "", 0
-    for tried, last in enumerate(statements[:max_attempts], 1):
+    """Result of the first statement that passes and runs, or the last error and no rows.
+
+    A statement may come with its author's explanation.
+    """
+    error, last, told, tried = None, "", "", 0
+    for tried, statement in enumerate(statements[:max_attempts], 1):
+        last, told = (statement, "") if isinstance(statement, str) else statement
         try:
-            return run_guarded(spark, last, max_rows, timeout_s)._replace(attempts=tried)
+            return run_guarded(spark, last, max_rows, timeout_s)._replace(attempts=tried, explanation=told)
         except (UnsafeSQL, PySparkException) as e:
             error = str(e)
         except Exception as e:  # a failed or interrupted job surfaces as a gateway error
             if "Py4J" not in type(e).__name__:
                 raise
             error = str(e)
-    return SQLResult(last, [], [], error, tried)
+    return SQLResult(last, [], [], error, tried, told)

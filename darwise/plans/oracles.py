@@ -340,7 +340,7 @@ def oracle_sql() -> dict[str, str]:
 SELECT (SELECT max(sale_date) FROM sales) AS as_of, s.*, (SELECT round(sum(sale_price_sar)) FROM sales) AS revenue_sar_total,
   m.units_sold AS recent_units, m.revenue_sar AS recent_revenue, m.units_sold_previous AS previous_units,
   (SELECT round(avg(discount_pct), 2) FROM sales) AS avg_discount_pct,
-  (SELECT string_agg(concat_ws('|', project, total_units, sold, available, CAST(avg_sale_price_sar AS BIGINT)), ';' ORDER BY sold DESC, project) FROM by_project) AS by_project,
+  (SELECT string_agg(concat_ws('|', project, total_units, sold, available, CAST(avg_sale_price_sar AS BIGINT), CAST(avg_price_per_sqm AS BIGINT)), ';' ORDER BY sold DESC, project) FROM by_project) AS by_project,
   (SELECT string_agg(concat_ws('|', unit_type, units_sold, CAST(avg_sale_price_sar AS BIGINT)), ';' ORDER BY units_sold DESC, unit_type) FROM by_type) AS by_unit_type,
   (SELECT string_agg(concat_ws('|', payment_method, n), ';' ORDER BY payment_method) FROM (SELECT payment_method, count(*) AS n FROM sales GROUP BY 1)) AS financing_mix
 FROM status s, momentum m"""
@@ -490,6 +490,10 @@ SELECT contract_no || '.txt' AS source, {fields}, CASE WHEN {unread} THEN '{V.IS
 SELECT count(*) AS n_contracts, round(sum({_HITS}) / (count(*) * {_N}), 6) AS overall,
   round(count(*) FILTER (WHERE {_HITS} = {_N}) / count(*), 6) AS perfect_contracts, count(*) FILTER (WHERE issues <> '') AS flagged_for_review,
   count(*) FILTER (WHERE {planted}) AS planted_issues_total, count(*) FILTER (WHERE {planted} AND issues <> '') AS planted_issues_caught FROM verdicts"""
+    o["extraction_missing"] = verdicts + f"""
+SELECT count(*) AS n_contracts, round(count(*) FILTER (WHERE order_key % 3 <> 0 AND {_HITS} = {_N}) / count(*), 6) AS perfect_contracts,
+  count(*) FILTER (WHERE order_key % 3 = 0 OR issues <> '') AS flagged_for_review FROM verdicts"""
+    o["document_contracts"] = f"""SELECT CAST(doc_id AS VARCHAR) AS source, '{V.ISSUE_MISSING}contract_no, buyer_name, unit_no, total_price_sar' AS issues, true AS needs_review FROM documents"""
     o["extraction_mismatches"] = verdicts + """
 SELECT source, field, pred, truth FROM (
   SELECT contract_no || '.txt' AS source, 'area_sqm' AS field, CAST(area_sqm AS VARCHAR) AS pred, CAST(area_sqm + order_key % 3 AS VARCHAR) AS truth, 1 AS p FROM verdicts WHERE ok_area_sqm = 0

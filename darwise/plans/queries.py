@@ -87,7 +87,7 @@ def kpi_snapshot(spark, d):
         F.col("last_3_months.revenue_sar").alias("recent_revenue"),
         F.col("last_3_months.units_sold_previous").alias("previous_units"),
         "avg_discount_pct",
-        listed("by_project", ("project", 0), ("total_units", 1), ("sold", 1), ("available", 1), ("avg_sale_price_sar", 1)),
+        listed("by_project", ("project", 0), ("total_units", 1), ("sold", 1), ("available", 1), ("avg_sale_price_sar", 1), ("avg_price_per_sqm", 1)),
         listed("by_unit_type", ("unit_type", 0), ("units_sold", 1), ("avg_sale_price_sar", 1)),
         F.array_join(mix, ";").alias("financing_mix"),
     )
@@ -564,6 +564,23 @@ def extraction_totals(spark, d):
     )
 
 
+@query
+def extraction_missing(spark, d):
+    """The truth of all contracts, a third of them never extracted: these count as misses."""
+    fields = CT.contract_fields(spark, d)
+    read = C.extract_contracts(CT.contract_texts(fields.where("order_key % 3 <> 0")).drop("template"))
+    totals = E.evaluate(read, CT.truth_with_slips(fields)).totals
+    return totals.select("n_contracts", F.round("perfect_contracts", 6).alias("perfect_contracts"), "flagged_for_review")
+
+
+@query
+def document_contracts(spark, d):
+    """Extraction over texts that are no contracts: no field is found, and each needs a review."""
+    docs = S.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), "text")
+    read = C.extract_contracts(spread(docs, "source"))
+    return read.select("source", F.array_join("issues", "; ").alias("issues"), "needs_review")
+
+
 @query
 def extraction_mismatches(spark, d):
     return _evaluation(spark, d).mismatches

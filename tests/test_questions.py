@@ -78,6 +78,8 @@ def test_files_are_no_tables(spark, tmp_path):
 def test_second_attempt(spark, big):
     r = sqlgate.first_runnable(spark, ["select nope from big_units", "select count(*) as n from big_units"])
     assert r.attempts == 2 and r.error is None and r.rows == [(1000,)] and r.columns == ["n"]
+    r = sqlgate.first_runnable(spark, [("select id from big_units;", "all of them")])
+    assert r.sql == "select id from big_units LIMIT 50" and r.explanation == "all of them" and len(r.rows) == 50
 
 
 def test_slow_statement_is_stopped(spark):

@@ -52,3 +52,19 @@ def test_contracts_as_a_stream(spark, tmp_path):
     got = {r["source"]: r for r in spark.read.parquet(out).collect()}
     assert set(got) == {"1.txt", "3.txt"}
     assert got["1.txt"]["record"]["unit_type"] == "villa" and got["3.txt"]["needs_review"]
+    assert [r["source"] for r in spark.read.parquet(out + "-rejected").collect()] == ["2.txt"]
+
+
+def test_scratch_tables_go_with_their_scope(spark, monkeypatch, tmp_path):
+    import os
+
+    from darwise.sources import scratch
+
+    monkeypatch.setattr(scratch, "scratch_folder", lambda _: str(tmp_path))
+    with scratch.scratch(spark):
+        assert scratch.stored(spark.range(5)).count() == 5
+        with scratch.scratch(spark):
+            scratch.stored(spark.range(2))
+            assert len(os.listdir(tmp_path)) == 2
+        assert len(os.listdir(tmp_path)) == 1
+    assert os.listdir(tmp_path) == []
