@@ -2,14 +2,18 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from darwise.llm.tables import texts
+from darwise.llm.tables import prepare, texts
 
 REGISTRY: dict = {}
 
 
 def query(fn):
-    REGISTRY[fn.__name__] = fn
-    return fn
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(prepare(spark), sf_dir)
+
+    run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+    REGISTRY[fn.__name__] = run
+    return run
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Frames for the operators: clashing column names, row keys, settings."""
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -16,3 +16,9 @@ def with_columns(schema: T.StructType, *added: T.StructField) -> T.StructType:
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session setting the operators are written for: texts reach Python workers a few MB at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return spark
