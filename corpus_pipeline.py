@@ -16,7 +16,7 @@ from darwise.llm.quality_model import classify, fit, with_figures
 from darwise.llm.queries import remainder, table, vocabulary
 from darwise.llm.simhash import near_duplicates
 from darwise.llm.substrings import dedup_substrings
-from darwise.llm.tables import texts
+from darwise.llm.tables import prepare, texts
 
 
 def sealed(docs: DataFrame) -> DataFrame:
@@ -31,6 +31,7 @@ def unsealed(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; rows of one doc_id are judged one by one."""
+    prepare(spark)
     labels = table(spark, sf_dir, "labels").where(remainder(3) != 1)
     model = fit(saved(spark, with_figures(texts(docs)), "figures"), labels)
     # The figures are made again beside the texts, so that no text is shuffled.
@@ -40,6 +41,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of smallest doc_id stays, once if it is repeated."""
+    prepare(spark)
     found = near_duplicates(texts(docs))
     first = saved(spark, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct(), "first")
     kept = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_first")), "left_semi")
@@ -48,6 +50,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated windows of 20 words lose their words; a text that loses none stays as it was. ``n_chars`` is renewed."""
+    prepare(spark)
     out = dedup_substrings(sealed(docs))
     out = unsealed(out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))), docs)
     if "n_chars" in docs.columns:
@@ -57,12 +60,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
+    prepare(spark)
     judged = decontaminate(sealed(docs), table(spark, sf_dir, "benchmark"))
     return unsealed(judged.where("not contaminated"), docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents that are left, in sequences of at most 2048 tokens."""
+    prepare(spark)
     return pack(docs, vocabulary(), end_id=0, capacity=2048)
 
 
