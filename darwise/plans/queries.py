@@ -1,5 +1,7 @@
 """Registered queries: every operator over the whole of the given tables."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from darwise import values as V
@@ -18,7 +20,7 @@ from darwise.operators import routing, sqlgate, vectors
 from darwise.plans import contract_texts as CT, stand_in as S
 from darwise.session import configure
 from darwise.sources.files import split_by_length, spread
-from darwise.sources.scratch import scratch_path, stored
+from darwise.sources.scratch import scratch_folder, stored
 
 REGISTRY: dict = {}
 
@@ -187,7 +189,7 @@ def _price_model(spark, d, past_only: bool):
     key = spark.sparkContext.applicationId, d, past_only
     if key not in _MODELS:
         rows = _features(spark, d)
-        path = scratch_path(spark, "price-model")
+        path = f"{scratch_folder(spark)}/price-model-{uuid.uuid4().hex}"  # outlives the scope of one query
         pricing.fit_price_model(pricing.time_split(rows)[0] if past_only else rows).write().save(f"{path}/model")
         _MODELS[key] = path
     return pricing.load_price_model(_MODELS[key])
