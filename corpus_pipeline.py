@@ -40,12 +40,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of smallest doc_id stays, once if it is repeated."""
+    """Of each group of near-duplicates the document of smallest doc_id stays, once if it is repeated.
+
+    Rows without a doc_id go if their group has a document with one; else those
+    of equal text stay once.
+    """
     prepare(spark)
-    found = near_duplicates(texts(docs))
-    first = saved(spark, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct(), "first")
-    kept = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_first")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    # Only rows without a doc_id need another key, by which they are found again.
+    key = F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    found = near_duplicates(texts(docs).withColumn("_key", key))
+    first = saved(spark, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first"), "_key").distinct(), "first")
+    named = docs.join(first.where("_first is not null").select("_first"), F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
+    nameless = docs.where("doc_id is null").withColumn("_key", key).join(first.where("_first is null").select("_key"), "_key", "left_semi")
+    return named.unionByName(nameless.dropDuplicates(["_key"]).select(*docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
