@@ -229,6 +229,11 @@ PROJECT_CITIES = {
 }
 DEFAULT_CITY = "Riyadh"
 
+# --- fixed values: prompt texts -------------------------------------------------------
+EXCERPTS_HEAD = "DOCUMENT EXCERPTS:\n"
+DATABASE_FAILED = ("DATABASE: the inventory query failed (", "). Say the figure is unavailable; do not guess.")
+DATABASE_RESULT = ("DATABASE RESULT (SQL: ", "):\n")
+
 # --- fixed values: SQL gate -----------------------------------------------------------
 FORBIDDEN_SQL_WORDS = [
     "insert", "update", "delete", "drop", "alter", "create", "replace", "attach", "detach", "pragma",
