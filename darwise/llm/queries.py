@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from darwise.llm.oracles import oracle_sql  # noqa: F401  part of what is registered
 from darwise.llm.tables import prepare, texts
 
 REGISTRY: dict = {}
@@ -113,7 +114,3 @@ def op10_simhash(spark, d):
     from darwise.llm.simhash import near_duplicates
 
     return near_duplicates(texts(table(spark, d, "documents"))).select("doc_id", "fingerprint", "component_id")
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
