@@ -13,7 +13,7 @@ import pyarrow as pa
 
 from darwise.llm.text import worker_cache
 
-KEPT_PARTS = 250_000  # parts a worker remembers before it begins anew; no text is encoded differently for it
+KEPT_PARTS = 300_000  # parts a worker remembers before it begins anew; no text is encoded differently for it
 # The pre-tokenizer's pattern on lower-case Latin-1.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 # Byte-level vocabularies write the bytes of UTF-8 as printable characters.
@@ -55,7 +55,10 @@ class Encoder:
             distinct = {p for parts in cut for p in parts}
             unseen = distinct - self.parts.keys()
             if len(self.parts) + len(unseen) > KEPT_PARTS:
-                self.parts, self.pieces, unseen = {}, {}, distinct
+                # Begun anew with what these texts use.
+                self.parts = {p: self.parts[p] for p in distinct - unseen}
+                if len(self.pieces) > KEPT_PARTS:
+                    self.pieces = {}
             self._learn(unseen)
             out += [b"".join([self.parts[p] for p in parts]) for parts in cut]
         return out
