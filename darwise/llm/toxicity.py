@@ -3,11 +3,13 @@
 Toxic and ordinary texts each have a spelling model with shared backoff (see
 ``kneser_ney_words``). A text is compared by length-normalised log-likelihoods:
 of the whole text, of its most toxic word, and of its three most toxic words, as
-one expression in a long text would vanish in the mean. A logistic curve over
-these three, fitted on halves of the sample scored by the other half's models,
-gives a score from 0 to 1.
+one expression in a long text would vanish in the mean. Two figures more say how
+many of its words are toxic, and what share. A logistic curve over these five,
+fitted on halves of the sample scored by the other half's models, gives a score
+from 0 to 1.
 """
 
+import math
 import re
 
 import numpy as np
@@ -18,7 +20,8 @@ from darwise.llm.kneser_ney_words import SharedBackoff, ngrams
 from darwise.llm.tables import with_columns
 from darwise.llm.text import filled, worker_cache
 
-ORDER = 5
+ORDER = 8
+MARKED = 3.0  # log ratio at which a word counts by half as toxic
 SAMPLE = (3000, 1500)  # ordinary and toxic texts that the models learn from at most
 KEPT_WORDS = 300_000  # words a worker remembers the ratios of
 WORDS = re.compile(r"[^\W\d_]+")
@@ -29,6 +32,11 @@ def words(text: str | None) -> list[str]:
     return WORDS.findall(text.lower()) if text else []
 
 
+def _share(toxic: float, n_words: int) -> list[float]:
+    """Logs of the share and of the number of toxic words, steadied for short texts."""
+    return [math.log((toxic + 0.1) / (n_words + 10)), math.log(toxic + 0.1)]
+
+
 class Scorer:
     """What the models say of a text."""
 
@@ -38,7 +46,7 @@ class Scorer:
     def features(self, text: str | None) -> list[float]:
         own, ratios = words(text), self.ratios
         if not own:
-            return [0.0, 0.0, 0.0]
+            return [0.0, 0.0, 0.0, *_share(0.0, 0)]
         if len(ratios) > KEPT_WORDS:
             ratios.clear()
         for w in own:
@@ -46,7 +54,7 @@ class Scorer:
                 ratios[w] = self.model.log_ratio(w)
         values, lengths = np.array([ratios[w] for w in own]), np.array([len(w) + 1 for w in own])
         top = np.argpartition(values, -3)[-3:] if len(own) > 3 else np.arange(len(own))
-        return [float(values.sum() / lengths.sum()), float((values / lengths).max()), float(values[top].sum() / 3 / np.sqrt(lengths[top].mean()))]
+        return [float(values.sum() / lengths.sum()), float((values / lengths).max()), float(values[top].sum() / 3 / np.sqrt(lengths[top].mean())), *_share(float((1 / (1 + np.exp(MARKED - values))).sum()), len(own))]
 
 
 class Model:
@@ -128,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sizes: tuple[i
     sent.destroy()
     y = np.array([r.y for r in seen])
     if not (y == 1).any() or not (y == 0).any():
-        return Model({}, np.zeros(3), np.ones(3), np.zeros(4))
+        return Model({}, np.zeros(5), np.ones(5), np.zeros(6))
     return Model(whole, *_logistic(np.array([r.x for r in seen]), y))
 
 

@@ -190,6 +190,21 @@ def test_toxicity_without_labels(docs, none, rude):
     assert T.score(none, T.fit(none, empty)).count() == 0
 
 
+def test_toxicity_sees_whole_stems_and_shares():
+    counts = collections.defaultdict(lambda: [0, 0])
+    # Every piece of five characters of the toxic word is as usual in ordinary texts.
+    usual = ["achlosen", "pachlicter", "uchlichm", "fachlicher", "lichkeit"]
+    for word, n in [*((w, (50, 50)) for w in usual), ("achlich", (0, 10))]:
+        for g in ngrams(word, T.ORDER):
+            for c in (0, 1):
+                counts[g][c] += n[c]
+    scorer = T.Scorer({g: tuple(n) for g, n in counts.items()})
+    assert scorer.model.log_ratio("achlich") > 3 and scorer.model.log_ratio("achlichs") > 3
+    assert all(scorer.model.log_ratio(w) < 1 for w in usual)
+    few, many = (scorer.features(" ".join(usual[:1] * (300 - n) + ["achlich"] * n)) for n in (3, 12))
+    assert len(few) == 5 and all(b - a > 0.2 for a, b in zip(few[3:], many[3:], strict=True))
+
+
 def test_shared_backoff_shares_add_up():
     rng = random.Random(5)
     counts = collections.defaultdict(lambda: [0, 0])
