@@ -84,19 +84,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 5
     return centre, scale, w
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, label: str, sizes: tuple[int, int]) -> DataFrame:
-    """At most so many rows of either label, by a hash of doc_id; of several labels the highest counts.
+def sampling_shift(seen: tuple[int, int], there: tuple[int, int]) -> float:
+    """What the curve's intercept gains so that scores stand for the classes as labelled, not as sampled.
+
+    Both counts are of ordinary and toxic texts. The root weight of
+    ``_logistic`` evens out half of the classes' log ratio in the sample, so half of the
+    difference to the ratio there is left.
+    """
+    return 0.5 * (math.log(there[1] / there[0]) - math.log(seen[1] / seen[0]))
+
+
+def sample_of(docs: DataFrame, labels: DataFrame, label: str, sizes: tuple[int, int]) -> tuple[DataFrame, tuple[int, int]]:
+    """At most so many rows of either label, by a hash of doc_id, and how many of either there are; of several labels the highest counts.
 
     ``labels`` needs ``doc_id`` and the label (0, 1; nulls are left out).
     """
     one = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("_label"))
+    there = {r["_label"]: r["count"] for r in one.groupBy("_label").count().collect()}
     picked = None
     for value in (0, 1):
         own = one.where(F.col("_label") == value).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sizes[value])
         picked = own if picked is None else picked.unionByName(own)
     rows = picked.collect()  # bounded by the sizes
     ids = docs.sparkSession.createDataFrame([tuple(r) for r in rows] or [], "doc_id long, _label int")
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "_label", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("_half"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "_label", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("_half"))
+    return sample, (there.get(0, 0), there.get(1, 0))
 
 
 def _gram_counts(batches):
@@ -113,7 +125,7 @@ def _gram_counts(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sizes: tuple[int, int] = SAMPLE) -> Model:
     """Learn from labelled rows; words count once per text. Without either class every score is 0."""
-    sample = sample_of(docs, labels, label, sizes)
+    sample, there = sample_of(docs, labels, label, sizes)
     rows = sample.mapInArrow(_gram_counts, "gram string, half int, label int, n long").groupBy("gram").agg(
         *(F.sum(F.when((F.col("half") == h) & (F.col("label") == c), F.col("n")).otherwise(0)).alias(f"n{h}{c}") for h in (0, 1) for c in (0, 1))
     )
@@ -137,7 +149,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sizes: tuple[i
     y = np.array([r.y for r in seen])
     if not (y == 1).any() or not (y == 0).any():
         return Model({}, np.zeros(5), np.ones(5), np.zeros(6))
-    return Model(whole, *_logistic(np.array([r.x for r in seen]), y))
+    centre, scale, weights = _logistic(np.array([r.x for r in seen]), y)
+    weights[0] += sampling_shift(tuple(min(n, most) for n, most in zip(there, sizes)), there)
+    return Model(whole, centre, scale, weights)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -205,6 +205,27 @@ def test_toxicity_sees_whole_stems_and_shares():
     assert len(few) == 5 and all(b - a > 0.2 for a, b in zip(few[3:], many[3:], strict=True))
 
 
+def test_toxicity_scores_mean_the_same_at_every_sample():
+    rng = np.random.default_rng(3)
+    y = (np.arange(40_000) % 10 == 0).astype(int)
+    x = rng.normal(size=(len(y), 1)) + 1.5 * y[:, None]
+    every = T.Model({}, *T._logistic(x, y))
+    held = (y == 1) | (rng.random(len(y)) < 0.2)  # all toxic texts, a fifth of the ordinary ones
+    centre, scale, weights = T._logistic(x[held], y[held])
+    there, seen = (tuple(np.bincount(v)) for v in (y, y[held]))
+    at = np.linspace(-2, 4, 13)[:, None]
+    assert np.abs(T.Model({}, centre, scale, weights).curve(at) - every.curve(at)).max() > 0.1
+    weights[0] += T.sampling_shift(seen, there)
+    assert T.Model({}, centre, scale, weights).curve(at) == pytest.approx(every.curve(at), abs=0.03)
+
+
+def test_toxicity_fit_corrects_for_its_sample(rude, monkeypatch):
+    docs, labels = rude
+    monkeypatch.setattr(T, "_logistic", lambda x, y: (x.mean(0), np.ones(x.shape[1]), np.zeros(1 + x.shape[1])))
+    assert T.fit(docs, labels, sizes=(100, 100)).weights[0] == pytest.approx(-0.5 * math.log(5))  # of 500 and 100
+    assert T.fit(docs, labels).weights[0] == 0
+
+
 def test_shared_backoff_shares_add_up():
     rng = random.Random(5)
     counts = collections.defaultdict(lambda: [0, 0])
