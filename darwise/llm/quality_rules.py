@@ -1,7 +1,7 @@
 """Operator 8, quality rules with adaptive thresholds.
 
 Each rule looks at one ratio of a text. What is too high or too low is learnt
-from the corpus: quantile sketches of the ratio per language and source, built
+from the corpus: deciles and medians of the ratio per language and source, sketches built
 by partial aggregation and merged, also into one per language and one of all
 texts for groups too small to say much. Texts are then joined with the bounds of
 their group and filtered.
@@ -15,18 +15,21 @@ from darwise.llm.statistics import statistics
 from darwise.llm.tables import with_columns
 from darwise.llm.text import filled, slices
 
-# Ratio of a text, and which side is bad; a bound lies `REACH` interquartile ranges beyond the quartile, and at least
-# `margin` beyond it, as clean groups can be very even.
+# Ratio of a text, which side is bad, what the ratio is a mean over, and how far one such thing may move it. A bound lies
+# `REACH` times the way from the group's median to its outer decile beyond that decile, and as far again as chance may
+# move a text of its length, as clean groups can be very even.
 RULES = {
-    "symbol_ratio": ("n_symbols / word_chars", "high", 0.05),
-    "dup_line_ratio": ("n_dup_lines / n_lines", "high", 0.4),
-    "repeat_ratio": ("n_repeat_words / n_words", "high", 0.3),
-    "word_length": ("word_chars / n_words", "both", 5.0),
-    "upper_ratio": ("n_upper / word_chars", "high", 0.3),
-    "mark_ratio": ("n_marks / word_chars", "high", 0.15),
-    "distinct_ratio": ("n_distinct_words / sqrt(n_words)", "low", 1.5),
+    "symbol_ratio": ("n_symbols / word_chars", "high", "word_chars", 1.0),
+    "dup_line_ratio": ("n_dup_lines / n_lines", "high", "n_lines", 1.0),
+    "repeat_ratio": ("n_repeat_words / n_words", "high", "n_words", 1.0),
+    "word_length": ("word_chars / n_words", "both", "n_words", 8.0),
+    "upper_ratio": ("n_upper / word_chars", "high", "word_chars", 1.0),
+    "mark_ratio": ("n_marks / word_chars", "high", "word_chars", 1.0),
+    # Words that are distinct become fewer as a text goes on: the power of its length that they grow by.
+    "distinct_ratio": ("ln(n_distinct_words) / ln(n_words)", "low", "n_words", 0.5),
 }
-REACH = 6.0
+REACH = 3.0
+QUANTILES = (0.1, 0.5, 0.9)
 LEAST = 100  # texts of a group whose own quantiles count
 SKETCH = 1000  # accuracy of the quantile sketches
 BASE_WORDS, BASE_REPEAT = 10, 20
@@ -54,13 +57,13 @@ def with_figures(docs: DataFrame) -> DataFrame:
 
 def _ratio(rule: str) -> Column:
     above, below = RULES[rule][0].split(" / ")
-    return F.try_divide(F.col(above).cast("double"), F.expr(below))
+    return F.try_divide(F.expr(above).cast("double"), F.expr(below))
 
 
 def thresholds(figures: DataFrame, keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """Bounds of every rule per group: ``_level`` 0 for (lang, source), 1 for lang, 2 for all; nulls are a group."""
     own = figures.select(*(F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(k) for k in keys), *(_ratio(r).alias(r) for r in RULES))
-    sketches = [F.percentile_approx(r, F.array(F.lit(0.25), F.lit(0.75)), SKETCH).alias(r) for r in RULES]
+    sketches = [F.percentile_approx(r, F.array(*(F.lit(q) for q in QUANTILES)), SKETCH).alias(r) for r in RULES]
     grouped = own.rollup(*keys).agg(*sketches, F.count(F.lit(1)).alias("_n"), F.grouping_id(*keys).alias("_level"))
     return grouped.select(*keys, "_n", F.when(F.col("_level") == 3, 2).otherwise(F.col("_level")).cast("int").alias("_level"), *RULES)
 
@@ -88,14 +91,14 @@ def judge(docs: DataFrame, keys: tuple[str, str] = ("lang", "source")) -> DataFr
             out = out.join(own, [f"_k{i}" for i in range(used)], "left")
         else:
             one = own.select(packed).first()  # a single row
-            every = F.struct(*(F.array(*(F.lit(float(v)) for v in (one[0][r] or (0.0, 0.0)))).alias(r) for r in RULES)) if one and one[0] else None
+            every = F.struct(*(F.array(*(F.lit(float(v)) for v in (one[0][r] or (0.0, 0.0, 0.0)))).alias(r) for r in RULES)) if one and one[0] else None
     bound = F.coalesce("_b0", "_b1", *([every] if every is not None else []))
     failed = []
-    for rule, (_, side, margin) in RULES.items():
-        low, high = bound[rule][0], bound[rule][1]
-        reach = F.greatest(F.lit(margin), REACH * (high - low))
-        value = _ratio(rule)
-        bad = (value > high + reach) if side == "high" else (value < low - reach) if side == "low" else (value > high + reach) | (value < low - reach)
+    for rule, (_, side, count, step) in RULES.items():
+        low, middle, high = (bound[rule][i] for i in range(3))
+        value, chance = _ratio(rule), F.try_divide(F.lit(step), F.sqrt(count))
+        over, under = value > high + REACH * (high - middle) + chance, value < low - REACH * (middle - low) - chance
+        bad = over if side == "high" else under if side == "low" else over | under
         failed.append(F.when(bad, F.lit(rule)))
     base = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEAT * F.col("n_words"))
     out = out.withColumns({"base_failed": base, "failed_rules": F.array_compact(F.array(*failed))})

@@ -157,6 +157,31 @@ def test_rules_adapt_to_their_group(spark, none):
     assert R.judge(none).count() == 0
 
 
+def test_every_rule_rejects_something(spark):
+    rng = random.Random(5)
+    word = lambda least=2, most=9: "".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(least, most)))
+    prose = lambda n=100, **of: [word(**of) for _ in range(n)]
+    lines = lambda held: "\n".join(" ".join(prose(4)) + ("\nok" if held else "") for _ in range(40))
+    again, few = prose(8), prose(6)
+    odd = {
+        "symbol_ratio": [" ".join(w + "#" for w in prose())],
+        "dup_line_ratio": [lines(True)],
+        "repeat_ratio": [" ".join([*prose(42), *again, *prose(42), *again])],
+        "word_length": [" ".join(prose(least=18, most=22)), " ".join(prose(least=2, most=2))],
+        "upper_ratio": [" ".join(prose()).upper()],
+        "mark_ratio": [" ".join(w + "!" for w in prose())],
+        "distinct_ratio": [" ".join(rng.choices(few, k=60))],
+    }
+    texts = [" ".join(prose()) for _ in range(150)] + [lines(False) for _ in range(50)]
+    wanted = [None] * len(texts) + [rule for rule, own in odd.items() for _ in own]
+    texts += [t for own in odd.values() for t in own]
+    rows = [(i, t, "en", "web") for i, t in enumerate(texts)]
+    out = {r["doc_id"]: r for r in R.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert set(odd) == set(R.RULES) and not any(out[i]["base_failed"] for i in out)
+    for i, rule in enumerate(wanted):
+        assert out[i]["kept"] if rule is None else rule in out[i]["failed_rules"]
+
+
 # --- 2: toxicity ----------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def rude(spark):
