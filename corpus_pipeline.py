@@ -40,19 +40,22 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of smallest doc_id stays, once if it is repeated.
+    """Of each group of near-duplicates one document of smallest doc_id stays; groups that share a doc_id keep one each.
 
     Rows without a doc_id go if their group has a document with one; else those
     of equal text stay once.
     """
     prepare(spark)
-    # Only rows without a doc_id need another key, by which they are found again.
-    key = F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    found = near_duplicates(texts(docs).withColumn("_key", key))
-    first = saved(spark, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first"), "_key").distinct(), "first")
-    named = docs.join(first.where("_first is not null").select("_first"), F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null").withColumn("_key", key).join(first.where("_first is null").select("_key"), "_key", "left_semi")
-    return named.unionByName(nameless.dropDuplicates(["_key"]).select(*docs.columns))
+    # Rows are found again by doc_id and text, as a doc_id may stand on several texts.
+    key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    found = near_duplicates(texts(docs).withColumn("_key", key), root="_root")
+    least = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    one = least.where("doc_id is not null").groupBy("_root").agg(F.min("doc_id").alias("_first"), F.min("_key").alias("_text")).select("_first", "_text")
+    first = saved(spark, one.unionByName(least.where("doc_id is null").select(F.col("doc_id").alias("_first"), F.col("_key").alias("_text")).distinct()), "first")
+    own = sealed(docs).withColumn("_key", key)
+    named = own.join(first.where("_first is not null"), (F.col("doc_id") == F.col("_first")) & (F.col("_key") == F.col("_text")), "left_semi").dropDuplicates(["doc_id", "_key"])
+    nameless = own.where("doc_id is null").join(first.where("_first is null"), F.col("_key") == F.col("_text"), "left_semi").dropDuplicates(["_key"])
+    return unsealed(named.unionByName(nameless), docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -145,14 +145,16 @@ def links(distinct: DataFrame) -> DataFrame:
     return lists.select("fps").mapInArrow(_links, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, root: str | None = None) -> DataFrame:
     """Add ``fingerprint`` (16 hex digits) and ``component_id`` to ``docs`` (``doc_id``, ``text``, more).
 
     Words are lower-cased in A-Z, shingles are 3 words; texts of fewer words are
     one shingle, texts without words (null too) have fingerprint zero and are
     linked like any other. ``component_id`` is the smallest doc_id that can be
     reached over links of at most 3 differing bits (null ids are passed over,
-    unless there is no other). Input columns named like an added one give way.
+    unless there is no other). ``root`` names a column for a number that each group has for
+    itself, as groups share a component_id where doc_ids are repeated. Input columns named like an
+    added one give way.
     """
     spark = docs.sparkSession
     bare = docs.drop("text")
@@ -161,6 +163,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = connected(links(least.select("fp")))
     named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = named.join(of_root, "root").select(F.col("fp").alias("_fp"), "component_id")
+    by_print = named.join(of_root, "root").select(F.col("fp").alias("_fp"), "component_id", *([F.col("root").alias(root)] if root else []))
     out = printed.drop("component_id", "fingerprint").join(by_print, "_fp", "left")
     return out.withColumn("fingerprint", F.lpad(F.lower(F.hex("_fp")), 16, "0")).drop("_fp")

@@ -92,3 +92,15 @@ def test_repeated_and_null_ids_keep_one_document(spark, tables):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = C.simhash_near_dedup(spark, docs, folder).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept) == [(False, 5), (False, 8), (True, None)]
+
+
+def test_groups_that_share_a_doc_id_keep_one_document_each(spark, tables):
+    folder, _ = tables
+    rng = random.Random(9)
+    prose = lambda: " ".join("".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 9))) for _ in range(200))
+    a, b, c = prose(), prose(), prose()
+    # 5 stands on two texts; the group of c has a smaller doc_id than its row of 5; 6 and 7 are copies.
+    rows = [(5, a), (5, a), (5, b), (6, a), (7, b), (5, c), (4, c)]
+    rows += [(9, a.upper()), (5, a.upper())]  # a near copy of one doc_id in one group
+    kept = C.simhash_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), folder).collect()
+    assert sorted((r["doc_id"], r["text"].lower()) for r in kept) == sorted([(5, a), (5, b), (4, c)])
