@@ -114,3 +114,12 @@ def op10_simhash(spark, d):
     from darwise.llm.simhash import near_duplicates
 
     return near_duplicates(texts(table(spark, d, "documents"))).select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op13_bpe(spark, d):
+    from darwise.llm.bpe import decode_ids, encode_texts
+
+    out = decode_ids(encode_texts(texts(table(spark, d, "documents")), vocabulary()).drop("text"), vocabulary())
+    sha = F.sha2(F.col("decoded").cast("binary"), 256)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), sha.alias("decoded_sha256"))
