@@ -116,6 +116,14 @@ def op10_simhash(spark, d):
     return near_duplicates(texts(table(spark, d, "documents"))).select("doc_id", "fingerprint", "component_id")
 
 
+@query
+def op11_embedding_whitening(spark, d):
+    from darwise.llm.whitening import whiten
+
+    out = whiten(table(spark, d, "embeddings"), scale=256, components=4)
+    return out.select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
 @query
 def op13_bpe(spark, d):
     from darwise.llm.bpe import decode_ids, encode_texts
