@@ -34,4 +34,24 @@ kept AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.pos) AS t
 removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
 SELECT d.doc_id, len(ws) AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
 FROM docs d LEFT JOIN removed r ON r.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id""",
+        # The CRC-32 of a decimal id, bit by bit: DuckDB has no such function.
+        "op12_conversation_trie": r"""
+WITH given AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p,
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+', 0)) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+plan AS (SELECT c, c - c % 20 AS base, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(c::VARCHAR, ''), lambda s: ord(s)::BIGINT),
+    lambda a, b: list_reduce([xor(a, b)] || range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 AS h FROM (SELECT DISTINCT c FROM given)),
+lengths AS (SELECT c, count(*) AS n FROM given GROUP BY 1),
+turns AS (SELECT l.c, g.p AS d, said, words FROM plan l JOIN given g ON g.c = l.base AND g.p <= l.h
+  UNION ALL SELECT l.c, g.p - l.h + least(l.h, coalesce(b.n, 0)), said, words FROM plan l JOIN given g ON g.c = l.c AND g.p > l.h LEFT JOIN lengths b ON b.c = l.base),
+members AS (SELECT c, d, words, string_agg(said, '') OVER (PARTITION BY c ORDER BY d) AS path FROM turns UNION ALL SELECT c, 0, 0, '' FROM plan),
+ends AS (SELECT path, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends_sha256 FROM (SELECT c, max_by(path, d) AS path FROM members GROUP BY c) GROUP BY path),
+nodes AS (SELECT path, d AS depth, min(c) AS conv_id, count(*) AS n_convs, max(words) AS words FROM members GROUP BY ALL),
+families AS (SELECT left(path, 64 * (depth - 1)) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+counted AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN families f ON f.path = n.path),
+inside AS (SELECT path, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM
+  (SELECT (n_children = 0)::INT AS leaf, (n_convs - 1) * words AS saved, left(path, 64 * unnest(range(0, depth + 1))) AS path FROM counted) GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens,
+  coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM counted n JOIN inside i ON i.path = n.path LEFT JOIN ends e ON e.path = n.path LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = left(n.path, 64 * (n.depth - 1))""",
     }

@@ -124,6 +124,14 @@ def op11_embedding_whitening(spark, d):
     return out.select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
 
 
+@query
+def op12_conversation_trie(spark, d):
+    from darwise.llm.conversations import prefix_trie, rebuilt
+
+    turns = rebuilt(table(spark, d, "conversations"), family=20, shared=lambda c: (F.crc32(c.cast("string").cast("binary")) % 4).cast("int"), most=3)
+    return prefix_trie(turns).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 @query
 def op13_bpe(spark, d):
     from darwise.llm.bpe import decode_ids, encode_texts
