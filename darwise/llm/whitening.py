@@ -18,9 +18,10 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.mllib.linalg import DenseMatrix
+from pyspark.mllib.common import callMLlibFunc
+from pyspark.mllib.linalg import DenseMatrix, MatrixUDT
 from pyspark.mllib.linalg.distributed import BlockMatrix
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from darwise.llm.exchange import saved
 from darwise.llm.tables import partitions
@@ -115,13 +116,25 @@ def moments(blocks: DataFrame, d: int) -> Moments:
 def matrix(blocks: DataFrame, held: Moments, rows_per_block: int, row_of, column_of, columns: int, height: int) -> BlockMatrix:
     """The centred blocks as a BlockMatrix, block ``number`` at ``(row_of, column_of)``; short blocks end in zero rows."""
     d = len(held.sums)
+    place = T.StructType([T.StructField("row", T.LongType()), T.StructField("column", T.LongType())])
+    cell = MatrixUDT.sqlType()
 
-    def centred(row):
-        x = np.zeros((rows_per_block, d))
-        x[: row.rows] = held.centred(opened(bytes(row.data), row.rows, d))
-        return (row_of(row.number), column_of(row.number)), DenseMatrix(rows_per_block, d, x.ravel(), True)
-
-    return BlockMatrix(blocks.rdd.map(centred), rows_per_block, d, height * rows_per_block, columns * d)
+    def centred(batches):
+        for batch in filled(batches):
+            # One block at a time, as doubles are wider than what is stored.
+            for number, n, data in zip(*(batch.column(c) for c in ("number", "rows", "data"))):
+                x = np.zeros((rows_per_block, d))
+                x[: n.as_py()] = held.centred(opened(data.as_py(), n.as_py(), d))
+                at = {"row": row_of(number.as_py()), "column": column_of(number.as_py())}
+                values = pa.ListArray.from_arrays(pa.array([0, x.size], pa.int32()), pa.array(x.ravel()))
+                none = pa.array([None], pa.list_(pa.int32()))
+                parts = [pa.array([1], pa.int8()), pa.array([rows_per_block], pa.int32()), pa.array([d], pa.int32()), none, none, values, pa.array([True])]
+                yield pa.RecordBatch.from_pydict({"place": pa.array([at], pa.struct([("row", pa.int64()), ("column", pa.int64())])), "cell": pa.StructArray.from_arrays(parts, names=cell.names)})
+
+    found = blocks.select("number", "rows", "data").mapInArrow(centred, T.StructType([T.StructField("place", place), T.StructField("cell", MatrixUDT())]))
+    # The way of the Python constructor, but for its conversion of an RDD number by number.
+    made = callMLlibFunc("createBlockMatrix", found, rows_per_block, d, height * rows_per_block, columns * d)
+    return BlockMatrix(made, rows_per_block, d)
 
 
 def scatter(blocks: DataFrame, held: Moments, rows_per_block: int, count: int) -> np.ndarray:
