@@ -255,7 +255,7 @@ def tokens(spark, d):
 @query
 def term_stats(spark, d):
     docs = spread(S.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    return bm25.lexical_index(bm25.index_terms(docs, chunk_id="doc_id")).term_stats
+    return bm25.term_statistics(bm25.index_terms(docs, chunk_id="doc_id"))
 
 
 @query
@@ -368,9 +368,9 @@ def _chunks(spark, d):
 
 
 def _lexical(corpus):
-    """Index over a corpus for one query: terms and statistics are written before they are read."""
+    """Index over a corpus for one query: terms, postings and statistics are written before they are read."""
     terms = stored(bm25.index_terms(corpus))
-    index = bm25.lexical_index(terms, stored(bm25.lexical_index(terms).term_stats))
+    index = bm25.lexical_index(terms, stored(bm25.term_statistics(terms)), bm25.store_postings(bm25.postings_of(terms)))
     return index._replace(totals=stored(index.totals))
 
 
