@@ -1,92 +1,74 @@
-"""Token ids of texts with a public tokenizer, encoded once per distinct word.
+"""Token ids of texts with a public tokenizer, encoded once per distinct piece.
 
-Texts are cut at runs of blanks, tabs and line breaks. The vocabulary drops
-white space and merges nothing across it, so the ids of a text are the ids of
-its parts in order. Each worker keeps the ids of the parts it has seen.
+Batches of texts are cut into distinct pieces (``pieces``), and the library
+merges each piece that the worker has not seen; the vocabulary merges nothing
+across pieces, so the ids of a text are the ids of its pieces in order.
 """
 
 import gc
-import re
-import struct
+import os
 
+import numpy as np
 import pyarrow as pa
 
-from darwise.llm.text import worker_cache
+from darwise.llm.pieces import BYTE_CHARS, Words, library, together
+from darwise.llm.text import Slice, slices, worker_cache
 
-KEPT_PARTS = 300_000  # parts a worker remembers before it begins anew; no text is encoded differently for it
-# The pre-tokenizer's pattern on lower-case Latin-1.
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
-# Byte-level vocabularies write the bytes of UTF-8 as printable characters.
-_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+KEPT_PIECES = 300_000  # pieces a worker remembers before it begins anew; no text is encoded differently for it
+BATCH_BYTES = 2 << 20  # of text cut at once; one longer text goes by itself
 
 
 class Encoder:
     """``encode(texts)`` gives the ids of each text as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = library(path)
         self.merges = self.tokenizer.model.tokenize
-        self.parts: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _learn(self, unseen: set[str]) -> None:
-        other = []
-        for part in unseen:
-            # Printable Latin-1 is left as it is by normalisation, but for case; merges alone are left to do.
-            if part.isprintable() and (part.isascii() or max(part) < "\u0100") and not (part[0] == "<" or "<|" in part):
-                self.parts[part] = b"".join([self.pieces.get(p) or self._piece(p) for p in PIECES.findall(part.lower())])
-            else:
-                other.append(part)
-        for part, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            self.parts[part] = struct.pack(f"<{len(found.ids)}I", *found.ids)
-
-    def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.merges(piece if piece.isascii() else "".join([BYTE_CHARS[b] for b in piece.encode()]))]
-        self.pieces[piece] = made = struct.pack(f"<{len(ids)}I", *ids)
-        return made
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.words, self.added = Words(path, list(added)), list(added.values())
+        self.pieces: dict[bytes, bytes] = {}
+
+    def encode_slice(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows of a slice, one after the other, and the rows' bounds."""
+        found = self.words.distinct_of(part)
+        if found is None:
+            return np.zeros(0, np.uint32), np.zeros(len(part.off), np.int64)
+        (data, bounds), places = found
+        raw, ends, known = data.tobytes(), bounds.tolist(), self.pieces
+        gc.disable()  # many small objects, none in a cycle
+        names = [raw[a:b] for a, b in zip(ends, ends[1:])]
+        unseen = [n for n in names if n not in known]
+        if len(known) + len(unseen) > KEPT_PIECES:
+            # Begun anew with what this batch uses.
+            known = self.pieces = {n: known[n] for n in names if n in known}
+        merges = self.merges
+        for name in unseen:
+            known[name] = b"".join([t.id.to_bytes(4, "little") for t in merges(name.decode("latin-1").translate(BYTE_CHARS))])
+        ids = [known[n] for n in names]
+        gc.enable()
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        return together(np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(size)]), self.added, places)
 
     def encode(self, texts: list[str | None], many: int = 2000) -> list[bytes]:
-        out = []
-        for lo in range(0, len(texts), many):
-            cut = [_parts(t) for t in texts[lo : lo + many]]
-            distinct = {p for parts in cut for p in parts}
-            unseen = distinct - self.parts.keys()
-            if len(self.parts) + len(unseen) > KEPT_PARTS:
-                # Begun anew with what these texts use.
-                self.parts = {p: self.parts[p] for p in distinct - unseen}
-                if len(self.pieces) > KEPT_PARTS:
-                    self.pieces = {}
-            self._learn(unseen)
-            out += [b"".join([self.parts[p] for p in parts]) for parts in cut]
-        return out
+        column = pa.array(texts, pa.string())
+        return [f for lo in range(0, len(texts), many) for _, found in self.runs(column.slice(lo, many)) for f in found]
 
-
-def _parts(text: str | None) -> list[str]:
-    if not text:
-        return []
-    # str.split() knows more white space than the pattern of this cut.
-    return text.split() if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") else [p for p in re.split("[ \t\n\x0b\x0c\r]+", text) if p]
+    def runs(self, column: pa.Array):
+        for part in slices(column, BATCH_BYTES):
+            ids, bounds = self.encode_slice(part)
+            raw, ends = ids.astype("<u4").tobytes(), (4 * bounds).tolist()
+            yield part.lo, [raw[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder for this vocabulary file."""
     cache = worker_cache()
     if ("encoder", path) not in cache:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         cache[("encoder", path)] = Encoder(path)
     return cache[("encoder", path)]
 
 
-def encoded(column: pa.Array, path: str, rows: int = 500):
+def encoded(column: pa.Array, path: str):
     """``(first row, list of id bytes)`` for runs of rows of a text column."""
-    own = encoder(path)
-    for lo in range(0, len(column), rows):
-        gc.disable()  # many small objects, none in a cycle
-        found = own.encode(column.slice(lo, rows).to_pylist())
-        gc.enable()
-        yield lo, found
+    yield from encoder(path).runs(column)

@@ -34,7 +34,7 @@ def test_encoding_by_parts_equals_whole_texts(whole, texts):
 
 
 def test_a_full_memory_changes_nothing(whole, texts, monkeypatch):
-    monkeypatch.setattr("darwise.llm.tokens.KEPT_PARTS", 10)
+    monkeypatch.setattr("darwise.llm.tokens.KEPT_PIECES", 10)
     assert Encoder(vocabulary()).encode(texts, many=5) == [np.asarray(ids_of(whole, t), "<u4").tobytes() for t in texts]
 
 
