@@ -9,7 +9,11 @@ class knows well gets the same share in both, so it speaks for neither.
 
 import math
 
-KEPT_STEPS = 1_000_000  # remembered, not a limit of the model
+import numpy as np
+
+from darwise.llm.text import mix
+
+STRIDE = 0x9E3779B97F4A7C15  # odd; powers of it tell the places of a gram's characters apart
 START, END = "\x02", "\x03"
 
 
@@ -24,7 +28,6 @@ class SharedBackoff:
 
     def __init__(self, counts: dict[str, tuple[int, int]], order: int):
         self.order, self.counts = order, counts
-        self.steps: dict[str, float] = {}
         self.totals: dict[str, list[int]] = {}  # context: count and distinct continuations in either class
         ones = twos = 0
         for gram, pair in counts.items():
@@ -77,11 +80,62 @@ class SharedBackoff:
 
     def log_ratio(self, word: str) -> float:
         """Log of the word's share in class 1 over that in class 0."""
-        total, known = 0.0, self.steps
-        for gram in ngrams(word, self.order):
-            if gram not in known:
-                if len(known) > KEPT_STEPS:
-                    known.clear()
-                known[gram] = self.step(gram)
-            total += known[gram]
-        return total
+        return sum(self.step(gram) for gram in ngrams(word, self.order))
+
+    def context_step(self, context: str) -> float:
+        """The step of a character neither class has seen after ``context``: the shared share falls out of the ratio."""
+        held = self.totals[context]
+        each = [self.discount * held[2 + c] / held[c] if held[c] else 1.0 for c in (0, 1)]
+        return math.log(each[1]) - math.log(each[0])
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        """All steps as sorted hash arrays, as `Steps` takes them."""
+        out = {}
+        for name, texts, step in (("grams", list(self.counts), self.step), ("contexts", list(self.totals), self.context_step)):
+            codes, place = _codes(texts)
+            ends = np.cumsum([len(t) for t in texts], dtype=np.int64) - 1
+            keys = _hashes(codes, place, self.order, 0)[ends] if texts else np.zeros(0, np.uint64)
+            order = np.argsort(keys)
+            out[name], out[f"{name}_step"] = keys[order], np.fromiter(map(step, texts), float, len(texts))[order]
+        return out
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts in a row, and each one's place in its own text."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    return codes, np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _hashes(codes: np.ndarray, place: np.ndarray, most: int, skip: int) -> np.ndarray:
+    """For each place a hash of the up to ``most`` characters that end ``skip`` before it, within its own text."""
+    value, out, at = mix(codes.astype(np.uint64) + np.uint64(1)), np.zeros(len(codes), np.uint64), np.arange(len(codes))
+    for j in range(most):
+        held = place >= j + skip
+        out[held] += value[at[held] - j - skip] * np.uint64(pow(STRIDE, j + 1, 2**64))
+    return mix(out)
+
+
+class Steps:
+    """Log ratios of words from a fitted model's arrays: two binary searches for each character."""
+
+    def __init__(self, arrays: dict[str, np.ndarray], order: int):
+        self.arrays, self.order = arrays, order
+
+    def _find(self, name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known = self.arrays[name]
+        if not len(known):
+            return np.zeros(len(keys), bool), np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return known[at] == keys, self.arrays[f"{name}_step"][at]
+
+    def log_ratios(self, words: list[str]) -> np.ndarray:
+        """As `SharedBackoff.log_ratio`, for many words."""
+        if not words:
+            return np.zeros(0)
+        codes, place = _codes([START + w + END for w in words])
+        seen, step = self._find("grams", _hashes(codes, place, self.order, 0))
+        known, other = self._find("contexts", _hashes(codes, place, self.order - 1, 1))
+        each = np.where(seen, step, np.where(known, other, 0.0))
+        each[place == 0] = 0.0  # the start is given
+        return np.add.reduceat(each, np.flatnonzero(place == 0))

@@ -11,12 +11,13 @@ from 0 to 1.
 
 import math
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from darwise.llm.kneser_ney_words import SharedBackoff, ngrams
+from darwise.llm.kneser_ney_words import SharedBackoff, Steps, ngrams
 from darwise.llm.tables import with_columns
 from darwise.llm.text import filled, worker_cache
 
@@ -38,30 +39,33 @@ def _share(toxic: float, n_words: int) -> list[float]:
 
 
 class Scorer:
-    """What the models say of a text."""
+    """What the models say of texts, from the arrays of ``SharedBackoff.arrays``."""
 
-    def __init__(self, counts: dict[str, tuple[int, int]]):
-        self.model, self.ratios = SharedBackoff(counts, ORDER), {}
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.model, self.ratios = Steps(arrays, ORDER), {}
 
-    def features(self, text: str | None) -> list[float]:
-        own, ratios = words(text), self.ratios
+    def features(self, texts: list[str | None]) -> list[list[float]]:
+        every = [words(t) for t in texts]
+        unseen = list({w for own in every for w in own if w not in self.ratios})
+        if len(self.ratios) + len(unseen) > KEPT_WORDS:
+            self.ratios = {}
+            unseen = list({w for own in every for w in own})
+        self.ratios.update(zip(unseen, self.model.log_ratios(unseen).tolist()))
+        return [self._of(own) for own in every]
+
+    def _of(self, own: list[str]) -> list[float]:
         if not own:
             return [0.0, 0.0, 0.0, *_share(0.0, 0)]
-        if len(ratios) > KEPT_WORDS:
-            ratios.clear()
-        for w in own:
-            if w not in ratios:
-                ratios[w] = self.model.log_ratio(w)
-        values, lengths = np.array([ratios[w] for w in own]), np.array([len(w) + 1 for w in own])
+        values, lengths = np.array([self.ratios[w] for w in own]), np.array([len(w) + 1 for w in own])
         top = np.argpartition(values, -3)[-3:] if len(own) > 3 else np.arange(len(own))
         return [float(values.sum() / lengths.sum()), float((values / lengths).max()), float(values[top].sum() / 3 / np.sqrt(lengths[top].mean())), *_share(float((1 / (1 + np.exp(MARKED - values))).sum()), len(own))]
 
 
 class Model:
-    """Fitted: the counts of the class models, and the curve over the comparisons. Its size is bounded by the sample."""
+    """Fitted: the steps of the class models as arrays, and the curve over the comparisons. Its size is bounded by the sample."""
 
-    def __init__(self, counts: dict, centre: np.ndarray, scale: np.ndarray, weights: np.ndarray):
-        self.counts, self.centre, self.scale, self.weights = counts, centre, scale, weights
+    def __init__(self, arrays: dict[str, np.ndarray], centre: np.ndarray, scale: np.ndarray, weights: np.ndarray):
+        self.arrays, self.centre, self.scale, self.weights = arrays, centre, scale, weights
 
     def curve(self, x: np.ndarray) -> np.ndarray:
         z = (np.atleast_2d(x) - self.centre) / self.scale @ self.weights[1:] + self.weights[0]
@@ -129,10 +133,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sizes: tuple[i
     rows = sample.mapInArrow(_gram_counts, "gram string, half int, label int, n long").groupBy("gram").agg(
         *(F.sum(F.when((F.col("half") == h) & (F.col("label") == c), F.col("n")).otherwise(0)).alias(f"n{h}{c}") for h in (0, 1) for c in (0, 1))
     )
-    counts = {r.gram: (r.n00, r.n01, r.n10, r.n11) for r in rows.toLocalIterator()}  # the n-grams of the sample
+    counts = {r.gram: (r.n00, r.n01, r.n10, r.n11) for r in rows.toLocalIterator()}  # the n-grams of the sample, bounded as it is
     halves = [{g: (n[2 * h], n[2 * h + 1]) for g, n in counts.items() if n[2 * h] + n[2 * h + 1]} for h in (0, 1)]
-    whole = {g: (n[0] + n[2], n[1] + n[3]) for g, n in counts.items()}
-    sent = docs.sparkSession.sparkContext.broadcast(halves)
+    # Plain arrays are sent: what is broadcast is pickled by reference, and workers need no copy of the package.
+    sent = docs.sparkSession.sparkContext.broadcast([SharedBackoff(h, ORDER).arrays() for h in halves])
 
     def compare(batches):
         scorers = {}
@@ -141,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sizes: tuple[i
             for text, half in zip(batch.column("text").to_pylist(), batch.column("_half").to_pylist()):
                 if half not in scorers:
                     scorers[half] = Scorer(sent.value[1 - half])
-                out.append(scorers[half].features(text))
+                out += scorers[half].features([text])
             yield pa.RecordBatch.from_pydict({"y": batch.column("_label"), "x": pa.array(out, pa.list_(pa.float64()))})
 
     seen = sample.mapInArrow(compare, "y int, x array<double>").collect()  # a row per text of the sample
@@ -151,7 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sizes: tuple[i
         return Model({}, np.zeros(5), np.ones(5), np.zeros(6))
     centre, scale, weights = _logistic(np.array([r.x for r in seen]), y)
     weights[0] += sampling_shift(tuple(min(n, most) for n, most in zip(there, sizes)), there)
-    return Model(whole, centre, scale, weights)
+    whole = {g: (n[0] + n[2], n[1] + n[3]) for g, n in counts.items()}
+    return Model(SharedBackoff(whole, ORDER).arrays(), centre, scale, weights)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -159,15 +164,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Only ``text`` is looked at; an input column named like an added one gives way.
     """
-    sent, schema = docs.sparkSession.sparkContext.broadcast(model), with_columns(docs.schema, *ADDED)
+    sent, schema = docs.sparkSession.sparkContext.broadcast(model.arrays), with_columns(docs.schema, *ADDED)
+    name, curve = uuid.uuid4().hex, Model({}, model.centre, model.scale, model.weights)
 
     def run(batches):
-        own, cache = sent.value, worker_cache()
-        if cache.get("toxicity", (None,))[0] is not own:
-            cache["toxicity"] = (own, Scorer(own.counts) if own.counts else None)
+        cache = worker_cache()
+        if cache.get("toxicity", (None,))[0] != name:
+            cache["toxicity"] = (name, Scorer(sent.value) if sent.value else None)
         scorer = cache["toxicity"][1]
         for batch in filled(batches):
-            p = own.curve(np.array([scorer.features(t.as_py()) for t in batch.column("text")])) if scorer else np.zeros(batch.num_rows)
+            made = []
+            for lo in range(0, batch.num_rows, 200):
+                p = curve.curve(np.array(scorer.features(batch.column("text").slice(lo, 200).to_pylist()))) if scorer else np.zeros(min(200, batch.num_rows - lo))
+                made.append(p)
+            p = np.concatenate(made)
             made = {"score": pa.array(p, pa.float64()), "predicted": pa.array((p >= 0.5).astype(np.int32))}
             yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else batch.column(f.name) for f in schema.fields], names=schema.names)
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from darwise.llm import decontaminate as D, language_model as L, quality_model as Q, quality_rules as R, toxicity as T
-from darwise.llm.kneser_ney_words import SharedBackoff, ngrams
+from darwise.llm.kneser_ney_words import SharedBackoff, Steps, ngrams
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -223,10 +223,11 @@ def test_toxicity_sees_whole_stems_and_shares():
         for g in ngrams(word, T.ORDER):
             for c in (0, 1):
                 counts[g][c] += n[c]
-    scorer = T.Scorer({g: tuple(n) for g, n in counts.items()})
-    assert scorer.model.log_ratio("achlich") > 3 and scorer.model.log_ratio("achlichs") > 3
-    assert all(scorer.model.log_ratio(w) < 1 for w in usual)
-    few, many = (scorer.features(" ".join(usual[:1] * (300 - n) + ["achlich"] * n)) for n in (3, 12))
+    model = SharedBackoff({g: tuple(n) for g, n in counts.items()}, T.ORDER)
+    scorer = T.Scorer(model.arrays())
+    assert model.log_ratio("achlich") > 3 and model.log_ratio("achlichs") > 3
+    assert all(model.log_ratio(w) < 1 for w in usual)
+    few, many = scorer.features([" ".join(usual[:1] * (300 - n) + ["achlich"] * n) for n in (3, 12)])
     assert len(few) == 5 and all(b - a > 0.2 for a, b in zip(few[3:], many[3:], strict=True))
 
 
@@ -264,6 +265,35 @@ def test_shared_backoff_shares_add_up():
     assert m.step("zzz") == 0.0
 
 
+@pytest.mark.parametrize("order", [2, 4, 8])
+def test_steps_equal_the_model(order):
+    """the arrays workers get give the ratios of the model, for words known, half known and unknown"""
+    rng = random.Random(order)
+    word = lambda letters, most: "".join(rng.choice(letters) for _ in range(rng.randint(1, most)))
+    counts = collections.defaultdict(lambda: [0, 0])
+    for k in range(400):
+        for g in ngrams(word("abcdé", 12), order):
+            counts[g][int(rng.random() < 0.3)] += 1
+    model = SharedBackoff({g: tuple(n) for g, n in counts.items()}, order)
+    steps = Steps(model.arrays(), order)
+    asked = [word("abcdéxß你", 14) for _ in range(500)] + ["a", "abcabcabcabc", "zzz"]
+    assert steps.log_ratios(asked) == pytest.approx([model.log_ratio(w) for w in asked], abs=1e-9)
+    assert steps.log_ratios([]).tolist() == [] and Steps(SharedBackoff({}, order).arrays(), order).log_ratios(["ab"]).tolist() == [0.0]
+
+
+def test_toxicity_with_repeated_rows_and_null_ids(spark, rude):
+    """equal texts score alike, whatever their ids; columns named like the added ones give way"""
+    docs, labels = rude
+    model = T.fit(docs, labels)
+    odd = spark.createDataFrame([(None, "plain words here", "a", 1), (None, "plain words here", "b", 2), (5, None, None, None), (5, "", "", 0), (6, "word " * 40000, "", 0)], "doc_id long, text string, score string, PREDICTED int")
+    got = T.score(odd, model).collect()
+    assert len(got) == 5 and got[0].asDict().keys() == {"doc_id", "text", "score", "predicted"}
+    by_text = {}
+    for r in got:
+        by_text.setdefault(r["text"] or "", set()).add(r["score"])
+    assert all(len(s) == 1 and 0 <= min(s) <= 1 for s in by_text.values())
+
+
 # --- 5: classifier -----------------------------------------------------------------------
 def test_quality_on_held_out_rows(spark):
     rng = random.Random(9)
