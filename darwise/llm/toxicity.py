@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from darwise.llm.kneser_ney_words import SharedBackoff, Steps, ngrams
+from darwise.llm.kneser_ney_words import Steps, fitted, ngrams
 from darwise.llm.tables import with_columns
 from darwise.llm.text import filled, worker_cache
 
@@ -39,7 +39,7 @@ def _share(toxic: float, n_words: int) -> list[float]:
 
 
 class Scorer:
-    """What the models say of texts, from the arrays of ``SharedBackoff.arrays``."""
+    """What the models say of texts, from the arrays of ``fitted``."""
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.model, self.ratios = Steps(arrays, ORDER), {}
@@ -133,10 +133,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sizes: tuple[i
     rows = sample.mapInArrow(_gram_counts, "gram string, half int, label int, n long").groupBy("gram").agg(
         *(F.sum(F.when((F.col("half") == h) & (F.col("label") == c), F.col("n")).otherwise(0)).alias(f"n{h}{c}") for h in (0, 1) for c in (0, 1))
     )
-    counts = {r.gram: (r.n00, r.n01, r.n10, r.n11) for r in rows.toLocalIterator()}  # the n-grams of the sample, bounded as it is
-    halves = [{g: (n[2 * h], n[2 * h + 1]) for g, n in counts.items() if n[2 * h] + n[2 * h + 1]} for h in (0, 1)]
+    counts = rows.toArrow()  # the n-grams of the sample, bounded as it is
+    grams = counts["gram"].combine_chunks()
+    n = np.stack([counts[c].to_numpy() for c in ("n00", "n01", "n10", "n11")], axis=1)
+
+    def model(pairs):
+        held = pairs.sum(axis=1) > 0
+        return fitted(grams.filter(pa.array(held)), pairs[held], ORDER) if held.any() else {}
+
     # Plain arrays are sent: what is broadcast is pickled by reference, and workers need no copy of the package.
-    sent = docs.sparkSession.sparkContext.broadcast([SharedBackoff(h, ORDER).arrays() for h in halves])
+    sent = docs.sparkSession.sparkContext.broadcast([model(n[:, :2]), model(n[:, 2:])])
 
     def compare(batches):
         scorers = {}
@@ -155,8 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sizes: tuple[i
         return Model({}, np.zeros(5), np.ones(5), np.zeros(6))
     centre, scale, weights = _logistic(np.array([r.x for r in seen]), y)
     weights[0] += sampling_shift(tuple(min(n, most) for n, most in zip(there, sizes)), there)
-    whole = {g: (n[0] + n[2], n[1] + n[3]) for g, n in counts.items()}
-    return Model(SharedBackoff(whole, ORDER).arrays(), centre, scale, weights)
+    return Model(model(n[:, :2] + n[:, 2:]), centre, scale, weights)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
