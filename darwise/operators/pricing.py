@@ -1,5 +1,6 @@
 """Unit-price model: features, split by time, boosted trees, median baseline, importance, scoring."""
 
+import random
 from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -150,40 +151,62 @@ def project_mape(df: DataFrame, prediction: str = "predicted") -> DataFrame:
     return df.groupBy("project_name").agg(F.avg(_absolute_share(F.col(_TARGET), F.col(prediction))).alias("mape"))
 
 
-def permutation_importance(
-    model: PipelineModel, test: DataFrame, repeats: int = V.IMPORTANCE_REPEATS, seed: int = 42, bucket_rows: int = 100_000
-) -> DataFrame:
+def shuffled_index(df: DataFrame, id_col: str = "sale_id", seed: int = 42) -> DataFrame:
+    """``df`` with ``_at``, the row's place from 0 in an order that a hash of id and seed gives; ids are distinct.
+
+    Rows are dealt out by ranges of the hash and numbered within a range; ranges
+    begin where the ones before them end (one row per partition tells how many
+    each holds). The order is the same on every run.
+    """
+    spark, by = df.sparkSession, F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(seed)))
+    rows = df.withColumn("_by", by)
+    ordered = rows.repartitionByRange("_by", id_col).sortWithinPartitions("_by", id_col).drop("_by")
+    # The number that rows get holds partition and place; it is fixed by writing it.
+    rows = stored(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    held = sorted((r["p"], r["n"]) for r in rows.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    base, bases = 0, []
+    for part, n in held:
+        bases.append((part, base))
+        base += n
+    first = spark.createDataFrame(bases, "_p long, _base long")
+    place = F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("_p", F.shiftright("_at", 33)).join(first, "_p").withColumn("_at", place).drop("_p", "_base")
+
+
+def _is_prime(n: int) -> bool:
+    return n > 1 and all(n % k for k in range(2, int(n**0.5) + 1))
+
+
+def permutation(feature: str, repeat: int, seed: int = 42) -> tuple[int, int]:
+    """``(a, b)``: row ``i`` of ``n`` takes the value of row ``(a * i + b) % n``; a prime above a billion, so no two rows share a donor."""
+    rng = random.Random(f"{seed}-{feature}-{repeat}")
+    a = rng.randrange(10**9, 2 * 10**9) | 1
+    while not _is_prime(a):
+        a += 2
+    return a, rng.randrange(10**9)
+
+
+def permutation_importance(model: PipelineModel, test: DataFrame, repeats: int = V.IMPORTANCE_REPEATS, seed: int = 42) -> DataFrame:
     """``(feature, importance)``: growth of the log-price error when a feature is shuffled.
 
-    Rows fall by hash into buckets of bounded size and stand there in random
-    order; a shuffle gives each row the value of the row ``r`` places on. Hashes
-    of the sale id make it the same on every run and after a lost executor.
+    Each feature and repeat has a permutation of its own over the rows in hash
+    order, so it is the same on every run and after a lost executor. The tables
+    are joined by place: no group of rows stands in one task.
     """
     features = V.PRICE_CATEGORICAL + V.PRICE_NUMERIC
-    n_buckets = max(1, -(-test.count() // bucket_rows))
-    mixed = F.xxhash64(F.col("sale_id"), F.lit(seed))
-    rows = _model_input(test).select(
-        F.struct(*features).alias("own"),
-        F.log(_TARGET).alias("_log_price"),
-        F.pmod(mixed, F.lit(n_buckets)).alias("_b"),
-        F.xxhash64(mixed, F.col("sale_id")).alias("_o"),
-        "sale_id",
-    )
-    in_bucket = W.partitionBy("_b")
-    rows = rows.withColumns(
-        {
-            "_r": F.row_number().over(in_bucket.orderBy("_o", "sale_id")) - 1,
-            "_n": F.count(F.lit(1)).over(in_bucket),
-        }
-    )
-    donors = rows.select("_b", F.col("_r").alias("_d"), F.col("own").alias("other"))
-    shifted = rows.withColumn("_shift", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn(
-        "_d", F.pmod(F.col("_r") + F.col("_shift"), F.col("_n")).cast("int")
-    )
-    met = shifted.join(donors, ["_b", "_d"])
+    rows = shuffled_index(_model_input(test).select(*features, F.log(_TARGET).alias("_log_price"), "sale_id"), seed=seed)
+    rows = rows.select("_at", "_log_price", F.struct(*features).alias("own"))
+    n = max(1, rows.count())
     # Variant 0 shuffles nothing; variant i shuffles feature i.
-    variants = met.withColumn("_v", F.explode(F.sequence(F.lit(0), F.lit(len(features)))))
-    changed = variants.select(
+    plans = [F.struct(F.lit(0).alias("_v"), F.col("_at").alias("_d"))]
+    for i, feature in enumerate(features, 1):
+        for repeat in range(repeats):
+            a, b = permutation(feature, repeat, seed)
+            plans.append(F.struct(F.lit(i).alias("_v"), F.pmod(F.col("_at") * a + b, F.lit(n)).alias("_d")))
+    variants = rows.select("_log_price", "own", F.inline(F.array(*plans)))
+    donors = rows.select(F.col("_at").alias("_d"), F.col("own").alias("other"))
+    met = variants.join(donors, "_d")
+    changed = met.select(
         "_v",
         "_log_price",
         *[F.when(F.col("_v") == i, F.col("other")[f]).otherwise(F.col("own")[f]).alias(f) for i, f in enumerate(features, 1)],

@@ -1,6 +1,7 @@
 """The registered queries once more, as SQL for another engine."""
 
 from darwise import values as V
+from darwise.operators.pricing import permutation
 from darwise.plans import queries as Q
 
 _STAND_IN = """
@@ -394,6 +395,11 @@ SELECT CASE WHEN month < c THEN 'train' ELSE 'test' END AS half, project_name, c
     ]
     coded = ", ".join(f"coalesce((SELECT code FROM code_{c} WHERE v = CAST(f.{c} AS VARCHAR)), CAST((SELECT count(*) FROM code_{c}) AS INTEGER)) AS {c}_code" for c in V.PRICE_CATEGORICAL)
     o["price_codes"] = _with(_STAND_IN, _FEATURES, _PRICE_BASELINE, *learnt) + f"SELECT sale_id, {coded} FROM features f"
+    a, b = permutation("area_sqm", 0)
+    placed = "placed AS (SELECT sale_id, area_sqm, row_number() OVER (ORDER BY md5(CAST(sale_id AS VARCHAR) || ':42'), sale_id) - 1 AS place FROM features)"
+    o["price_permutation"] = _with(_STAND_IN, _FEATURES, placed) + f"""
+SELECT p.sale_id, p.place, d.sale_id AS donor_id, d.area_sqm AS donor_area
+FROM placed p JOIN placed d ON d.place = (p.place * {a} + {b}) % (SELECT count(*) FROM placed)"""
     o["price_defaults"] = _with(_STAND_IN) + f"""
 SELECT unit_id, CASE WHEN unit_id % 4 = 0 THEN 'cash' ELSE '{V.DEFAULT_PAYMENT}' END AS payment_method, coalesce(floor, 0) AS floor, 7 AS month_index,
   CASE WHEN unit_id % 5 = 0 THEN 'Somewhere' ELSE '{V.DEFAULT_CITY}' END AS city,
@@ -433,6 +439,7 @@ means AS (SELECT label AS query_id, list(m ORDER BY i) AS v FROM (SELECT label,
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS dense_rank FROM (
   SELECT query_id, vec_id, round(list_cosine_similarity(v, CAST(embedding AS DOUBLE[])), 9) AS s FROM means, embeddings))
 SELECT query_id, vec_id, round(s, 6) AS score, dense_rank FROM ranked WHERE dense_rank <= {V.CANDIDATES}"""
+    o["clustered_topk"] = o["dense_topk"]
     o["hybrid_rrf"] = _HYBRID + "SELECT query_id, chunk_id, round(s9, 6) AS score, bm25_rank, dense_rank, rank FROM hits"
     near = f"""near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS dense_rank FROM (
   SELECT query_id, chunk_id, coalesce(s, 0) AS s FROM (SELECT query_id, chunk_id FROM items, chunks) LEFT JOIN (

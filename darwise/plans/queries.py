@@ -15,7 +15,7 @@ from darwise.functions.text import (
     to_western_digits,
     tokenize,
 )
-from darwise.operators import absorption as A, bm25, chunking, contracts as C, evaluation as E, fusion, kpi, pricing
+from darwise.operators import absorption as A, bm25, chunking, clusters, contracts as C, evaluation as E, fusion, kpi, pricing
 from darwise.operators import routing, sqlgate, vectors
 from darwise.plans import contract_texts as CT, stand_in as S
 from darwise.session import configure
@@ -207,6 +207,16 @@ def price_importance(spark, d):
     return pricing.permutation_importance(_price_model(spark, d, True), test)
 
 
+@query
+def price_permutation(spark, d):
+    """The place of every sale, and whose floor area it takes in the first shuffle."""
+    rows = pricing.shuffled_index(_features(spark, d).select("sale_id", "area_sqm"))
+    n, (a, b) = rows.count(), pricing.permutation("area_sqm", 0)
+    donors = rows.select(F.col("_at").alias("_d"), F.col("sale_id").alias("donor_id"), F.col("area_sqm").alias("donor_area"))
+    met = rows.withColumn("_d", F.pmod(F.col("_at") * a + b, F.lit(max(1, n)))).join(donors, "_d")
+    return met.select("sale_id", F.col("_at").alias("place"), "donor_id", "donor_area")
+
+
 @query
 def price_scored_units(spark, d):
     """All unsold units priced by a model fitted on all sales."""
@@ -417,9 +427,7 @@ def bm25_topk(spark, d):
     return top.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "bm25_rank")
 
 
-@query
-def dense_topk(spark, d):
-    """Nearest vectors of each label's mean vector."""
+def _label_means(spark, d):
     vec = S.table(spark, d, "embeddings")
     means = (
         vec.select("label", F.posexplode("embedding").alias("i", "x"))
@@ -428,9 +436,22 @@ def dense_topk(spark, d):
         .groupBy("label")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("embedding"))
     )
-    top = vectors.dense_topk(
-        means.withColumnRenamed("label", "query_id"), vec, V.CANDIDATES, 64, "vec_id", "embedding"
-    )
+    return means.withColumnRenamed("label", "query_id"), vec
+
+
+@query
+def dense_topk(spark, d):
+    """Nearest vectors of each label's mean vector."""
+    top = vectors.dense_topk(*_label_means(spark, d), V.CANDIDATES, 64, "vec_id", "embedding")
+    return top.select("query_id", "vec_id", F.round("score", 6).alias("score"), "dense_rank")
+
+
+@query
+def clustered_topk(spark, d):
+    """Nearest vectors of each label's mean vector, over clustered lists; with all lists looked into it is exact."""
+    means, vec = _label_means(spark, d)
+    made = clusters.cluster(vec, 16, "vec_id", "embedding")
+    top = clusters.clustered_topk(means.withColumnRenamed("embedding", "vector"), made, V.CANDIDATES, 16, "vec_id")
     return top.select("query_id", "vec_id", F.round("score", 6).alias("score"), "dense_rank")
 
 

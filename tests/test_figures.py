@@ -135,6 +135,21 @@ def priced(spark):
     return spark.createDataFrame(pdf)
 
 
+def test_permutations_are_whole_and_independent(spark):
+    """places are dense and the same for any partitioning; every row is donor once, and features share no shuffle"""
+    df = spark.range(1000).select(F.col("id").alias("sale_id"))
+    one = {r["sale_id"]: r["_at"] for r in pricing.shuffled_index(df.repartition(7)).collect()}
+    assert sorted(one.values()) == list(range(1000)) and one == {r["sale_id"]: r["_at"] for r in pricing.shuffled_index(df.repartition(2)).collect()}
+    assert [one[i] for i in range(1000)] != list(range(1000)) and pricing.shuffled_index(df.limit(0)).count() == 0
+    seen = []
+    for feature, repeat in [("area_sqm", 0), ("area_sqm", 1), ("floor", 0)]:
+        a, b = pricing.permutation(feature, repeat)
+        seen.append([(a * i + b) % 1000 for i in range(1000)])
+        assert sorted(seen[-1]) == list(range(1000))
+    for x, y in ((0, 1), (0, 2), (1, 2)):
+        assert sum(p == q for p, q in zip(seen[x], seen[y])) < 100
+
+
 def test_price_model(spark, priced, tmp_path):
     model, report = pricing.train_price_model(priced, path=str(tmp_path / "m"), iterations=60)
     assert report.n_train + report.n_test == 900
