@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from darwise.llm.exchange import saved
 from darwise.llm.files import mapped, put
 from darwise.llm.tables import partitions, with_columns
-from darwise.llm.text import LOWER, byte_hashes, filled, mix, slices, worker_cache
+from darwise.llm.text import LOWER, filled, mix, run_hashes, slices, worker_cache
 from darwise.sources.scratch import scratch_path
 
 ROUNDS = 4
@@ -40,7 +40,7 @@ def tokens(part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own = np.empty(int(bounds[-1]), np.uint64)
     word = np.ones(len(own), bool)
     word[bounds[1:] - 1] = False
-    own[word] = byte_hashes(part.data).of(starts, ends)
+    own[word] = run_hashes(part.data, starts, ends)
     own[~word] = END
     before = np.empty_like(own)
     before[1:] = own[:-1]

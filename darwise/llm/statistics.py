@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from darwise.llm.text import SPACE, Rolling, Slice, byte_hashes, rows_of
+from darwise.llm.text import SPACE, Slice, rows_of, run_hashes, sequence_hashes
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -43,8 +43,7 @@ def statistics(part: Slice) -> dict[str, np.ndarray]:
     data, off, rows = part.data, part.off, len(part.off) - 1
     starts, ends, first = part.words()
     row, n_words = rows_of(first), np.diff(first)
-    bytes_ = byte_hashes(data)
-    hashes = bytes_.of(starts, ends)
+    hashes = run_hashes(data, starts, ends)
     gap, char = SPACE[data], ~CONTINUES[data]
     out = {
         "n_words": n_words,
@@ -66,7 +65,7 @@ def statistics(part: Slice) -> dict[str, np.ndarray]:
     else:
         held = np.zeros(0, np.int64)
     line_row = np.searchsorted(off, cuts[held], side="right") - 1
-    _, later = groups(line_row, bytes_.of(cuts[held], np.maximum(to[held], cuts[held])))
+    _, later = groups(line_row, run_hashes(data, cuts[held], np.maximum(to[held], cuts[held])))
     out["n_lines"] = counted(line_row, rows)
     out["n_dup_lines"] = counted(line_row[later], rows)
     # Words in windows that the text has twice or more.
@@ -74,7 +73,7 @@ def statistics(part: Slice) -> dict[str, np.ndarray]:
     at = np.flatnonzero(left >= REPEAT_WINDOW)
     again = np.zeros(len(starts) + 1, np.int64)
     if len(at):
-        n, _ = groups(row[at], Rolling(hashes).of(at, at + REPEAT_WINDOW))
+        n, _ = groups(row[at], sequence_hashes(hashes, REPEAT_WINDOW)[at])
         twice = at[n > 1]
         again[twice] += 1
         again[twice + REPEAT_WINDOW] -= 1

@@ -12,9 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from darwise.llm import exchange as X
+from darwise.llm.exchange import Keys, ask, each_block, ids_of, make_blocks, with_answers
 from darwise.llm.tables import with_columns
-from darwise.llm.text import SLICE_BYTES, Rolling, byte_hashes, from_bytes, slices
+from darwise.llm.text import SLICE_BYTES, from_bytes, joined, run_hashes, sequence_hashes, slices
 
 ADDED = (
     T.StructField("n_words", T.LongType()),
@@ -30,7 +30,7 @@ class Words:
         hashes, bounds, self.places, total = [], [np.zeros(1, np.int64)], [], 0
         for part in slices(texts, SLICE_BYTES):
             starts, ends, first = part.words()
-            hashes.append(byte_hashes(part.data).of(starts, ends))
+            hashes.append(run_hashes(part.data, starts, ends))
             bounds.append(first[1:] + total)
             if keep_places:
                 self.places.append((part, starts, ends, total))
@@ -50,24 +50,25 @@ def lengths_up_to(window: int) -> list[int]:
     return out
 
 
-def _candidates(words: Words, lengths: list[int], by_level: dict, upto: int, bucket_bits: int) -> tuple[np.ndarray, Rolling]:
-    """Windows that can still be repeated at ``lengths[upto]``, by the answers of the rounds before."""
-    rolling = Rolling(words.hashes)
+def _candidates(words: Words, lengths: list[int], by_level: dict, upto: int, bucket_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that can still be repeated at ``lengths[upto]``, by the answers of the rounds before, and their hashes."""
+    hashes = sequence_hashes(words.hashes, lengths[0])
     at = np.flatnonzero(words.left >= lengths[0])
     for level in range(upto):
-        keys = X.Keys(rolling.of(at, at + lengths[level]), bucket_bits, full=False)
+        keys = Keys(hashes[at], bucket_bits, full=False)
         at = at[keys.spread((keys.sizes > 1) | keys.answer(by_level.get(level, [])))]
         marked = np.zeros(len(words.hashes) + 1, bool)
         marked[at] = True
         at = at[words.left[at] >= lengths[level + 1]]
         at = at[marked[at + lengths[level]]]
-    return at, rolling
+        hashes = joined(hashes[: -lengths[level]], hashes[lengths[level] :])
+    return at, hashes[at]
 
 
 def _last_keys(words, table, lengths, by_level, bucket_bits):
-    at, rolling = _candidates(words, lengths, by_level, len(lengths) - 1, bucket_bits)
-    ids = X.ids_of(table)[words.row[at]]
-    return at, ids, X.Keys(rolling.of(at, at + lengths[-1]), bucket_bits, full=True, ids=ids)
+    at, hashes = _candidates(words, lengths, by_level, len(lengths) - 1, bucket_bits)
+    ids = ids_of(table)[words.row[at]]
+    return at, ids, Keys(hashes, bucket_bits, full=True, ids=ids)
 
 
 def _removed(words: Words, table, lengths, by_level, bucket_bits) -> np.ndarray:
@@ -124,7 +125,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20) -> DataFrame:
     smallest; rows of equal doc_id do not remove each other's words.
     """
     spark, lengths = docs.sparkSession, lengths_up_to(window)
-    blocks = X.make_blocks(docs)
+    blocks = make_blocks(docs)
     k, answers = blocks.bucket_bits, []
     for level in range(len(lengths)):
         last = level == len(lengths) - 1
@@ -133,10 +134,9 @@ def dedup_substrings(docs: DataFrame, window: int = 20) -> DataFrame:
             words = Words(table["text"])
             if last:
                 return _last_keys(words, table, lengths, by_level, k)[2]
-            at, rolling = _candidates(words, lengths, by_level, level, k)
-            return X.Keys(rolling.of(at, at + lengths[level]), k, full=False)
+            return Keys(_candidates(words, lengths, by_level, level, k)[1], k, full=False)
 
-        answers.append(X.ask(spark, blocks, answers, level, keys_of, full=last))
+        answers.append(ask(spark, blocks, answers, level, keys_of, full=last))
     schema = with_columns(docs.schema, *ADDED)
 
     def finish(batches):
@@ -148,6 +148,6 @@ def dedup_substrings(docs: DataFrame, window: int = 20) -> DataFrame:
             columns = [added[f.name] if f.name in added else table[f.name] for f in schema.fields]
             yield from pa.table(columns, names=schema.names).to_batches()
 
-        yield from X.each_block(rows, batches)
+        yield from each_block(rows, batches)
 
-    return X.with_answers(blocks, answers).mapInArrow(finish, schema)
+    return with_answers(blocks, answers).mapInArrow(finish, schema)

@@ -17,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from darwise.llm import exchange as X
+from darwise.llm.exchange import ANSWER, Keys, ask, each_block, ids_of, make_blocks, saved, with_answers
 from darwise.llm.tables import with_columns
-from darwise.llm.text import byte_hashes, flat, from_bytes
+from darwise.llm.text import flat, from_bytes, window_hashes
 
 MODULUS = 31
 COVER = (0, 1, 3, 8, 12, 18)  # every residue modulo 31 is a difference of two of these
@@ -38,18 +38,17 @@ class Bytes:
 
     def __init__(self, table: pa.Table):
         self.data, self.off = flat(table["text"])
-        self.rolling = byte_hashes(self.data)
         lengths = np.diff(self.off)
         self.end = np.repeat(self.off[1:].astype(np.int32), lengths)
         self.row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
 
 
-def _sample(text: Bytes, length: int, bucket_bits: int) -> tuple[np.ndarray, X.Keys]:
+def _sample(text: Bytes, length: int, bucket_bits: int) -> tuple[np.ndarray, Keys]:
     n = len(text.data)
     at = (np.arange(0, n, MODULUS, dtype=np.int64)[:, None] + np.array(COVER)).ravel()
     at = at[at < n]
     at = at[at + length <= text.end[at]]
-    return at, X.Keys(text.rolling.of(at, at + length), bucket_bits, full=False)
+    return at, Keys(window_hashes(text.data, at, length), bucket_bits, full=False)
 
 
 def _live(text: Bytes, at: np.ndarray, tied: np.ndarray, window: int) -> np.ndarray:
@@ -83,13 +82,13 @@ def dedup_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
     if window < MODULUS + 3:
         raise ValueError(f"windows of {MODULUS + 3} bytes or more")
     spark, short = docs.sparkSession, window - MODULUS + 1
-    blocks = X.make_blocks(docs)
+    blocks = make_blocks(docs)
     k = blocks.bucket_bits
 
     def sample_keys(table, by_level):
         return _sample(Bytes(table), short, k)[1]
 
-    ties = X.ask(spark, blocks, [], SAMPLE, sample_keys, full=False)
+    ties = ask(spark, blocks, [], SAMPLE, sample_keys, full=False)
 
     def mark(batches):
         def rows(block, table, by_level):
@@ -98,21 +97,21 @@ def dedup_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
             live = _live(text, at, keys.spread((keys.sizes > 1) | keys.answer(by_level.get(SAMPLE, []))), window)
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "level": pa.array([LIVE], pa.int32()), "bucket": pa.array([0], pa.int32()), "n_set": pa.array([int(live.sum())], pa.int64()), "bits": pa.array([np.packbits(live).tobytes()], pa.binary())})
 
-        yield from X.each_block(rows, batches)
+        yield from each_block(rows, batches)
 
-    live = X.saved(spark, X.with_answers(blocks, [ties]).mapInArrow(mark, X.ANSWER), "live")
+    live = saved(spark, with_answers(blocks, [ties]).mapInArrow(mark, ANSWER), "live")
 
     def bucket_keys(text, ids, at, h, rounds, r):
         held = rounds == r
         at, h = at[held], h[held]
         own = ids[text.row[at]]
-        return at, own, X.Keys(h, k, full=True, ids=own)
+        return at, own, Keys(h, k, full=True, ids=own)
 
     def suffixes(table, by_level):
         text = Bytes(table)
         at = np.flatnonzero(_unpacked(by_level.get(LIVE, []), len(text.data)))
-        h = text.rolling.of(at, at + window)
-        return text, X.ids_of(table), at, h, _round_of(h)
+        h = window_hashes(text.data, at, window)
+        return text, ids_of(table), at, h, _round_of(h)
 
     answers = [live]
     for r in range(ROUNDS):
@@ -120,7 +119,7 @@ def dedup_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
         def round_keys(table, by_level, r=r):
             return bucket_keys(*suffixes(table, by_level), r)[2]
 
-        answers.append(X.ask(spark, blocks, [live], FIRST_ROUND + r, round_keys, full=True))
+        answers.append(ask(spark, blocks, [live], FIRST_ROUND + r, round_keys, full=True))
     schema = with_columns(docs.schema, *ADDED)
 
     def finish(batches):
@@ -147,6 +146,6 @@ def dedup_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
             columns = [added[f.name] if f.name in added else table[f.name] for f in schema.fields]
             yield from pa.table(columns, names=schema.names).to_batches()
 
-        yield from X.each_block(rows, batches)
+        yield from each_block(rows, batches)
 
-    return X.with_answers(blocks, answers).mapInArrow(finish, schema)
+    return with_answers(blocks, answers).mapInArrow(finish, schema)

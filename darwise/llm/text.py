@@ -1,5 +1,6 @@
 """Texts as flat byte arrays: words, windows and 64-bit hashes without a loop per row."""
 
+import hashlib
 import sys
 import types
 
@@ -13,8 +14,9 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True  # word bounds: blank, tab, the line br
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32  # A-Z only
 
-_STEP = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_BYTE_VALUE = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_SHORT = 64  # bytes of a run that are read eight at a time; longer ones are rare among words
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # masks of a number's first bytes
 
 
 def worker_cache() -> dict:
@@ -22,46 +24,65 @@ def worker_cache() -> dict:
     return vars(sys.modules.setdefault("_llm_worker_cache", types.ModuleType("_llm_worker_cache")))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    cache = worker_cache()
-    if "powers" not in cache or len(cache["powers"][0]) < n:
-        size = max(n, 4 * SLICE_BYTES + 1)
-        made = []
-        for base in (_STEP, pow(_STEP, -1, 2**64)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            made.append(np.cumprod(p, dtype=np.uint64))
-        if n > 16 * SLICE_BYTES:  # a giant text: not kept
-            return tuple(made)
-        cache["powers"] = tuple(made)
-    return cache["powers"]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of a 64-bit hash (the finaliser of a public hash function)."""
     h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
     h ^= h >> np.uint64(33)
     h *= np.uint64(0xC4CEB9FE1A85EC53)
     h ^= h >> np.uint64(33)
     return h
 
 
-class Rolling:
-    """Hashes of any run of a sequence of 64-bit values: equal runs, equal hashes, wherever they start."""
+def _eights(data: np.ndarray) -> np.ndarray:
+    """For each place the eight bytes from there on as one number; zeros follow the last byte."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the runs ``starts:ends`` of bytes: equal runs, equal hashes, wherever they stand.
+
+    Each step of eight bytes mixes what went before, so no pattern of letters
+    makes two runs meet, as sums of powers modulo 2**64 do. Runs of over 64
+    bytes take a digest.
+    """
+    eights, size = _eights(data), ends - starts
+    h = mix(size.astype(np.uint64) + _STEP)
+    live = np.flatnonzero(size <= _SHORT)
+    for done in range(0, _SHORT, 8):
+        live = live[size[live] > done]
+        if not len(live):
+            break
+        h[live] = mix((h[live] ^ (eights[starts[live] + done] & _FIRST[np.minimum(size[live] - done, 8)])) + _STEP)
+    held = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero(size > _SHORT):
+        h[i] = int.from_bytes(hashlib.blake2b(held[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def window_hashes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the ``length`` bytes (8 or more) from each of ``at`` on."""
+    eights, h = _eights(data), np.full(len(at), _STEP)
+    for done in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
+        h = mix((h ^ eights[at + done]) + _STEP)
+    return h
 
-    def __init__(self, values: np.ndarray):
-        n = len(values)
-        self.power, self.inverse = _powers(n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * self.power[:n], dtype=np.uint64, out=self.sums[1:])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of two neighbours from their own."""
+    return mix(left * _STEP + right)
 
 
-def byte_hashes(data: np.ndarray) -> Rolling:
-    return Rolling(_BYTE_VALUE[data])
+def sequence_hashes(values: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the ``length`` values from each place on that has as many, by doubling."""
+    if length == 1:
+        return values
+    if length > len(values):
+        return np.zeros(0, np.uint64)
+    if length % 2:
+        return joined(sequence_hashes(values, length - 1)[:-1], values[length - 1 :])
+    half = sequence_hashes(values, length // 2)
+    return joined(half[: -(length // 2)], half[length // 2 :])
 
 
 class Slice:

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from darwise.llm import components, exchange, simhash, substrings, suffixes
-from darwise.llm.text import Rolling, byte_hashes
+from darwise.llm import components, exchange, language_model, quality_rules, simhash, substrings, suffixes
+from darwise.llm.text import run_hashes, sequence_hashes, window_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -52,21 +52,49 @@ def test_cover_and_steiner_system():
     assert len(simhash.BLOCKS) == 14 and all(len(b) == 4 for b in simhash.BLOCKS)
 
 
-def test_rolling_hashes_do_not_depend_on_the_place():
+def test_hashes_do_not_depend_on_the_place():
     rng = np.random.default_rng(0)
     values = rng.integers(0, 2**64, 50, dtype=np.uint64)
-    twice = Rolling(np.concatenate([values, values]))
-    at = np.arange(40)
-    assert (twice.of(at, at + 10) == twice.of(at + 50, at + 60)).all()
-    h = byte_hashes(np.frombuffer(b"abcabcabd", np.uint8))
-    one, two, three = h.of(np.array([0, 3, 6]), np.array([3, 6, 9]))
-    assert one == two != three
+    for length in (1, 5, 7, 10, 20):
+        twice = sequence_hashes(np.concatenate([values, values]), length)
+        assert len(twice) == 101 - length and (twice[:30] == twice[50:80]).all() and len(set(twice[:50].tolist())) == 50
+    assert len(sequence_hashes(values, 51)) == 0
+    data = rng.integers(0, 256, 700, dtype=np.uint8)
+    twice, at = np.concatenate([data, data]), np.arange(0, 600, 7)
+    for length in (8, 20, 50):
+        assert (window_hashes(twice, at, length) == window_hashes(twice, at + 700, length)).all()
+    for size in (0, 1, 7, 8, 9, 63, 64, 65, 100):
+        h = run_hashes(twice, np.append(at, at + 700), np.append(at, at + 700) + size)
+        assert (h[: len(at)] == h[len(at) :]).all() and (size < 7 or len(set(h.tolist())) == len(at))
+    assert len(set(run_hashes(np.frombuffer(b"a\0\0a\0a", np.uint8), np.array([0, 0, 0, 3, 5]), np.array([1, 2, 3, 5, 6])).tolist())) == 3
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_constructed_texts(spark):
+    """Two words that sums of powers modulo 2**64 take for equal, whatever the base."""
+    one, two = thue_morse(1024), thue_morse(1024, "b", "a")
+    lead = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{lead} {one}"), (2, f"{lead} {two}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.dedup_substrings(df).collect()} == {1: 0, 2: 0}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffixes.dedup_bytes(df).collect()}
+    assert got == byte_dedup(rows, 50)
+    known = {r["doc_id"]: r["n_known"] for r in language_model.score(df, language_model.fit(df.where("doc_id = 1"))).collect()}
+    assert known == {1: 21, 2: 20}  # the end is known
+    lines = spark.createDataFrame([(1, f"{one}\n{two}", "en", "web"), (2, f"{one}\n{one}", "en", "web")], "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"]: r["n_dup_lines"] for r in quality_rules.judge(lines).collect()} == {1: 0, 2: 1}
+    # Windows of two words in that order.
+    a, b = (" ".join(thue_morse(64, *own)) for own in ("ab", "ba"))
+    assert word_dedup([(1, a), (2, b)], 20) == {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.dedup_substrings(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).collect()}
 
 
 @pytest.mark.parametrize("window, block_bytes", [(50, 2 << 20), (40, 5000)])
 def test_suffixes(docs, rows, monkeypatch, window, block_bytes):
     monkeypatch.setattr(exchange, "BLOCK_BYTES", block_bytes)
-    monkeypatch.setattr(suffixes.X.make_blocks, "__defaults__", (block_bytes,))
+    monkeypatch.setattr(exchange.make_blocks, "__defaults__", (block_bytes,))
     out = suffixes.dedup_bytes(docs, window).collect()
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out}
     assert len(out) == len(rows) and got == byte_dedup(rows, window)
@@ -75,7 +103,7 @@ def test_suffixes(docs, rows, monkeypatch, window, block_bytes):
 
 @pytest.mark.parametrize("window, block_bytes", [(20, 2 << 20), (20, 3000), (7, 3000)])
 def test_substrings(docs, rows, monkeypatch, window, block_bytes):
-    monkeypatch.setattr(substrings.X.make_blocks, "__defaults__", (block_bytes,))
+    monkeypatch.setattr(exchange.make_blocks, "__defaults__", (block_bytes,))
     out = substrings.dedup_substrings(docs, window).collect()
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in out}
     assert len(out) == len(rows) and got == word_dedup(rows, window)
