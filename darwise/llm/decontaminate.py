@@ -4,8 +4,9 @@ Windows of the normalised benchmark items, each between blanks, are the
 automaton's patterns. A document is normalised byte by byte (so places in it are
 places in the original) and its words, joined by one blank, are scanned once;
 every occurrence marks its words. The automaton is made once per worker from
-patterns whose size is checked: a benchmark too large for one goes over the
-documents in several blocks of items, one after the other, without a shuffle.
+patterns whose bytes, and so its nodes, are bounded: a benchmark too large for
+one goes over the documents in several blocks of windows, one after the other,
+without a shuffle.
 """
 
 import uuid
@@ -14,11 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from darwise.llm.exchange import saved
 from darwise.llm.tables import with_columns
 from darwise.llm.text import filled, slices, worker_cache
 
 WINDOW = 13
-BLOCK_BYTES = 32 << 20  # of item texts for one automaton
+NODES = 4 << 20  # of one automaton; each takes about 50 bytes in every Python worker
+PATTERNS_SENT = 10_000  # rows of a batch
 CONTAMINATED_SHARE = 20  # one word in so many hit makes a document contaminated
 
 # Words are runs of letters, digits and anything beyond ASCII; A-Z in lower case.
@@ -35,14 +38,48 @@ ADDED = (
 )
 
 
-def item_windows(items: list[tuple], window: int = WINDOW) -> dict[str, tuple[int, list[str]]]:
-    """Pattern to (number of words, items with it). A pattern is bytes shown as Latin-1, blanks around each word."""
+def _windows(window: int):
+    """Rows of items as rows of patterns: blanks around each word, the number of words, the item."""
+
+    def run(batches):
+        for batch in filled(batches):
+            made = ([], [], [])
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+                words = (text or "").encode().translate(NORMAL).split()
+                for at in range(max(1, len(words) - window + 1) if words else 0):
+                    own = words[at : at + window]
+                    for column, value in zip(made, (b" " + b" ".join(own) + b" ", len(own), str(item))):
+                        column.append(value)
+                    if len(made[0]) == PATTERNS_SENT:
+                        yield _patterns(made)
+                        made = ([], [], [])
+            yield _patterns(made)
+
+    return run
+
+
+def _patterns(made) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(made[0], pa.binary()), pa.array(made[1], pa.int32()), pa.array(made[2], pa.string())], names=["pattern", "n", "item"])
+
+
+def pattern_blocks(items: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text", nodes: int = NODES) -> list[DataFrame]:
+    """The windows of all items, as ``pattern, n, item``, in blocks of about ``nodes`` bytes.
+
+    An automaton has at most one node for each byte of its patterns, so this
+    bounds it. Windows are dealt out by a hash, so a long item is split as well.
+    """
+    own = items.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    every = saved(items.sparkSession, own.mapInArrow(_windows(window), "pattern binary, n int, item string").distinct(), "patterns")
+    size = every.agg(F.sum(F.octet_length("pattern") + F.octet_length("item"))).first()[0] or 0
+    n = -(-5 * size // (4 * nodes)) or 1  # a fifth of room, as hashes deal unevenly
+    return [every.where(F.pmod(F.xxhash64("pattern"), F.lit(n)) == b) if n > 1 else every for b in range(n)]
+
+
+def _by_pattern(block: DataFrame) -> dict[str, tuple[int, list[str]]]:
+    """Pattern (bytes shown as Latin-1) to its number of words and the items with it."""
     patterns: dict[str, tuple[int, list[str]]] = {}
-    for item, text in items:
-        words = (text or "").encode().translate(NORMAL).split()
-        for at in range(max(1, len(words) - window + 1) if words else 0):
-            own = words[at : at + window]
-            patterns.setdefault((b" " + b" ".join(own) + b" ").decode("latin-1"), (len(own), []))[1].append(str(item))
+    for r in block.toLocalIterator():
+        patterns.setdefault(bytes(r.pattern).decode("latin-1"), (r.n, []))[1].append(r.item)
     return patterns
 
 
@@ -59,14 +96,7 @@ def _automaton(key: str, patterns):
     return cache["automaton"][1]
 
 
-def _item_blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
-    own = items.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes) or 1
-    return [own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) if n > 1 else own for b in range(n)]
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, item_col: str = "item_id", item_text_col: str = "text", nodes: int = NODES) -> DataFrame:
     """Add ``n_words``, ``n_hit``, ``item_ids``, ``hit_spans`` and ``contaminated`` to ``docs`` (``text``, more columns).
 
     A window is ``window`` consecutive words of an item, or all words of a
@@ -77,10 +107,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, item_
     nothing; an input column named like an added one gives way.
     """
     spark, out = docs.sparkSession, docs
-    blocks = _item_blocks(items, item_col, item_text_col, block_bytes)
+    blocks = pattern_blocks(items, window, item_col, item_text_col, nodes)
     schema = with_columns(docs.schema, T.StructField("_runs", FOUND), T.StructField("_items", T.ArrayType(T.StringType())))
     for number, block in enumerate(blocks):
-        sent = spark.sparkContext.broadcast(item_windows([(r.item_id, r.text) for r in block.toLocalIterator()], window))
+        sent = spark.sparkContext.broadcast(_by_pattern(block))
         scan = _scan(sent, uuid.uuid4().hex, schema, first=number == 0)
         if number < len(blocks) - 1:
             out = out.mapInArrow(scan, schema)

@@ -11,6 +11,12 @@ def place(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+def qualified(spark, path: str) -> str:
+    """``path`` with the file system that Spark would take it for; tasks know no default file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def put(path: str, write) -> None:
     """``write(stream)`` into a file of its own, then rename: a task that is run again replaces the file whole."""
     import uuid

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from darwise.llm.exchange import saved
-from darwise.llm.files import mapped, put
+from darwise.llm.files import mapped, put, qualified
 from darwise.llm.tables import partitions, with_columns
 from darwise.llm.text import LOWER, filled, mix, run_hashes, slices, worker_cache
 from darwise.sources.scratch import scratch_path
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, folder: str | None = None) -> str:
     Only ``text`` is looked at. Null and empty texts are their end alone.
     """
     spark, own = docs.sparkSession, docs.select(F.col("text").cast("string").alias("text"))
-    folder = folder or scratch_path(spark, "model")
+    folder = qualified(spark, folder or scratch_path(spark, "model"))
     size, n_docs = own.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     bits = max(math.ceil(math.log2(max(1, (size or 0) / BUCKET_BYTES))), math.ceil(math.log2(partitions(docs))), 2)
     passed = None
@@ -272,7 +272,7 @@ def score(docs: DataFrame, folder: str) -> DataFrame:
     end alone; a model without texts gives every token the same share. An input
     column named like an added one gives way.
     """
-    schema = with_columns(docs.schema, *ADDED)
+    schema, folder = with_columns(docs.schema, *ADDED), qualified(docs.sparkSession, folder)
 
     def run(batches):
         cache = worker_cache()

@@ -3,8 +3,9 @@
 Each rule looks at one ratio of a text. What is too high or too low is learnt
 from the corpus: deciles and medians of the ratio per language and source, sketches built
 by partial aggregation and merged, also into one per language and one of all
-texts for groups too small to say much. Texts are then joined with the bounds of
-their group and filtered.
+texts. The fewer texts a group has, the more its quantiles are drawn to those of
+its language, and these to those of all; nothing switches at a size. Texts are
+then joined with the bounds of their group and filtered.
 """
 
 import pyarrow as pa
@@ -30,7 +31,7 @@ RULES = {
 }
 REACH = 3.0
 QUANTILES = (0.1, 0.5, 0.9)
-LEAST = 100  # texts of a group whose own quantiles count
+HALF, STEEP = 150.0, 6  # texts at which a group's own quantiles count by half, and how fast that grows: a text adds 1 % at most
 SKETCH = 1000  # accuracy of the quantile sketches
 BASE_WORDS, BASE_REPEAT = 10, 20
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_distinct_words")
@@ -68,31 +69,47 @@ def thresholds(figures: DataFrame, keys: tuple[str, str] = ("lang", "source")) -
     return grouped.select(*keys, "_n", F.when(F.col("_level") == 3, 2).otherwise(F.col("_level")).cast("int").alias("_level"), *RULES)
 
 
+def blended(bounds: DataFrame, keys: tuple[str, str]) -> DataFrame:
+    """The quantiles that hold for each (lang, source): its own, drawn to its language's, drawn to those of all.
+
+    A group of ``n`` texts counts by ``1 / (1 + (HALF / n)^STEEP)``, so a verdict moves
+    smoothly as it grows. Outer deciles of few texts are unsure: where a tenth is
+    junk, chance puts them into it or not. A ratio that no text of a group has comes from above.
+    """
+    k0, k1 = keys
+
+    def level(number: int, *kept: str) -> DataFrame:
+        weight = 1 / (1 + F.pow(HALF / F.col("_n"), F.lit(STEEP)))
+        return bounds.where(F.col("_level") == number).select(*kept, weight.alias(f"_w{number}"), F.struct(*RULES).alias(f"_q{number}"))
+
+    def drawn(own: Column, weight: Column, above: Column) -> Column:
+        mixed = F.zip_with(own, above, lambda a, b: weight * a + (1 - weight) * b)
+        return F.coalesce(mixed, own, above)
+
+    # One row per group; the row of all texts is a single one.
+    met, every = level(0, k0, k1).join(level(1, k0), k0), level(2).first()
+    of_all = {r: F.lit(list(every["_q2"][r] if every and every["_q2"][r] else [])).cast("array<double>") for r in RULES}
+    above = {r: drawn(F.col("_q1")[r], F.col("_w1"), F.when(F.size(a) > 0, a)) for r, a in of_all.items()}
+    return met.select(k0, k1, *(drawn(F.col("_q0")[r], F.col("_w0"), above[r]).alias(r) for r in RULES))
+
+
 def judge(docs: DataFrame, keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """Add the figures, ``base_failed``, ``kept`` and ``failed_rules`` to ``docs`` (without its texts).
 
     ``base_failed``: fewer than 10 words, or over 20 of 100 words in repeated
     5-word windows. ``kept`` is false if base_failed or if a rule fails. Null
     texts have no words; null languages and sources are groups of their own;
-    groups of fewer than ``LEAST`` texts use the bounds of their language, or
-    of all texts. Input columns named like an added one give way.
+    small groups lean on their language and on all texts (``blended``). Input
+    columns named like an added one give way.
     """
     spark = docs.sparkSession
     figures = saved(spark, with_figures(docs), "figures")
-    bounds = saved(spark, thresholds(figures, keys), "bounds")
-    at = [F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys]
-    out = figures.withColumns({"_k0": at[0], "_k1": at[1]})
-    for level, used in ((0, 2), (1, 1), (2, 0)):
-        packed = F.struct(*(F.col(r) for r in RULES)).alias(f"_b{level}")
-        own = bounds.where((F.col("_level") == level) & ((F.col("_n") >= LEAST) | F.lit(level == 2)))
-        if used:
-            own = own.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys[:used])), packed)
-            # One row per group; Spark broadcasts them if they are small.
-            out = out.join(own, [f"_k{i}" for i in range(used)], "left")
-        else:
-            one = own.select(packed).first()  # a single row
-            every = F.struct(*(F.array(*(F.lit(float(v)) for v in (one[0][r] or (0.0, 0.0, 0.0)))).alias(r) for r in RULES)) if one and one[0] else None
-    bound = F.coalesce("_b0", "_b1", *([every] if every is not None else []))
+    bounds = saved(spark, blended(saved(spark, thresholds(figures, keys), "thresholds"), keys), "bounds")
+    at = [F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(f"_k{i}") for i, k in enumerate(keys)]
+    of_group = bounds.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.struct(*RULES).alias("_bounds"))
+    # One row per group; Spark broadcasts them if they are small.
+    out = figures.withColumns({f"_k{i}": c for i, c in enumerate(at)}).join(of_group, ["_k0", "_k1"], "left")
+    bound = F.col("_bounds")
     failed = []
     for rule, (_, side, count, step) in RULES.items():
         low, middle, high = (bound[rule][i] for i in range(3))
@@ -103,4 +120,4 @@ def judge(docs: DataFrame, keys: tuple[str, str] = ("lang", "source")) -> DataFr
     base = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEAT * F.col("n_words"))
     out = out.withColumns({"base_failed": base, "failed_rules": F.array_compact(F.array(*failed))})
     out = out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
-    return out.drop("_k0", "_k1", "_b0", "_b1")
+    return out.drop("_k0", "_k1", "_bounds")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from darwise.llm.files import mapped, place, put
+from darwise.llm.files import mapped, place, put, qualified
 from darwise.llm.tables import partitions, texts
 from darwise.llm.tokens import encoded, encoder
 
@@ -30,7 +30,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
     order of their texts; other columns are not looked at. ``tokenizer`` is the
     path of a vocabulary file of the tokenizers library.
     """
-    n = partitions(docs)
+    n, folder = partitions(docs), qualified(docs.sparkSession, folder)
     ordered = texts(docs, id_col, text_col).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches):
@@ -82,6 +82,7 @@ def read_manifest(folder: str) -> dict:
 
 def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """The files as ``doc_id, start, n_tokens, ids_crc32`` (of the ids as 32-bit), with ``ids`` (32-bit bytes) if asked."""
+    folder = qualified(spark, folder)
     manifest = read_manifest(folder)
     width, schema = manifest["width"], "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     rows = [(p["part"], p["first_token"]) for p in manifest["parts"]]

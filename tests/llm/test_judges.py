@@ -46,10 +46,10 @@ def brute_hits(rows, items):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [32 << 20, 200])
-def test_decontamination(spark, docs, rows, items, block_bytes):
+@pytest.mark.parametrize("nodes", [D.NODES, 900])
+def test_decontamination(spark, docs, rows, items, nodes):
     bench = spark.createDataFrame(items, "item_id long, text string")
-    out = D.decontaminate(docs, bench, block_bytes=block_bytes).collect()
+    out = D.decontaminate(docs, bench, nodes=nodes).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"], r["contaminated"]) for r in out} == brute_hits(rows, items)
     assert len(out) == len(rows) and any(r["contaminated"] for r in out)
     texts = dict(rows)
@@ -59,6 +59,25 @@ def test_decontamination(spark, docs, rows, items, block_bytes):
         assert len(words) == r["n_hit"]
 
 
+def test_automata_are_bounded(spark):
+    """One long item, repeated and null item ids: blocks hold no more nodes than asked for, and all windows."""
+    import ahocorasick
+
+    rng = random.Random(2)
+    long = " ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(3000))
+    bench = spark.createDataFrame([("a", long), ("a", long), (None, "few words"), ("b", None), ("c", "")], "item_id string, text string")
+    blocks = [D._by_pattern(b) for b in D.pattern_blocks(bench, nodes=50_000)]
+    assert sum(map(len, blocks)) == 3000 - 12 + 1 and len(blocks) > 5
+    for patterns in blocks:
+        made = ahocorasick.Automaton()
+        for key in patterns:
+            made.add_word(key, 1)
+        made.make_automaton()
+        assert made.get_stats()["nodes_count"] <= 50_000
+    got = D.decontaminate(spark.createDataFrame([(1, "some FEW words here")], "doc_id long, text string"), bench, nodes=50_000).first()
+    assert (got["n_hit"], got["item_ids"]) == (2, ["None"])
+
+
 def test_decontamination_of_nothing(spark, docs, none):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert D.decontaminate(docs, bench).where("contaminated or n_hit > 0").count() == 0
@@ -134,8 +153,7 @@ def brute_figures(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), twice, len(again)
 
 
-def test_rules(docs, rows, monkeypatch):
-    monkeypatch.setattr(R, "LEAST", 5)
+def test_rules(docs, rows):
     out = R.judge(docs).collect()
     assert len(out) == len(rows) and out[0]["block"] == 1
     for r in out:
@@ -145,6 +163,39 @@ def test_rules(docs, rows, monkeypatch):
         assert r["kept"] == (not r["base_failed"] and not r["failed_rules"])
 
 
+def test_bounds_blend_with_group_size(spark):
+    """Bounds equal a plain blend of quantiles, and move in small steps as a group grows."""
+    rng = random.Random(3)
+    spread = lambda n, low, high: [(rng.randint(low, high), 100) for _ in range(n)]
+    ratio, seen = "symbol_ratio", []
+    base = [("en", "web", *x) for x in spread(300, 0, 9)] + [("de", "web", *x) for x in spread(50, 20, 40)] + [(None, None, 5, 100)]
+    own = spread(200, 50, 90)
+
+    def plain(groups, key):
+        quantile = lambda v: [sorted(v)[max(0, math.ceil(q * len(v)) - 1)] for q in R.QUANTILES]
+        every = [x for v in groups.values() for x in v]
+        out = quantile(every)
+        for held in ([x for k, v in groups.items() if k[0] == key[0] for x in v], groups[key]):
+            w = 1 / (1 + (R.HALF / len(held)) ** R.STEEP)
+            out = [w * a + (1 - w) * b for a, b in zip(quantile(held), out)]
+        return out
+
+    sizes = (1, 30, 98, 99, 100, 101, 149, 150, 151, 200)
+    for n in sizes:
+        data = base + [("en", "forum", *x) for x in own[:n]]
+        figures = spark.createDataFrame(data, "lang string, source string, n_symbols long, word_chars long").withColumns({c: F.lit(10) for c in R.FIGURES if c not in ("n_symbols", "word_chars")})
+        bounds = {(r["lang"], r["source"]): r[ratio] for r in R.blended(R.thresholds(figures), ("lang", "source")).collect()}
+        groups = {}
+        for lang, source, above, below in data:
+            groups.setdefault((lang or "\0", source or "\0"), []).append(above / below)
+        assert set(bounds) == set(groups)
+        for key in groups:
+            assert bounds[key] == pytest.approx(plain(groups, key))
+        seen.append(bounds["en", "forum"][2])
+    by_size = dict(zip(sizes, seen))
+    assert all(abs(by_size[n] - by_size[n + 1]) < 0.05 for n in (98, 99, 100, 149, 150))
+
+
 def test_rules_adapt_to_their_group(spark, none):
     rng = random.Random(1)
     prose = lambda: " ".join("".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(2, 9))) for _ in range(60))

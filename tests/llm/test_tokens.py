@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from darwise.llm import packing, token_files
+from darwise.llm import files, packing, token_files
 from darwise.llm.queries import vocabulary
 from darwise.llm.tokens import Encoder
 
@@ -110,3 +110,19 @@ def test_plan_is_best_fit_decreasing(seed):
         else:
             room.append(capacity - n)
     assert len(held) == len(room)
+
+
+def test_paths_go_through_the_default_file_system(spark, tmp_path):
+    """A folder without a scheme is what Spark takes it for, on the driver and in tasks."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.defaultFS", "file:///")
+        assert files.qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+        assert files.place(files.qualified(spark, f"{tmp_path}/a"))[1] == f"{tmp_path}/a"
+        conf.set("fs.defaultFS", "viewfs://other/")
+        conf.set("fs.viewfs.mounttable.other.link./ckpt", f"file://{tmp_path}")
+        assert files.qualified(spark, "/ckpt/model") == "viewfs://other/ckpt/model"
+    finally:
+        conf.set("fs.defaultFS", before)
+    assert files.qualified(spark, "s3a-like/relative").startswith("file:/")
