@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from darwise import values as V
 from darwise.operators import kpi
 from darwise.sources import files
@@ -33,6 +35,34 @@ def test_contract_files_and_truth(spark, tmp_path):
     assert [r["source"] for r in files.read_truth(spark, f"{tmp_path}/truth.json", 1).collect()] == ["a"]
 
 
+@pytest.mark.parametrize("indent, split", [(None, 150), (2, 150), (1, 1 << 27)])
+def test_truth_in_splits(spark, tmp_path, indent, split):
+    """Entries are found whatever lies at the cuts: braces and quotes in strings, splits in the middle, null records."""
+    odd = ["plain", "a } b", '}"}', "{", 'q " { \\ "', "}}", "\\", "مشروع }", "", None, "line\nbreak }", "\\}"]
+    truth = {f"c{i:03d} }}.txt" if i % 7 == 0 else f"c{i:03d}.txt": {**{f: None for f in V.CONTRACT_FIELDS}, "area_sqm": i + 0.5, "buyer_name": odd[i % len(odd)], "language": "ar", "template": "A", "planted_issue": odd[-1 - i % 5]} for i in range(60)}
+    (tmp_path / "truth.json").write_text(json.dumps(truth, indent=indent, ensure_ascii=False), encoding="utf-8")
+    settings = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        raw = spark.read.text(f"{tmp_path}/truth.json", lineSep="}")
+        assert split > 1000 or raw.rdd.getNumPartitions() > 60  # entries are cut by splits
+        got = {r["source"]: r for r in files.read_truth(spark, f"{tmp_path}/truth.json").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert set(got) == set(truth)
+    for name, record in truth.items():
+        assert {f: got[name][f] for f in ("area_sqm", "buyer_name", "language", "planted_issue")} == {f: record[f] for f in ("area_sqm", "buyer_name", "language", "planted_issue")}
+
+
+def test_truth_of_nothing(spark, tmp_path):
+    for name, text, wanted in (("a", "{}", 0), ("b", "", 0), ("c", " { } \n", 0), ("d", '{"x": {"area_sqm": 1.0}, "y": null}', 2), ("e", '{"x": {}}', 1)):
+        (tmp_path / f"{name}.json").write_text(text, encoding="utf-8")
+        assert files.read_truth(spark, f"{tmp_path}/{name}.json").count() == wanted, name
+
+
 def test_length_guard_and_decoding(spark):
     df = spark.createDataFrame([("x" * 20,), ("  " + "x" * 19 + " \n",), (None,)], "text string")
     good, bad = files.split_by_length(df)
