@@ -1,11 +1,13 @@
-"""Operator 7, an interpolated modified Kneser-Ney model of word pairs.
-
-Counting runs in Spark. Tasks count the pairs of their texts and send them to
-the bucket their hash names, a group of buckets per round so that disk stays
-bounded; a bucket adds up, writes its pairs as sorted hash arrays and passes on
-what contexts and followers need. A frequent word is one entry per bucket there,
-so no key gathers many rows. Workers map the arrays into memory and look up the
-sorted keys of a slice of text at a time.
+"""Operator 7, an interpolated modified Kneser-Ney model of n-grams of words.
+
+Counting runs in Spark, from the longest n-grams down. Tasks count the n-grams
+of their texts and send them to the bucket their hash names, a group of buckets
+per round so that disk stays bounded. A bucket adds up, writes its n-grams as
+sorted hash arrays and passes on what it knows of their contexts and of the
+n-grams one word shorter, whose count is the number of different words before
+them. A frequent word or n-gram is one entry per bucket there, so no key gathers
+many rows. Workers map the arrays into memory and look up the sorted keys of a
+slice of text at a time.
 """
 
 import json
@@ -21,19 +23,22 @@ from darwise.llm.tables import partitions, with_columns
 from darwise.llm.text import LOWER, filled, mix, run_hashes, slices, worker_cache
 from darwise.sources.scratch import scratch_path
 
+ORDER = 3
 ROUNDS = 4
 BUCKET_BYTES = 8 << 20  # of text for each bucket
 FLUSH_TOKENS = 1 << 20  # tokens counted together before they are sent
+SCORED_BYTES = 2 << 20  # of text whose keys are looked up together
+MAPPED = 20_000  # files that a worker holds mapped at once; systems allow some 65,000
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # stand for a text's bounds
 ADDED = (
     T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()),
     T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
 )
-MANY = 255  # counts from here on stand in a list of their own
+MANY = 255  # numbers from here on stand in a list of their own
 
 
-def tokens(part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the tokens of a slice (words in lower case, then the end), those before them, and each row's bounds."""
+def tokens(part) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of a slice (words in lower case, then the end), and each row's bounds."""
     part.data = LOWER[part.data]
     starts, ends, first = part.words()
     bounds = first + np.arange(len(first))
@@ -42,16 +47,37 @@ def tokens(part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word[bounds[1:] - 1] = False
     own[word] = run_hashes(part.data, starts, ends)
     own[~word] = END
-    before = np.empty_like(own)
-    before[1:] = own[:-1]
-    before[bounds[:-1]] = START
-    return own, before, bounds
+    return own, bounds
+
+
+def shifted(values: np.ndarray, bounds: np.ndarray, first) -> np.ndarray:
+    """What stands one place before, ``first`` at the start of a row."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[bounds[:-1]] = first
+    return out
+
+
+def ngrams(own: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
+    """A row for each place in an n-gram, a column for each token, which is the last."""
+    rows = [own]
+    for _ in range(order - 1):
+        rows.append(shifted(rows[-1], bounds, START))
+    return np.stack(rows[::-1])
 
 
 def pair_key(before: np.ndarray, own: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0x9E3779B97F4A7C15) + own)
 
 
+def gram_key(words: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams; that of all words but the last goes into that of all."""
+    key = words[0]
+    for own in words[1:]:
+        key = pair_key(key, own)
+    return key
+
+
 def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key)
     ordered = key[order]
@@ -66,89 +92,123 @@ def _by_bucket(key: np.ndarray, bits: int):
         yield int(bucket[lo]), lo, hi
 
 
-SENT = "bucket int, before binary, own binary, n binary"
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on as a byte each, then those of ``MANY`` and more in full."""
+    flat = numbers.reshape(-1)
+    return np.minimum(flat, MANY).astype(np.uint8).tobytes() + flat[flat >= MANY].astype("<i8").tobytes()
+
+
+def unpacked(raw: bytes, size: int) -> np.ndarray:
+    out = np.frombuffer(raw, np.uint8, size).astype(np.int64)
+    out[out == MANY] = np.frombuffer(raw, "<i8", (len(raw) - size) // 8, size)
+    return out
+
 
+PASSED = "kind string, bucket int, words binary, n binary, of_counts array<long>"
+_ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("words", pa.binary()), ("n", pa.binary()), ("of_counts", pa.list_(pa.int64()))])
 
-def _count(bits: int, number: int):
-    def send(own, before):
-        key = pair_key(before, own)
-        bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
-        held = bucket % ROUNDS == number
-        key, own, before = key[held], own[held], before[held]
-        order, heads = _grouped(key)
-        n = np.diff(np.append(heads, len(key))).astype(np.uint32)
-        order = order[heads]
-        key, own, before = key[order], own[order], before[order]
-        rows = [(b, before[lo:hi].tobytes(), own[lo:hi].tobytes(), n[lo:hi].tobytes()) for b, lo, hi in _by_bucket(key, bits)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=["bucket", "before", "own", "n"])
+
+def _passed(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ARROW)], schema=_ARROW)
+
+
+def _dealt(kind: str, key: np.ndarray, words: np.ndarray, n: np.ndarray, bits: int) -> list[tuple]:
+    """A row for each bucket of sorted keys: its words and their numbers."""
+    return [(kind, b, np.ascontiguousarray(words[..., lo:hi]).tobytes(), packed(n[lo:hi]), None) for b, lo, hi in _by_bucket(key, bits)]
+
+
+def _count(bits: int, order: int, rounds: int, number: int):
+    def send(held):
+        words = np.concatenate(held, axis=1)
+        key = gram_key(words)
+        here = (key >> np.uint64(64 - bits)).astype(np.int64) % rounds == number
+        key, words = key[here], words[:, here]
+        at, heads = _grouped(key)
+        n = np.diff(np.append(heads, len(key)))
+        at = at[heads]
+        return _passed(_dealt("grams", key[at], words[:, at], n, bits)).to_batches()
 
     def run(batches):
         held, size = [], 0
         for batch in filled(batches):
             for part in slices(batch.column("text")):
-                own, before, _ = tokens(part)
-                held.append((own, before))
-                size += len(own)
+                held.append(ngrams(*tokens(part), order))
+                size += held[-1].shape[1]
                 if size >= FLUSH_TOKENS:
-                    yield from send(*map(np.concatenate, zip(*held)))
+                    yield from send(held)
                     held, size = [], 0
         if held:
-            yield from send(*map(np.concatenate, zip(*held)))
+            yield from send(held)
 
     return run
 
 
 def _counts_of_counts(n: np.ndarray) -> list[int]:
-    return [int((n == i).sum()) for i in (1, 2, 3, 4)]
+    """How many are 1, 2, 3 and 4, and how many 3 or more."""
+    return [*(int((n == i).sum()) for i in (1, 2, 3, 4)), int((n > 2).sum())]
 
 
-PASSED = "kind string, bucket int, keys binary, sums binary, of_counts array<long>"
+def _store(path: str, key: np.ndarray, numbers: np.ndarray) -> None:
+    """Sorted keys with a row of numbers each."""
+    flat = numbers.reshape(-1)
+    many = np.flatnonzero(flat >= MANY)
+    head = np.array([len(key), flat.size // max(1, len(key)), len(many)], "<i8")
+    parts = (head, key, many.astype("<i8"), flat[many].astype("<i8"), np.minimum(flat, MANY).astype(np.uint8))
+    put(path, lambda out: [out.write(x.tobytes()) for x in parts])
 
 
-def _add_pairs(folder: str, bits: int):
-    """Add up one bucket of pairs: its file, and what its contexts and followers are told."""
+def _add_grams(folder: str, bits: int, level: int, top: bool):
+    """Add up one bucket of n-grams: its file, and what their contexts, the shorter n-grams and (``top``) the words are told."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
-        before, own = (np.frombuffer(b"".join(table[c].to_pylist()), np.uint64) for c in ("before", "own"))
-        n = np.frombuffer(b"".join(table["n"].to_pylist()), np.uint32).astype(np.int64)
-        key = pair_key(before, own)
-        order, heads = _grouped(key)
-        n = np.add.reduceat(n[order], heads)
-        order = order[heads]
-        key, before, own = key[order], before[order], own[order]
-        many = np.flatnonzero(n >= MANY)
-        put(f"{folder}/pairs-{bucket:06d}", lambda out: [out.write(x) for x in (np.array([len(key), len(many)], "<i8").tobytes(), key.tobytes(), many.astype("<i8").tobytes(), n[many].tobytes(), np.minimum(n, MANY).astype(np.uint8).tobytes())])
-        rows = [("pairs", bucket, b"", b"", _counts_of_counts(n))]
-        order, heads = _grouped(before)
-        sums = np.column_stack([np.add.reduceat(x[order], heads) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))])
-        contexts = before[order[heads]]
-        rows += [("context", b, contexts[lo:hi].tobytes(), sums[lo:hi].tobytes(), None) for b, lo, hi in _by_bucket(contexts, bits)]
-        order, heads = _grouped(own)
-        sums, followers = np.diff(np.append(heads, len(own))).astype(np.int64), own[order[heads]]
-        rows += [("follower", b, followers[lo:hi].tobytes(), sums[lo:hi].tobytes(), None) for b, lo, hi in _by_bucket(followers, bits)]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], names=["kind", "bucket", "keys", "sums", "of_counts"])
+        parts = [np.frombuffer(w, np.uint64).reshape(level, -1) for w in table["words"].to_pylist()]
+        n = np.concatenate([unpacked(raw, p.shape[1]) for raw, p in zip(table["n"].to_pylist(), parts)])
+        words = np.concatenate(parts, axis=1)
+        key = gram_key(words)
+        at, heads = _grouped(key)
+        n = np.add.reduceat(n[at], heads)
+        at = at[heads]
+        key, words = key[at], words[:, at]
+        _store(f"{folder}/grams{level}-{bucket:06d}", key, n)
+        rows = [("counted", bucket, None, None, _counts_of_counts(n))]
+        context = gram_key(words[:-1])
+        at, heads = _grouped(context)
+        told = np.column_stack([np.add.reduceat(x[at], heads) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))])
+        context = context[at[heads]]
+        rows += _dealt("context", context, context, told, bits)
+        lower = gram_key(words[1:])
+        at, heads = _grouped(lower)
+        told, at = np.diff(np.append(heads, len(lower))), at[heads]
+        rows += _dealt("shorter", lower[at], words[1:, at], told, bits)
+        if top:
+            own = words[-1]
+            at, heads = _grouped(own)
+            told, own = np.add.reduceat(n[at], heads), own[at[heads]]
+            rows += _dealt("word", own, own, told, bits)
+        return _passed(rows)
 
     return run
 
 
-WORDS = "kind string, bucket int, distinct long, total long, of_counts array<long>"
+ADDED_UP = "kind string, bucket int, distinct long, total long, of_counts array<long>"
 
 
-def _add_words(folder: str):
-    """Add up one bucket of contexts (count, and followers seen once, twice, more often) or of followers (distinct contexts)."""
+def _add_up(folder: str, bits: int, level: int):
+    """Add up one bucket of contexts (count, and followers seen once, twice, more often), of words, or of the shortest n-grams."""
+    names = {"context": f"context{level}", "word": "word", "shorter": f"grams{level - 1}"}
 
     def run(table: pa.Table) -> pa.Table:
         kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
         wide = 4 if kind == "context" else 1
-        key = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64)
-        sums = np.frombuffer(b"".join(table["sums"].to_pylist()), np.int64).reshape(-1, wide)
-        order, heads = _grouped(key)
-        sums, key = np.add.reduceat(sums[order], heads, axis=0), key[order[heads]]
-        put(f"{folder}/{kind}-{bucket:06d}", lambda out: [out.write(x) for x in (np.array([len(key)], "<i8").tobytes(), key.tobytes(), np.ascontiguousarray(sums).tobytes())])
-        counted = key != START
-        return pa.table({"kind": [kind], "bucket": pa.array([bucket], pa.int32()), "distinct": [int(counted.sum())], "total": [int(sums[counted, 0].sum())], "of_counts": pa.array([_counts_of_counts(sums[:, 0]) + [int((sums[:, 0] > 2).sum())]], pa.list_(pa.int64()))})
+        parts = [np.frombuffer(w, np.uint64) for w in table["words"].to_pylist()]
+        numbers = np.concatenate([unpacked(raw, wide * len(p)).reshape(-1, wide) for raw, p in zip(table["n"].to_pylist(), parts)])
+        key = np.concatenate(parts)
+        at, heads = _grouped(key)
+        numbers, key = np.add.reduceat(numbers[at], heads, axis=0), key[at[heads]]
+        _store(f"{folder}/{names[kind]}-{bucket:06d}", key, numbers)
+        of_counts = pa.array([_counts_of_counts(numbers[:, 0])], pa.list_(pa.int64()))
+        return pa.table({"kind": [kind], "bucket": pa.array([bucket], pa.int32()), "distinct": [len(key)], "total": [int(numbers[:, 0].sum())], "of_counts": of_counts})
 
     return run
 
@@ -162,34 +222,48 @@ def discounts(n: list[int]) -> list[float]:
     return [min(max(d, 0.05), i + 0.95) for i, d in enumerate(out)]
 
 
-def fit(docs: DataFrame, folder: str | None = None) -> str:
-    """Count the texts of ``docs`` and write the model; returns its folder.
+def fit(docs: DataFrame, folder: str | None = None, order: int = ORDER, rounds: int = ROUNDS) -> str:
+    """Count the n-grams of ``order`` words of the texts of ``docs`` and write the model; returns its folder.
 
-    Only ``text`` is looked at. Null and empty texts are their end alone.
+    Only ``text`` is looked at. Null and empty texts are their end alone. What
+    the first shuffle holds at a time is divided by ``rounds``, each of which
+    reads the texts again; the model is the same for any number.
     """
+    if order < 2 or rounds < 1:
+        raise ValueError("order is 2 or more, rounds 1 or more")
     spark, own = docs.sparkSession, docs.select(F.col("text").cast("string").alias("text"))
     folder = qualified(spark, folder or scratch_path(spark, "model"))
     size, n_docs = own.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     bits = max(math.ceil(math.log2(max(1, (size or 0) / BUCKET_BYTES))), math.ceil(math.log2(partitions(docs))), 2)
-    passed = None
-    for number in range(ROUNDS):
-        sent = own.mapInArrow(_count(bits, number), SENT)
-        part = saved(spark, sent.groupBy("bucket").applyInArrow(_add_pairs(folder, bits), PASSED), "counts")
-        passed = part if passed is None else passed.unionByName(part)
-    of_pairs = passed.where("kind = 'pairs'").select(*(F.sum(F.col("of_counts")[i]).alias(f"n{i}") for i in range(4))).first()
-    added = passed.where("kind <> 'pairs'").groupBy("kind", "bucket").applyInArrow(_add_words(folder), WORDS)
-    rows = saved(spark, added, "counts").collect()  # a row per bucket
-    followers, contexts = [r for r in rows if r.kind == "follower"], [r for r in rows if r.kind == "context"]
-    of_followers = [sum(r.of_counts[i] for r in followers) for i in range(5)]
+
+    def added(sent: DataFrame, level: int) -> DataFrame:
+        return saved(spark, sent.groupBy("bucket").applyInArrow(_add_grams(folder, bits, level, level == order), PASSED), "counts")
+
+    cut, totals = {}, {"word": (0, 0), "shorter": (0, 0)}
+    for level in range(order, 1, -1):
+        if level == order:
+            passed = None
+            for number in range(rounds):
+                part = added(own.mapInArrow(_count(bits, order, rounds, number), PASSED), level)
+                passed = part if passed is None else passed.unionByName(part)
+        else:
+            passed = added(passed.where("kind = 'shorter'"), level)
+        counted = passed.where("kind = 'counted'").select(*(F.sum(F.col("of_counts")[i]) for i in range(5))).first()
+        cut[level] = discounts([n or 0 for n in counted[:4]])
+        # One kind at a time, so that their shuffles do not stand on disk together.
+        for kind in ["context"] + ["word"] * (level == order) + ["shorter"] * (level == 2):
+            made = passed.where(F.col("kind") == kind).groupBy("kind", "bucket").applyInArrow(_add_up(folder, bits, level), ADDED_UP)
+            told = saved(spark, made, "counts").agg(F.sum("distinct"), F.sum("total"), *(F.sum(F.col("of_counts")[i]) for i in range(5))).first()
+            totals[kind] = [n or 0 for n in told]
+    of_words = totals["shorter"][2:]
     meta = {
+        "order": order,
         "bits": bits,
-        "docs": n_docs,
-        "tokens": sum(r.total for r in contexts) + n_docs,  # every word is a context once; the ends are not
-        "distinct": sum(r.distinct for r in contexts) + (n_docs > 0),
-        "pairs": sum(r.total for r in followers),
-        "pair_discounts": discounts([n or 0 for n in of_pairs]),
-        "word_discounts": discounts(of_followers[:4]),
-        "of_followers": of_followers,
+        "tokens": totals["word"][1],
+        "distinct": totals["word"][0],
+        "pairs": totals["shorter"][1],
+        "discounts": [discounts(of_words[:4]), *(cut[level] for level in range(2, order + 1))],
+        "of_words": of_words,
     }
     put(f"{folder}/model.json", lambda out: out.write(json.dumps(meta).encode()))
     return folder
@@ -203,64 +277,66 @@ class Model:
 
     def _file(self, kind: str, bucket: int):
         if (kind, bucket) not in self.arrays:
+            if len(self.arrays) >= MAPPED:
+                self.arrays.clear()
             try:
                 raw = mapped(f"{self.folder}/{kind}-{bucket:06d}")
             except FileNotFoundError:
                 self.arrays[kind, bucket] = None  # nothing fell into this bucket
                 return None
-            if kind == "pairs":
-                n, many = np.frombuffer(raw, "<i8", 2)
-                at = 16 + 8 * n
-                made = (np.frombuffer(raw, np.uint64, n, 16), np.frombuffer(raw, np.uint8, n, at + 16 * many), np.frombuffer(raw, "<i8", many, at), np.frombuffer(raw, "<i8", many, at + 8 * many))
-            else:
-                n, wide = int(np.frombuffer(raw, "<i8", 1)[0]), 4 if kind == "context" else 1
-                made = (np.frombuffer(raw, np.uint64, n, 8), np.frombuffer(raw, np.int64, n * wide, 8 + 8 * n).reshape(n, wide))
-            self.arrays[kind, bucket] = made
+            n, wide, many = (int(x) for x in np.frombuffer(raw, "<i8", 3))
+            at = 24 + 8 * n
+            self.arrays[kind, bucket] = (
+                np.frombuffer(raw, np.uint64, n, 24), np.frombuffer(raw, "<i8", many, at), np.frombuffer(raw, "<i8", many, at + 8 * many),
+                np.frombuffer(raw, np.uint8, n * wide, at + 16 * many).reshape(n, wide),
+            )
         return self.arrays[kind, bucket]
 
     def look_up(self, kind: str, keys: np.ndarray) -> np.ndarray:
         """What is stored for sorted keys; zeros where there is nothing."""
-        out = np.zeros((len(keys), 4 if kind == "context" else 1), np.int64)
+        wide = 4 if kind.startswith("context") else 1
+        out = np.zeros((len(keys), wide), np.int64)
         for bucket, lo, hi in _by_bucket(keys, self.meta["bits"]):
             held = self._file(kind, bucket)
             if held is None:
                 continue
-            at = np.searchsorted(held[0], keys[lo:hi])
-            at[at == len(held[0])] = 0
-            found = held[0][at] == keys[lo:hi]
+            key, many, full, small = held
+            at = np.searchsorted(key, keys[lo:hi])
+            at[at == len(key)] = 0
+            found = key[at] == keys[lo:hi]
             at, to = at[found], np.flatnonzero(found) + lo
-            if kind == "pairs":
-                n = held[1][at].astype(np.int64)
-                many = n == MANY
-                n[many] = held[3][np.searchsorted(held[2], at[many])]
-                out[to, 0] = n
-            else:
-                out[to] = held[1][at]
+            values = small[at].astype(np.int64)
+            row, column = np.nonzero(values == MANY)
+            values[row, column] = full[np.searchsorted(many, at[row] * wide + column)]
+            out[to] = values
         return out
 
-    def of(self, kind: str, keys: np.ndarray) -> np.ndarray:
+    def of(self, keys: np.ndarray, *kinds: str) -> list[np.ndarray]:
         unique, inverse = np.unique(keys, return_inverse=True)
-        return self.look_up(kind, unique)[inverse]
+        return [self.look_up(kind, unique)[inverse] for kind in kinds]
 
-    def log_shares(self, own: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each token its count in training, and the log10 of its share after the one before it."""
+    def log_shares(self, own: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token its count in training, and the log10 of its share after the ones before it."""
         m = self.meta
-        d1, d2 = np.array([0.0, *m["word_discounts"]]), np.array([0.0, *m["pair_discounts"]])
-        followers = self.of("follower", own)[:, 0]
+        order, cut = m["order"], [np.array([0.0, *d]) for d in m["discounts"]]
+        count, n, context = (x for x in self.of(own, "word", "grams1", "context2"))
         even = 1.0 / (m["distinct"] + 1)
         if m["pairs"]:
-            n1, n2, _, _, n3 = m["of_followers"]
-            spare = (d1[1] * n1 + d1[2] * n2 + d1[3] * n3) / m["pairs"]
-            p = (followers - d1[np.minimum(followers, 3)]) / m["pairs"] + spare * even
+            n1, n2, _, _, n3 = m["of_words"]
+            spare = (cut[0][1] * n1 + cut[0][2] * n2 + cut[0][3] * n3) / m["pairs"]
+            p = (n[:, 0] - cut[0][np.minimum(n[:, 0], 3)]) / m["pairs"] + spare * even
         else:
             p = np.full(len(own), even)
-        context = self.of("context", before)
-        n = self.of("pairs", pair_key(before, own))[:, 0]
-        total = np.maximum(context[:, 0], 1)
-        after = (n - d2[np.minimum(n, 3)] + (context[:, 1:] @ d2[1:]) * p) / total
-        count = self.of("context", own)[:, 0]
-        count[own == END] = m["docs"]
-        return count, np.log10(np.where(context[:, 0] > 0, after, p))
+        words, first = ngrams(own, bounds, order), np.full((order, 1), START)
+        for level in range(2, order + 1):
+            # The context of a token is the shorter n-gram that ends one place before it.
+            context = shifted(context, bounds, self.look_up(f"context{level}", gram_key(first[: level - 1]))[0])
+            n, *after = self.of(gram_key(words[order - level :]), f"grams{level}", *([f"context{level + 1}"] if level < order else []))
+            n, d = n[:, 0], cut[level - 1]
+            share = (n - d[np.minimum(n, 3)] + (context[:, 1:] @ d[1:]) * p) / np.maximum(context[:, 0], 1)
+            p = np.where(context[:, 0] > 0, share, p)
+            context = after[0] if after else context
+        return count[:, 0], np.log10(p)
 
 
 def score(docs: DataFrame, folder: str) -> DataFrame:
@@ -282,9 +358,9 @@ def score(docs: DataFrame, folder: str) -> DataFrame:
         m = model.meta
         for batch in filled(batches):
             made = {f.name: [] for f in ADDED}
-            for part in slices(batch.column("text")):
-                own, before, bounds = tokens(part)
-                count, share = model.log_shares(own, before)
+            for part in slices(batch.column("text"), SCORED_BYTES):
+                own, bounds = tokens(part)
+                count, share = model.log_shares(own, bounds)
                 base = np.log10((count + 1) / (m["tokens"] + m["distinct"] + 1))
                 add = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  every row has a token
                 for name, value in zip(made, (np.diff(bounds), add((count > 0).astype(np.int64)), np.full(len(bounds) - 1, m["tokens"]), add(base), add(share))):

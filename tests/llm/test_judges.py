@@ -85,45 +85,71 @@ def test_decontamination_of_nothing(spark, docs, none):
 
 
 # --- 7: language model ------------------------------------------------------------------
-def brute_model(rows, train):
+def brute_model(rows, train, order):
+    """Tokens, counts of single tokens, and the share of a token after a tuple of tokens, from dicts."""
     tokens = {i: [*WORD.findall((t or "").translate(LOWER)), "\n"] for i, t in rows}
     c = collections.Counter(w for i in train for w in tokens[i])
-    pairs = collections.Counter(p for i in train for p in zip(["\r", *tokens[i]], tokens[i]))
-    context, followers = collections.Counter(), collections.Counter()
-    classes = collections.defaultdict(lambda: [0, 0, 0])
-    for (v, w), n in pairs.items():
-        context[v] += n
-        followers[w] += 1
-        classes[v][min(n, 3) - 1] += 1
-    of = lambda values: [sum(1 for x in values if x == k) for k in (1, 2, 3, 4)]
-    d1, d2 = [0, *L.discounts(of(followers.values()))], [0, *L.discounts(of(pairs.values()))]
-    total, distinct = sum(followers.values()), len(c)
-    spare = sum(d1[min(n, 3)] for n in followers.values()) / total if total else 1
-
-    def share(w, v):
-        p = (followers[w] - d1[min(followers[w], 3)]) / total + spare / (distinct + 1) if total else 1 / (distinct + 1)
-        if not context[v]:
-            return p
-        n = pairs[v, w]
-        return (n - d2[min(n, 3)] + sum(a * b for a, b in zip(d2[1:], classes[v])) * p) / context[v]
+    padded = [["\r"] * (order - 1) + tokens[i] for i in train]
+    grams = {order: collections.Counter(tuple(t[k : k + order]) for t in padded for k in range(len(t) - order + 1))}
+    for k in range(order - 1, 0, -1):  # below the highest order, how many different tokens stand before
+        grams[k] = collections.Counter(g[1:] for g in grams[k + 1])
+    classes = collections.defaultdict(lambda: [0, 0, 0, 0])  # of a context: all counts, followers counted 1, 2, 3 times or more
+    for k in range(1, order + 1):
+        for g, n in grams[k].items():
+            classes[g[:-1]][0] += n
+            classes[g[:-1]][min(n, 3)] += 1
+    cut = {k: [0, *L.discounts([sum(1 for x in grams[k].values() if x == j) for j in (1, 2, 3, 4)])] for k in grams}
+
+    def share(w, before):
+        p = 1 / (len(c) + 1)
+        for k in range(1, order + 1):
+            context = tuple(before[len(before) - k + 1 :])
+            total, *seen = classes.get(context, (0, 0, 0, 0))
+            if total:
+                n = grams[k][(*context, w)]
+                p = (n - cut[k][min(n, 3)] + sum(a * b for a, b in zip(cut[k][1:], seen)) * p) / total
+        return p
 
     return tokens, c, share
 
 
-def test_language_model(docs, rows):
+@pytest.mark.parametrize("order, rounds", [(2, 4), (3, 4), (3, 1), (4, 2)])
+def test_language_model(docs, rows, order, rounds):
     train = {i for i, _ in rows if i % 3}
-    out = L.score(docs, L.fit(docs.where("doc_id % 3 <> 0"))).collect()
-    tokens, c, share = brute_model(rows, train)
+    out = L.score(docs, L.fit(docs.where("doc_id % 3 <> 0"), order=order, rounds=rounds)).collect()
+    tokens, c, share = brute_model(rows, train, order)
     n = sum(c.values())
     assert len(out) == len(rows)
     for r in out:
         own = tokens[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(c[w] > 0 for w in own), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + len(c) + 1)) for w in own))
-        assert r["score"] == pytest.approx(sum(math.log10(share(w, v)) for v, w in zip(["\r", *own], own)))
-    # Shares of all words after a word, and of one unknown word, add up to one.
-    for v in ("beta5", "\r", "never seen"):
-        assert sum(share(w, v) for w in c) + share("unknown", v) == pytest.approx(1)
+        padded = ["\r"] * (order - 1) + own
+        assert r["score"] == pytest.approx(sum(math.log10(share(w, padded[k : k + order - 1])) for k, w in enumerate(own)))
+    # Shares of all words after others, and of one unknown word, add up to one.
+    for before in (["\r", "\r", "beta5"], ["beta5", "beta5", "beta5"], ["\r"] * 3, ["never", "seen", "before"]):
+        assert sum(share(w, before) for w in c) + share("unknown", before) == pytest.approx(1)
+
+
+def test_numbers_above_a_byte():
+    n = np.array([[0, 254], [255, 256], [1, 1 << 40]])
+    assert L.unpacked(L.packed(n), 6).reshape(3, 2).tolist() == n.tolist()
+
+
+def test_model_with_frequent_words(spark):
+    """Counts over 255 at every level, repeated rows and rows without a doc_id."""
+    rows = [(i % 50, "the cat the dog the cat") for i in range(300)] + [(None, "the dog"), (None, None)]
+    ids = [(i, t) for i, (_, t) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tokens, c, share = brute_model(ids, set(range(len(rows))), 3)
+    want = sorted(round(sum(math.log10(share(w, (["\r", "\r"] + own)[k : k + 2])) for k, w in enumerate(own)), 8) for own in tokens.values())
+    out = L.score(df, L.fit(df)).collect()
+    assert sorted(round(r["score"], 8) for r in out) == want and {r["train_tokens"] for r in out} == {sum(c.values())}
+
+
+def test_model_refuses_single_words(docs):
+    with pytest.raises(ValueError):
+        L.fit(docs, order=1)
 
 
 def test_language_model_of_nothing(docs, none):
