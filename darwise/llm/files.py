@@ -17,6 +17,12 @@ def qualified(spark, path: str) -> str:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
+def removed(spark, path: str) -> None:
+    """Delete an intermediate table that nothing reads again."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def put(path: str, write) -> None:
     """``write(stream)`` into a file of its own, then rename: a task that is run again replaces the file whole."""
     import uuid

@@ -1,13 +1,15 @@
 """Operator 7, an interpolated modified Kneser-Ney model of n-grams of words.
 
-Counting runs in Spark, from the longest n-grams down. Tasks count the n-grams
-of their texts and send them to the bucket their hash names, a group of buckets
-per round so that disk stays bounded. A bucket adds up, writes its n-grams as
-sorted hash arrays and passes on what it knows of their contexts and of the
-n-grams one word shorter, whose count is the number of different words before
-them. A frequent word or n-gram is one entry per bucket there, so no key gathers
-many rows. Workers map the arrays into memory and look up the sorted keys of a
-slice of text at a time.
+Counting runs in Spark. Words are counted first; a word's number is its place in
+their sorted hashes. Tasks then count the n-grams of their texts and send them
+to the bucket their hash names, a group of buckets per round so that disk stays
+bounded; a bucket adds up and writes its n-grams as sorted hash arrays. The
+hash of an n-gram and its third and later words give back all its words, so what
+the n-grams one word shorter need (the number of different words before them,
+and the counts of what follows them) is read from those files, again in rounds.
+A frequent word or n-gram is one entry per bucket there, so no key gathers many
+rows. Workers map the arrays into memory and look up the sorted keys of a slice
+of text at a time.
 """
 
 import json
@@ -15,10 +17,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from darwise.llm.exchange import saved
-from darwise.llm.files import mapped, put, qualified
+from darwise.llm.files import mapped, put, qualified, removed
 from darwise.llm.tables import partitions, with_columns
 from darwise.llm.text import LOWER, filled, mix, run_hashes, slices, worker_cache
 from darwise.sources.scratch import scratch_path
@@ -29,7 +32,10 @@ BUCKET_BYTES = 8 << 20  # of text for each bucket
 FLUSH_TOKENS = 1 << 20  # tokens counted together before they are sent
 SCORED_BYTES = 2 << 20  # of text whose keys are looked up together
 MAPPED = 20_000  # files that a worker holds mapped at once; systems allow some 65,000
-START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # stand for a text's bounds
+READERS = 10_000  # tasks that read stored n-grams, at most
+END = np.uint64(0x14057B7EF767814F)  # stands for a text's end among the hashes of words
+START, UNKNOWN = np.uint32(0), np.uint32(0xFFFFFFFF)  # among the numbers of words: before a text, and not in training
+STEP = 0x9E3779B97F4A7C15
 ADDED = (
     T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()),
     T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
@@ -59,29 +65,60 @@ def shifted(values: np.ndarray, bounds: np.ndarray, first) -> np.ndarray:
 
 
 def ngrams(own: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
-    """A row for each place in an n-gram, a column for each token, which is the last."""
+    """A column for each place, the n-gram that ends there from top to bottom."""
     rows = [own]
     for _ in range(order - 1):
         rows.append(shifted(rows[-1], bounds, START))
     return np.stack(rows[::-1])
 
 
-def pair_key(before: np.ndarray, own: np.ndarray) -> np.ndarray:
-    return mix(before * np.uint64(0x9E3779B97F4A7C15) + own)
-
-
 def gram_key(words: np.ndarray) -> np.ndarray:
-    """Hashes of n-grams; that of all words but the last goes into that of all."""
-    key = words[0]
-    for own in words[1:]:
-        key = pair_key(key, own)
+    """Hashes of n-grams of numbered words. Up to two words nothing is lost; each later one goes in with the hash before it."""
+    wide = words[:2].astype(np.uint64)
+    key = mix(wide[0] if len(wide) == 1 else (wide[0] << np.uint64(32)) | wide[1])
+    for own in words[2:]:
+        key = mix(key * np.uint64(STEP) + own)
     return key
 
 
-def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _unmix(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(33))
+    for odd in (0xC4CEB9FE1A85EC53, 0xFF51AFD7ED558CCD):  # the factors of mix, last first
+        h = h * np.uint64(pow(odd, -1, 1 << 64))
+        h ^= h >> np.uint64(33)
+    return h
+
+
+def words_of(key: np.ndarray, tails: np.ndarray, level: int) -> np.ndarray:
+    """The words of n-grams from their hashes and their third and later words: ``gram_key`` backwards."""
+    for own in tails[::-1]:
+        key = (_unmix(key) - own.astype(np.uint64)) * np.uint64(pow(STEP, -1, 1 << 64))
+    key = _unmix(key)
+    first = [key] if level == 1 else [key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)]
+    return np.concatenate([np.stack(first).astype(np.uint32), tails])
+
+
+def _grouped(key: np.ndarray, tails=()) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts the keys, equal ones by their tails, and where each group begins in it."""
+
+    def heads(order):
+        new = np.ones(len(key), bool)
+        ordered = key[order]
+        new[1:] = ordered[1:] != ordered[:-1]
+        other = np.zeros(max(0, len(key) - 1), bool)
+        for tail in tails:
+            ordered = tail[order]
+            other |= ordered[1:] != ordered[:-1]
+        met = (other & ~new[1:]).any()  # two n-grams of one hash
+        new[1:] |= other
+        return met, np.flatnonzero(new)
+
     order = np.argsort(key)
-    ordered = key[order]
-    return order, np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), ordered[1:] != ordered[:-1]]))
+    met, at = heads(order)
+    if met:
+        order = np.lexsort((*tails[::-1], key))
+        at = heads(order)[1]
+    return order, at
 
 
 def _by_bucket(key: np.ndarray, bits: int):
@@ -104,111 +141,199 @@ def unpacked(raw: bytes, size: int) -> np.ndarray:
     return out
 
 
-PASSED = "kind string, bucket int, words binary, n binary, of_counts array<long>"
-_ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("words", pa.binary()), ("n", pa.binary()), ("of_counts", pa.list_(pa.int64()))])
+SENT = "bucket int, kind string, keys binary, tails binary, n binary"
+_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("keys", pa.binary()), ("tails", pa.binary()), ("n", pa.binary())])
+COUNTED = "bucket int, distinct long, total long, of_counts array<long>"
 
 
-def _passed(rows: list[tuple]) -> pa.Table:
-    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ARROW)], schema=_ARROW)
+def _dealt(kind: str, key: np.ndarray, tails: np.ndarray, n: np.ndarray, bits: int):
+    """A row for each bucket of sorted keys."""
+    rows = [(b, kind, key[lo:hi].tobytes(), np.ascontiguousarray(tails[:, lo:hi]).tobytes(), packed(n[lo:hi])) for b, lo, hi in _by_bucket(key, bits)]
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ARROW)], schema=_ARROW).to_batches()
 
 
-def _dealt(kind: str, key: np.ndarray, words: np.ndarray, n: np.ndarray, bits: int) -> list[tuple]:
-    """A row for each bucket of sorted keys: its words and their numbers."""
-    return [(kind, b, np.ascontiguousarray(words[..., lo:hi]).tobytes(), packed(n[lo:hi]), None) for b, lo, hi in _by_bucket(key, bits)]
+def _received(table: pa.Table, level: int, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys = [np.frombuffer(raw, np.uint64) for raw in table["keys"].to_pylist()]
+    tails = [np.frombuffer(raw, np.uint32).reshape(max(0, level - 2), len(k)) for raw, k in zip(table["tails"].to_pylist(), keys)]
+    n = [unpacked(raw, wide * len(k)).reshape(-1, wide) for raw, k in zip(table["n"].to_pylist(), keys)]
+    return np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros((max(0, level - 2), 0), np.uint32), *tails], axis=1), np.concatenate([np.zeros((0, wide), np.int64), *n])
 
 
-def _count(bits: int, order: int, rounds: int, number: int):
-    def send(held):
-        words = np.concatenate(held, axis=1)
-        key = gram_key(words)
-        here = (key >> np.uint64(64 - bits)).astype(np.int64) % rounds == number
-        key, words = key[here], words[:, here]
-        at, heads = _grouped(key)
-        n = np.diff(np.append(heads, len(key)))
-        at = at[heads]
-        return _passed(_dealt("grams", key[at], words[:, at], n, bits)).to_batches()
-
+def _count_words(bits: int):
     def run(batches):
-        held, size = [], 0
         for batch in filled(batches):
-            for part in slices(batch.column("text")):
-                held.append(ngrams(*tokens(part), order))
-                size += held[-1].shape[1]
-                if size >= FLUSH_TOKENS:
-                    yield from send(held)
-                    held, size = [], 0
-        if held:
-            yield from send(held)
+            for part in slices(batch.column("text"), SCORED_BYTES):
+                key, n = np.unique(tokens(part)[0], return_counts=True)
+                yield from _dealt("word", key, np.zeros((0, len(key)), np.uint32), n, bits)
 
     return run
 
 
-def _counts_of_counts(n: np.ndarray) -> list[int]:
-    """How many are 1, 2, 3 and 4, and how many 3 or more."""
-    return [*(int((n == i).sum()) for i in (1, 2, 3, 4)), int((n > 2).sum())]
-
-
-def _store(path: str, key: np.ndarray, numbers: np.ndarray) -> None:
-    """Sorted keys with a row of numbers each."""
+def _store(path: str, key: np.ndarray, tails: np.ndarray, numbers: np.ndarray) -> None:
+    """Sorted keys with their tails and a row of numbers each."""
     flat = numbers.reshape(-1)
     many = np.flatnonzero(flat >= MANY)
-    head = np.array([len(key), flat.size // max(1, len(key)), len(many)], "<i8")
-    parts = (head, key, many.astype("<i8"), flat[many].astype("<i8"), np.minimum(flat, MANY).astype(np.uint8))
+    head = np.array([len(key), numbers.shape[1], len(many), len(tails)], "<i8")
+    parts = (head, key, many.astype("<i8"), flat[many].astype("<i8"), np.ascontiguousarray(tails), np.minimum(flat, MANY).astype(np.uint8))
     put(path, lambda out: [out.write(x.tobytes()) for x in parts])
 
 
-def _add_grams(folder: str, bits: int, level: int, top: bool):
-    """Add up one bucket of n-grams: its file, and what their contexts, the shorter n-grams and (``top``) the words are told."""
+def _add_up(folder: str, level: int, top: bool):
+    """Add up one bucket of words (level 0) or n-grams and write its file.
+
+    Its numbers are the count and, below the ``top``, of the n-gram as a context
+    the count and the followers counted once, twice and more often.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
-        parts = [np.frombuffer(w, np.uint64).reshape(level, -1) for w in table["words"].to_pylist()]
-        n = np.concatenate([unpacked(raw, p.shape[1]) for raw, p in zip(table["n"].to_pylist(), parts)])
-        words = np.concatenate(parts, axis=1)
-        key = gram_key(words)
-        at, heads = _grouped(key)
-        n = np.add.reduceat(n[at], heads)
-        at = at[heads]
-        key, words = key[at], words[:, at]
-        _store(f"{folder}/grams{level}-{bucket:06d}", key, n)
-        rows = [("counted", bucket, None, None, _counts_of_counts(n))]
-        context = gram_key(words[:-1])
-        at, heads = _grouped(context)
-        told = np.column_stack([np.add.reduceat(x[at], heads) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))])
-        context = context[at[heads]]
-        rows += _dealt("context", context, context, told, bits)
-        lower = gram_key(words[1:])
-        at, heads = _grouped(lower)
-        told, at = np.diff(np.append(heads, len(lower))), at[heads]
-        rows += _dealt("shorter", lower[at], words[1:, at], told, bits)
-        if top:
-            own = words[-1]
-            at, heads = _grouped(own)
-            told, own = np.add.reduceat(n[at], heads), own[at[heads]]
-            rows += _dealt("word", own, own, told, bits)
-        return _passed(rows)
+        key, tails, n = _received(table.filter(pc.not_equal(table["kind"], "context")), level, 1)
+        if not top:
+            others = _received(table.filter(pc.equal(table["kind"], "context")), level, 4)
+            n = np.concatenate([np.pad(n, ((0, 0), (0, 4))), np.pad(others[2], ((0, 0), (1, 0)))])
+            key, tails = np.concatenate([key, others[0]]), np.concatenate([tails, others[1]], axis=1)
+        at, heads = _grouped(key, tails)
+        n, at = np.add.reduceat(n[at], heads, axis=0), at[heads]
+        _store(f"{folder}/grams{level}-{bucket:06d}", key[at], tails[:, at], n)
+        own = n[:, 0]
+        of_counts = [*(int((own == i).sum()) for i in (1, 2, 3, 4)), int((own > 2).sum())]
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "distinct": [len(own)], "total": [int(own.sum())], "of_counts": pa.array([of_counts], pa.list_(pa.int64()))})
 
     return run
 
 
-ADDED_UP = "kind string, bucket int, distinct long, total long, of_counts array<long>"
+class Stored:
+    """The files of a model, mapped as they are needed."""
+
+    def __init__(self, folder: str, bits: int):
+        self.folder, self.bits, self.arrays = folder, bits, {}
 
+    def file(self, level: int, bucket: int):
+        """Keys, tails, and numbers as bytes, places and full numbers; None if nothing fell into the bucket."""
+        if (level, bucket) not in self.arrays:
+            if len(self.arrays) >= MAPPED:
+                self.arrays.clear()
+            try:
+                raw = mapped(f"{self.folder}/grams{level}-{bucket:06d}")
+            except FileNotFoundError:
+                self.arrays[level, bucket] = None
+                return None
+            n, wide, many, tails = (int(x) for x in np.frombuffer(raw, "<i8", 4))
+            at = 32 + 8 * n
+            self.arrays[level, bucket] = (
+                np.frombuffer(raw, np.uint64, n, 32),
+                np.frombuffer(raw, np.uint32, n * tails, at + 16 * many).reshape(tails, n),
+                np.frombuffer(raw, np.uint8, n * wide, at + 16 * many + 4 * n * tails).reshape(n, wide),
+                np.frombuffer(raw, "<i8", many, at),
+                np.frombuffer(raw, "<i8", many, at + 8 * many),
+            )
+        return self.arrays[level, bucket]
+
+    @staticmethod
+    def numbers(held, at: np.ndarray) -> np.ndarray:
+        _, _, small, many, full = held
+        out = small[at].astype(np.int64)
+        row, column = np.nonzero(out == MANY)
+        out[row, column] = full[np.searchsorted(many, at[row] * small.shape[1] + column)]
+        return out
 
-def _add_up(folder: str, bits: int, level: int):
-    """Add up one bucket of contexts (count, and followers seen once, twice, more often), of words, or of the shortest n-grams."""
-    names = {"context": f"context{level}", "word": "word", "shorter": f"grams{level - 1}"}
+    def look_up(self, level: int, key: np.ndarray, tails: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of sorted n-grams the places in their files (-1: not there) and the stored numbers (0: not there)."""
+        place, out = np.full(len(key), -1), np.zeros((len(key), wide), np.int64)
+        for bucket, lo, hi in _by_bucket(key, self.bits):
+            held = self.file(level, bucket)
+            if held is None:
+                continue
+            keys, their = held[:2]
+            asked = np.arange(lo, hi)
+            at = np.searchsorted(keys, key[lo:hi])
+            while len(asked):  # more than once only where n-grams share a hash
+                met = at < len(keys)
+                met[met] = keys[at[met]] == key[asked[met]]
+                asked, at = asked[met], at[met]
+                same = (their[:, at] == tails[:, asked]).all(axis=0)
+                place[asked[same]], out[asked[same]] = at[same], self.numbers(held, at[same])
+                asked, at = asked[~same], at[~same] + 1
+        return place, out
+
+    def of(self, level: int, key: np.ndarray, tails: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+        order, heads = _grouped(key, tails)
+        place, out = self.look_up(level, key[order[heads]], tails[:, order[heads]], wide)
+        group = np.empty(len(key), np.int64)
+        group[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(key))))
+        return place[group], out[group]
+
+    def numbered(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of words from their hashes, and their counts in training."""
+        bases = np.frombuffer(mapped(f"{self.folder}/bases"), "<i8")
+        place, count = self.of(0, own, np.zeros((0, len(own)), np.uint32), 1)
+        number = bases[(own >> np.uint64(64 - self.bits)).astype(np.int64)] + place
+        return np.where(place < 0, UNKNOWN, number.astype(np.uint32)), count[:, 0]
+
+
+def _number(folder: str, bits: int):
+    """Texts as the numbers of their words, a row for each slice."""
 
-    def run(table: pa.Table) -> pa.Table:
-        kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
-        wide = 4 if kind == "context" else 1
-        parts = [np.frombuffer(w, np.uint64) for w in table["words"].to_pylist()]
-        numbers = np.concatenate([unpacked(raw, wide * len(p)).reshape(-1, wide) for raw, p in zip(table["n"].to_pylist(), parts)])
-        key = np.concatenate(parts)
-        at, heads = _grouped(key)
-        numbers, key = np.add.reduceat(numbers[at], heads, axis=0), key[at[heads]]
-        _store(f"{folder}/{names[kind]}-{bucket:06d}", key, numbers)
-        of_counts = pa.array([_counts_of_counts(numbers[:, 0])], pa.list_(pa.int64()))
-        return pa.table({"kind": [kind], "bucket": pa.array([bucket], pa.int32()), "distinct": [len(key)], "total": [int(numbers[:, 0].sum())], "of_counts": of_counts})
+    def run(batches):
+        words = Stored(folder, bits)
+        for batch in filled(batches):
+            rows = []
+            for part in slices(batch.column("text"), SCORED_BYTES):
+                own, bounds = tokens(part)
+                rows.append((words.numbered(own)[0].tobytes(), bounds.astype("<i8").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], names=["numbers", "bounds"])
+
+    return run
+
+
+def _count(bits: int, order: int, rounds: int, number: int):
+    def send(held):
+        words = np.concatenate(held, axis=1)
+        key = gram_key(words)
+        here = (key >> np.uint64(64 - bits)).astype(np.int64) % rounds == number
+        key, tails = key[here], words[2:, here]
+        at, heads = _grouped(key, tails)
+        n, at = np.diff(np.append(heads, len(key))), at[heads]
+        yield from _dealt("grams", key[at], tails[:, at], n, bits)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in filled(batches):
+            for numbers, bounds in zip(batch.column("numbers"), batch.column("bounds")):
+                held.append(ngrams(np.frombuffer(numbers.as_buffer(), np.uint32), np.frombuffer(bounds.as_buffer(), "<i8"), order))
+                size += held[-1].shape[1]
+                if size >= FLUSH_TOKENS:
+                    yield from send(held)
+                    held, size = [], 0
+        if held:
+            yield from send(held)
+
+    return run
+
+
+def _tell(folder: str, bits: int, level: int, rounds: int, number: int):
+    """From the files of n-grams, what contexts and shorter n-grams are told that are dealt out in this round."""
+
+    def run(batches):
+        for batch in filled(batches):
+            for bucket in batch.column("id").to_pylist():
+                held = Stored(folder, bits).file(level, bucket)
+                if held is None:
+                    continue
+                n = Stored.numbers(held, np.arange(len(held[0])))[:, 0]
+                counted = n > 0  # others are contexts only
+                words, n = words_of(held[0][counted], held[1][:, counted], level), n[counted]
+                for kind, part in (("context", words[:-1]), ("grams", words[1:])):
+                    key = gram_key(part)
+                    here = (key >> np.uint64(64 - bits)).astype(np.int64) % rounds == number
+                    key, tails, own = key[here], part[2:, here], n[here]
+                    at, heads = _grouped(key, tails)
+                    if kind == "context":
+                        of = np.column_stack([own, own == 1, own == 2, own > 2]).astype(np.int64)
+                        told = np.add.reduceat(of[at], heads, axis=0) if len(heads) else of
+                    else:
+                        told = np.diff(np.append(heads, len(key)))
+                    yield from _dealt(kind, key[at[heads]], tails[:, at[heads]], told, bits)
 
     return run
 
@@ -225,118 +350,91 @@ def discounts(n: list[int]) -> list[float]:
 def fit(docs: DataFrame, folder: str | None = None, order: int = ORDER, rounds: int = ROUNDS) -> str:
     """Count the n-grams of ``order`` words of the texts of ``docs`` and write the model; returns its folder.
 
-    Only ``text`` is looked at. Null and empty texts are their end alone. What
-    the first shuffle holds at a time is divided by ``rounds``, each of which
-    reads the texts again; the model is the same for any number.
+    Only ``text`` is looked at. Null and empty texts are their end alone. What a
+    shuffle of n-grams holds at a time is divided by ``rounds`` (twice as many
+    below the longest); the model is the same for any number. At most 2**32 - 2
+    different words can be numbered; more are refused.
     """
     if order < 2 or rounds < 1:
         raise ValueError("order is 2 or more, rounds 1 or more")
     spark, own = docs.sparkSession, docs.select(F.col("text").cast("string").alias("text"))
     folder = qualified(spark, folder or scratch_path(spark, "model"))
-    size, n_docs = own.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    bits = max(math.ceil(math.log2(max(1, (size or 0) / BUCKET_BYTES))), math.ceil(math.log2(partitions(docs))), 2)
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(math.ceil(math.log2(max(1, size / BUCKET_BYTES))), math.ceil(math.log2(partitions(docs))), 2)
 
     def added(sent: DataFrame, level: int) -> DataFrame:
-        return saved(spark, sent.groupBy("bucket").applyInArrow(_add_grams(folder, bits, level, level == order), PASSED), "counts")
-
-    cut, totals = {}, {"word": (0, 0), "shorter": (0, 0)}
+        return saved(spark, sent.groupBy("bucket").applyInArrow(_add_up(folder, level, level in (0, order)), COUNTED), "counts")
+
+    def summed(parts: list[DataFrame]) -> list[int]:
+        """Distinct n-grams, their counts, how many are counted 1, 2, 3, 4 times and 3 times or more."""
+        rows = [part.agg(F.sum("distinct"), F.sum("total"), *(F.sum(F.col("of_counts")[i]) for i in range(5))).first() for part in parts]
+        return [sum(r[i] or 0 for r in rows) for i in range(7)]
+
+    words = added(own.mapInArrow(_count_words(bits), SENT), 0)
+    held = np.zeros(1 << bits, np.int64)
+    for row in words.select("bucket", "distinct").collect():  # a row per bucket
+        held[row["bucket"]] = row["distinct"]
+    if held.sum() > 0xFFFFFFFE:
+        raise ValueError("too many different words to number")
+    put(f"{folder}/bases", lambda out: out.write((1 + np.cumsum(held) - held).astype("<i8").tobytes()))
+    distinct, total, *_ = summed([words])
+
+    numbered = scratch_path(spark, "numbers")
+    own.mapInArrow(_number(folder, bits), "numbers binary, bounds binary").write.parquet(numbered)
+    numbers = spark.read.parquet(numbered)
+    counts = {order: summed([added(numbers.mapInArrow(_count(bits, order, rounds, number), SENT), order) for number in range(rounds)])}
+    removed(spark, numbered)
+    buckets = spark.range(0, 1 << bits, 1, min(1 << bits, READERS))
     for level in range(order, 1, -1):
-        if level == order:
-            passed = None
-            for number in range(rounds):
-                part = added(own.mapInArrow(_count(bits, order, rounds, number), PASSED), level)
-                passed = part if passed is None else passed.unionByName(part)
-        else:
-            passed = added(passed.where("kind = 'shorter'"), level)
-        counted = passed.where("kind = 'counted'").select(*(F.sum(F.col("of_counts")[i]) for i in range(5))).first()
-        cut[level] = discounts([n or 0 for n in counted[:4]])
-        # One kind at a time, so that their shuffles do not stand on disk together.
-        for kind in ["context"] + ["word"] * (level == order) + ["shorter"] * (level == 2):
-            made = passed.where(F.col("kind") == kind).groupBy("kind", "bucket").applyInArrow(_add_up(folder, bits, level), ADDED_UP)
-            told = saved(spark, made, "counts").agg(F.sum("distinct"), F.sum("total"), *(F.sum(F.col("of_counts")[i]) for i in range(5))).first()
-            totals[kind] = [n or 0 for n in told]
-    of_words = totals["shorter"][2:]
+        told = (buckets.mapInArrow(_tell(folder, bits, level, 2 * rounds, number), SENT) for number in range(2 * rounds))
+        counts[level - 1] = summed([added(sent, level - 1) for sent in told])
     meta = {
         "order": order,
         "bits": bits,
-        "tokens": totals["word"][1],
-        "distinct": totals["word"][0],
-        "pairs": totals["shorter"][1],
-        "discounts": [discounts(of_words[:4]), *(cut[level] for level in range(2, order + 1))],
-        "of_words": of_words,
+        "tokens": total,
+        "distinct": distinct,
+        "pairs": counts[1][1],
+        "discounts": [discounts(counts[level][2:6]) for level in range(1, order + 1)],
+        "of_words": counts[1][2:],
     }
     put(f"{folder}/model.json", lambda out: out.write(json.dumps(meta).encode()))
     return folder
 
 
 class Model:
-    """A stored model, its arrays mapped as they are needed."""
+    """A stored model."""
 
     def __init__(self, folder: str):
-        self.folder, self.meta, self.arrays = folder, json.loads(mapped(f"{folder}/model.json").to_pybytes()), {}
-
-    def _file(self, kind: str, bucket: int):
-        if (kind, bucket) not in self.arrays:
-            if len(self.arrays) >= MAPPED:
-                self.arrays.clear()
-            try:
-                raw = mapped(f"{self.folder}/{kind}-{bucket:06d}")
-            except FileNotFoundError:
-                self.arrays[kind, bucket] = None  # nothing fell into this bucket
-                return None
-            n, wide, many = (int(x) for x in np.frombuffer(raw, "<i8", 3))
-            at = 24 + 8 * n
-            self.arrays[kind, bucket] = (
-                np.frombuffer(raw, np.uint64, n, 24), np.frombuffer(raw, "<i8", many, at), np.frombuffer(raw, "<i8", many, at + 8 * many),
-                np.frombuffer(raw, np.uint8, n * wide, at + 16 * many).reshape(n, wide),
-            )
-        return self.arrays[kind, bucket]
-
-    def look_up(self, kind: str, keys: np.ndarray) -> np.ndarray:
-        """What is stored for sorted keys; zeros where there is nothing."""
-        wide = 4 if kind.startswith("context") else 1
-        out = np.zeros((len(keys), wide), np.int64)
-        for bucket, lo, hi in _by_bucket(keys, self.meta["bits"]):
-            held = self._file(kind, bucket)
-            if held is None:
-                continue
-            key, many, full, small = held
-            at = np.searchsorted(key, keys[lo:hi])
-            at[at == len(key)] = 0
-            found = key[at] == keys[lo:hi]
-            at, to = at[found], np.flatnonzero(found) + lo
-            values = small[at].astype(np.int64)
-            row, column = np.nonzero(values == MANY)
-            values[row, column] = full[np.searchsorted(many, at[row] * wide + column)]
-            out[to] = values
-        return out
-
-    def of(self, keys: np.ndarray, *kinds: str) -> list[np.ndarray]:
-        unique, inverse = np.unique(keys, return_inverse=True)
-        return [self.look_up(kind, unique)[inverse] for kind in kinds]
+        self.meta = json.loads(mapped(f"{folder}/model.json").to_pybytes())
+        self.stored = Stored(folder, self.meta["bits"])
 
     def log_shares(self, own: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each token its count in training, and the log10 of its share after the ones before it."""
         m = self.meta
         order, cut = m["order"], [np.array([0.0, *d]) for d in m["discounts"]]
-        count, n, context = (x for x in self.of(own, "word", "grams1", "context2"))
+        numbers, count = self.stored.numbered(own)
+        words, first = ngrams(numbers, bounds, order), np.full((order, 1), START)
+
+        def stored(level, grams):
+            return self.stored.of(level, gram_key(grams), grams[2:], 1 if level == order else 5)[1]
+
+        found = stored(1, words[-1:])
         even = 1.0 / (m["distinct"] + 1)
         if m["pairs"]:
+            n, d = found[:, 0], cut[0]
             n1, n2, _, _, n3 = m["of_words"]
-            spare = (cut[0][1] * n1 + cut[0][2] * n2 + cut[0][3] * n3) / m["pairs"]
-            p = (n[:, 0] - cut[0][np.minimum(n[:, 0], 3)]) / m["pairs"] + spare * even
+            spare = (d[1] * n1 + d[2] * n2 + d[3] * n3) / m["pairs"]
+            p = (n - d[np.minimum(n, 3)]) / m["pairs"] + spare * even
         else:
             p = np.full(len(own), even)
-        words, first = ngrams(own, bounds, order), np.full((order, 1), START)
         for level in range(2, order + 1):
             # The context of a token is the shorter n-gram that ends one place before it.
-            context = shifted(context, bounds, self.look_up(f"context{level}", gram_key(first[: level - 1]))[0])
-            n, *after = self.of(gram_key(words[order - level :]), f"grams{level}", *([f"context{level + 1}"] if level < order else []))
-            n, d = n[:, 0], cut[level - 1]
+            context = shifted(found[:, 1:], bounds, stored(level - 1, first[: level - 1])[0, 1:])
+            found, d = stored(level, words[order - level :]), cut[level - 1]
+            n = found[:, 0]
             share = (n - d[np.minimum(n, 3)] + (context[:, 1:] @ d[1:]) * p) / np.maximum(context[:, 0], 1)
             p = np.where(context[:, 0] > 0, share, p)
-            context = after[0] if after else context
-        return count[:, 0], np.log10(p)
+        return count, np.log10(p)
 
 
 def score(docs: DataFrame, folder: str) -> DataFrame:

@@ -131,6 +131,20 @@ def test_language_model(docs, rows, order, rounds):
         assert sum(share(w, before) for w in c) + share("unknown", before) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("level", [1, 2, 3, 4])
+def test_words_from_hashes(level):
+    words = np.random.default_rng(level).integers(0, 1 << 32, (level, 1000), dtype=np.uint32)
+    assert (L.words_of(L.gram_key(words), words[2:], level) == words).all()
+
+
+def test_ngrams_of_one_hash():
+    """N-grams that share a hash but not their last word stay apart."""
+    key, tails = np.array([7, 5, 7, 7, 5], np.uint64), np.array([[2, 1, 1, 2, 1]], np.uint32)
+    order, heads = L._grouped(key, tails)
+    assert [(int(key[i]), int(tails[0, i])) for i in order[heads]] == [(5, 1), (7, 1), (7, 2)]
+    assert np.diff(np.append(heads, 5)).tolist() == [2, 1, 2]
+
+
 def test_numbers_above_a_byte():
     n = np.array([[0, 254], [255, 256], [1, 1 << 40]])
     assert L.unpacked(L.packed(n), 6).reshape(3, 2).tolist() == n.tolist()
