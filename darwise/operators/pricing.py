@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from darwise import values as V
 from darwise.functions.text import month_index, month_start
+from darwise.operators import trees
 from darwise.operators.median import grouped_median
 from darwise.sources.scratch import scratch_folder, stored
 
@@ -18,6 +19,7 @@ _EPS = 2.220446049250313e-16  # smallest relative error of a double, the floor o
 _TREE_DEPTH = 4  # up to 16 leaves, the depth next to 15
 _BINS = 255
 ROWS_PER_TASK = 50_000  # training rows that a task goes over for each level of a tree
+MOST_ROWS, TASKS = 1_000_000, 48  # beyond so many tasks these hold more rows each, up to so many: a fit is thousands of passes
 
 
 class PricingReport(NamedTuple):
@@ -76,17 +78,22 @@ def category_codes(train: DataFrame) -> StringIndexerModel:
     return StringIndexer(inputCols=V.PRICE_CATEGORICAL, outputCols=codes, handleInvalid="keep").fit(_model_input(train))
 
 
+def fit_tasks(rows: int) -> int:
+    """How many tasks go over so many training rows for each level of a tree."""
+    return max(1, min(-(-rows // ROWS_PER_TASK), TASKS), -(-rows // MOST_ROWS))
+
+
 def fit_price_model(train: DataFrame, seed: int = 42, iterations: int = V.GBT_ITERATIONS) -> PipelineModel:
     """Boosted trees on log price. Categories unknown to training share one code of their own."""
     _checkpoints(train)
     data = stored(_model_input(train).select(*V.PRICE_CATEGORICAL, *V.PRICE_NUMERIC, F.log(_TARGET).alias("_log_price")))
     # Every tree is several passes over the rows: as few tasks as the size of the table asks for.
-    data = data.coalesce(max(1, -(-data.count() // ROWS_PER_TASK))).persist()
+    data = data.coalesce(fit_tasks(data.count())).persist()
     try:
         codes = [f"_c_{c}" for c in V.PRICE_CATEGORICAL]
         indexer = category_codes(data)
         widest = max((len(labels) for labels in indexer.labelsArray), default=0)
-        trees = GBTRegressor(
+        boosted = GBTRegressor(
             labelCol="_log_price",
             featuresCol="_features",
             predictionCol="_log_prediction",
@@ -98,7 +105,7 @@ def fit_price_model(train: DataFrame, seed: int = 42, iterations: int = V.GBT_IT
             seed=seed,
         )
         assembler = VectorAssembler(inputCols=codes + V.PRICE_NUMERIC, outputCol="_features")
-        return Pipeline(stages=[indexer, assembler, trees]).fit(data)
+        return Pipeline(stages=[indexer, assembler, boosted]).fit(data)
     finally:
         data.unpersist()
 
@@ -106,7 +113,7 @@ def fit_price_model(train: DataFrame, seed: int = 42, iterations: int = V.GBT_IT
 def predict(model: PipelineModel, df: DataFrame, name: str = "predicted") -> DataFrame:
     """Add the predicted price."""
     kept = df.columns
-    renamed = model.transform(_model_input(df.withColumn("_row", F.struct(*kept))))
+    renamed = trees.scored(model, _model_input(df.withColumn("_row", F.struct(*kept))), "_log_prediction")
     return renamed.select("_row.*", F.exp("_log_prediction").alias(name))
 
 
@@ -190,28 +197,24 @@ def permutation_importance(model: PipelineModel, test: DataFrame, repeats: int =
     """``(feature, importance)``: growth of the log-price error when a feature is shuffled.
 
     Each feature and repeat has a permutation of its own over the rows in hash
-    order, so it is the same on every run and after a lost executor. The tables
-    are joined by place: no group of rows stands in one task.
+    order, so it is the same on every run and after a lost executor. Rows meet
+    by place, one number for each feature and repeat; only the trees that look at
+    a feature are gone through again when it is shuffled.
     """
     features = V.PRICE_CATEGORICAL + V.PRICE_NUMERIC
-    rows = shuffled_index(_model_input(test).select(*features, F.log(_TARGET).alias("_log_price"), "sale_id"), seed=seed)
-    rows = rows.select("_at", "_log_price", F.struct(*features).alias("own"))
+    coded = trees.with_features(model, _model_input(test).withColumn("_log_price", F.log(_TARGET)))
+    rows = shuffled_index(coded.select("_log_price", F.col("_x").alias("own"), "sale_id"), seed=seed).select("_at", "_log_price", "own")
     n = max(1, rows.count())
-    # Variant 0 shuffles nothing; variant i shuffles feature i.
-    plans = [F.struct(F.lit(0).alias("_v"), F.col("_at").alias("_d"))]
-    for i, feature in enumerate(features, 1):
+    # Each row sends its numbers to the rows that take them and to its own place, so a place gets one number for each plan.
+    plans = [F.struct(F.col("_at").alias("_to"), F.lit(i).alias("_plan"), c.alias("value")) for i, c in enumerate([F.col("_log_price"), *[F.col("own")[i] for i in range(len(features))]])]
+    for i in range(len(features)):
         for repeat in range(repeats):
-            a, b = permutation(feature, repeat, seed)
-            plans.append(F.struct(F.lit(i).alias("_v"), F.pmod(F.col("_at") * a + b, F.lit(n)).alias("_d")))
-    variants = rows.select("_log_price", "own", F.inline(F.array(*plans)))
-    donors = rows.select(F.col("_at").alias("_d"), F.col("own").alias("other"))
-    met = variants.join(donors, "_d")
-    changed = met.select(
-        "_v",
-        "_log_price",
-        *[F.when(F.col("_v") == i, F.col("other")[f]).otherwise(F.col("own")[f]).alias(f) for i, f in enumerate(features, 1)],
-    )
-    errors = model.transform(changed).groupBy("_v").agg(F.avg(F.abs(F.col("_log_price") - F.col("_log_prediction"))).alias("mae"))
+            a, b = permutation(features[i], repeat, seed)
+            # The row that takes from this one: a is a prime above n, so it has an inverse.
+            to = F.pmod(F.pmod(F.col("_at") - b, F.lit(n)) * pow(a, -1, n), F.lit(n))
+            plans.append(F.struct(to.alias("_to"), F.lit(len(plans)).alias("_plan"), F.col("own")[i].alias("value")))
+    met = rows.select(F.inline(F.array(*plans))).repartition("_to").sortWithinPartitions("_to", "_plan").select("value")
+    errors = trees.shuffled_errors(model, met, len(features), repeats).groupBy("_v").agg((F.sum("total") / F.sum("n")).alias("mae"))
     base = F.max(F.when(F.col("_v") == 0, F.col("mae")))
     collected = errors.agg(base.alias("base"), F.collect_list(F.struct("_v", "mae")).alias("all"))
     names = F.array(*[F.lit(f) for f in features])
