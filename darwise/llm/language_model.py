@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from darwise.llm.exchange import saved
 from darwise.llm.files import mapped, put, qualified, removed
-from darwise.llm.tables import partitions, with_columns
+from darwise.llm.tables import with_columns
 from darwise.llm.text import LOWER, filled, mix, run_hashes, slices, worker_cache
 from darwise.sources.scratch import scratch_path
 
 ORDER = 3
 ROUNDS = 4
 BUCKET_BYTES = 8 << 20  # of text for each bucket
+LEAST_BITS = 5  # of a hash that name its bucket: enough buckets for small corpora to keep some cores busy
 FLUSH_TOKENS = 1 << 20  # tokens counted together before they are sent
 SCORED_BYTES = 2 << 20  # of text whose keys are looked up together
 MAPPED = 20_000  # files that a worker holds mapped at once; systems allow some 65,000
@@ -360,7 +361,8 @@ def fit(docs: DataFrame, folder: str | None = None, order: int = ORDER, rounds:
     spark, own = docs.sparkSession, docs.select(F.col("text").cast("string").alias("text"))
     folder = qualified(spark, folder or scratch_path(spark, "model"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(math.ceil(math.log2(max(1, size / BUCKET_BYTES))), math.ceil(math.log2(partitions(docs))), 2)
+    # Buckets follow the text alone: a bucket sends a row to each bucket of the level below, so more of them than that are rows for nothing.
+    bits = max(math.ceil(math.log2(max(1, size / BUCKET_BYTES))), LEAST_BITS)
 
     def added(sent: DataFrame, level: int) -> DataFrame:
         return saved(spark, sent.groupBy("bucket").applyInArrow(_add_up(folder, level, level in (0, order)), COUNTED), "counts")

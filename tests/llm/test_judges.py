@@ -420,3 +420,15 @@ def test_isotonic():
     x, y = np.arange(6.0), np.array([0, 2, 1, 0, 4, 4.0])
     knots, levels = Q.isotonic(x, y, np.array([4.0, 4, 4, 4, 4, 4]))
     assert knots.tolist() == [0, 1, 3, 4, 5] and levels.tolist() == [0, 0.25, 0.25, 1, 1]
+
+
+def test_buckets_follow_the_text_alone(spark, docs):
+    """more shuffle partitions make no more buckets: each sends a row to each of the level below"""
+    before, bits = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (4, 211):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            bits.append(L.Model(L.fit(docs.limit(8), order=2, rounds=1)).meta["bits"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert bits == [L.LEAST_BITS] * 2
