@@ -194,3 +194,16 @@ def test_marks_in_texts_shift_nothing(spark, extracted):
     odd = truth.withColumn("buyer_name", F.concat("buyer_name", F.lit("\x01")))
     wrong = {f["field"]: f["accuracy"] for f in E.evaluate(df, odd).per_field.collect() if f["accuracy"] < 1}
     assert set(wrong) == {"buyer_name"}
+
+
+def test_records_meet_their_truth_without_moving_again(spark, extracted):
+    """each side is dealt out once by source, for the check of repeats and for the join"""
+    df, _ = extracted
+    truth = df.select("source", "record.*", F.lit("ar").alias("language"), F.lit("A").alias("template"), F.lit("").alias("planted_issue"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = E.compare_records(df, truth)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning(") == 2, plan
