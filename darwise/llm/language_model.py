@@ -90,10 +90,15 @@ def _unmix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def context_key(key: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The hashes of the first words of n-grams of three or more from the n-grams' and their last words."""
+    return (_unmix(key) - last.astype(np.uint64)) * np.uint64(pow(STEP, -1, 1 << 64))
+
+
 def words_of(key: np.ndarray, tails: np.ndarray, level: int) -> np.ndarray:
     """The words of n-grams from their hashes and their third and later words: ``gram_key`` backwards."""
     for own in tails[::-1]:
-        key = (_unmix(key) - own.astype(np.uint64)) * np.uint64(pow(STEP, -1, 1 << 64))
+        key = context_key(key, own)
     key = _unmix(key)
     first = [key] if level == 1 else [key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)]
     return np.concatenate([np.stack(first).astype(np.uint32), tails])
@@ -233,8 +238,9 @@ class Stored:
     @staticmethod
     def numbers(held, at: np.ndarray) -> np.ndarray:
         _, _, small, many, full = held
-        out = small[at].astype(np.int64)
-        row, column = np.nonzero(out == MANY)
+        small = small[at]
+        out = small.astype(np.int64)
+        row, column = np.nonzero(small == MANY)
         out[row, column] = full[np.searchsorted(many, at[row] * small.shape[1] + column)]
         return out
 
@@ -246,30 +252,34 @@ class Stored:
             if held is None:
                 continue
             keys, their = held[:2]
-            asked = np.arange(lo, hi)
             at = np.searchsorted(keys, key[lo:hi])
+            asked = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == key[lo:hi])
+            at, asked = at[asked], asked + lo
             while len(asked):  # more than once only where n-grams share a hash
-                met = at < len(keys)
-                met[met] = keys[at[met]] == key[asked[met]]
-                asked, at = asked[met], at[met]
-                same = (their[:, at] == tails[:, asked]).all(axis=0)
-                place[asked[same]], out[asked[same]] = at[same], self.numbers(held, at[same])
+                same = np.ones(len(asked), bool)
+                for one, other in zip(their, tails):
+                    same &= one[at] == other[asked]
+                found, there = (asked, at) if same.all() else (asked[same], at[same])
+                place[found], out[found] = there, self.numbers(held, there)
                 asked, at = asked[~same], at[~same] + 1
+                more = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == key[asked])
+                asked, at = asked[more], at[more]
         return place, out
 
-    def of(self, level: int, key: np.ndarray, tails: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, level: int, key: np.ndarray, tails: np.ndarray, wide: int) -> tuple[np.ndarray, ...]:
+        """Each n-gram's number among the different ones, and of these the keys, places and stored numbers."""
         order, heads = _grouped(key, tails)
-        place, out = self.look_up(level, key[order[heads]], tails[:, order[heads]], wide)
-        group = np.empty(len(key), np.int64)
-        group[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(key))))
-        return place[group], out[group]
+        group = np.empty(len(key), np.int32)
+        group[order] = np.repeat(np.arange(len(heads), dtype=np.int32), np.diff(np.append(heads, len(key))))
+        first = order[heads]
+        return group, key[first], *self.look_up(level, key[first], tails[:, first], wide)
 
-    def numbered(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of words from their hashes, and their counts in training."""
+    def numbered(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each word's place among the different ones, and of these the numbers and the counts in training."""
         bases = np.frombuffer(mapped(f"{self.folder}/bases"), "<i8")
-        place, count = self.of(0, own, np.zeros((0, len(own)), np.uint32), 1)
-        number = bases[(own >> np.uint64(64 - self.bits)).astype(np.int64)] + place
-        return np.where(place < 0, UNKNOWN, number.astype(np.uint32)), count[:, 0]
+        group, key, place, count = self.of(0, own, np.zeros((0, len(own)), np.uint32), 1)
+        number = bases[(key >> np.uint64(64 - self.bits)).astype(np.int64)] + place
+        return group, np.where(place < 0, UNKNOWN, number.astype(np.uint32)), count[:, 0]
 
 
 def _number(folder: str, bits: int):
@@ -281,7 +291,8 @@ def _number(folder: str, bits: int):
             rows = []
             for part in slices(batch.column("text"), SCORED_BYTES):
                 own, bounds = tokens(part)
-                rows.append((words.numbered(own)[0].tobytes(), bounds.astype("<i8").tobytes()))
+                group, number, _ = words.numbered(own)
+                rows.append((number[group].tobytes(), bounds.astype("<i8").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], names=["numbers", "bounds"])
 
     return run
@@ -323,9 +334,14 @@ def _tell(folder: str, bits: int, level: int, rounds: int, number: int):
                     continue
                 n = Stored.numbers(held, np.arange(len(held[0])))[:, 0]
                 counted = n > 0  # others are contexts only
-                words, n = words_of(held[0][counted], held[1][:, counted], level), n[counted]
-                for kind, part in (("context", words[:-1]), ("grams", words[1:])):
-                    key = gram_key(part)
+                key, tails, n = held[0][counted], held[1][:, counted], n[counted]
+                if level > 2:  # the key of the context stands in that of the n-gram
+                    shorter = context_key(key, tails[-1])
+                    words = np.concatenate([words_of(shorter, tails[:-1], level - 1), tails[-1:]])
+                else:
+                    words = words_of(key, tails, level)
+                    shorter = gram_key(words[:-1])
+                for kind, part, key in (("context", words[:-1], shorter), ("grams", words[1:], gram_key(words[1:]))):
                     here = (key >> np.uint64(64 - bits)).astype(np.int64) % rounds == number
                     key, tails, own = key[here], part[2:, here], n[here]
                     at, heads = _grouped(key, tails)
@@ -414,29 +430,39 @@ class Model:
         """Of each token its count in training, and the log10 of its share after the ones before it."""
         m = self.meta
         order, cut = m["order"], [np.array([0.0, *d]) for d in m["discounts"]]
-        numbers, count = self.stored.numbered(own)
-        words, first = ngrams(numbers, bounds, order), np.full((order, 1), START)
+        word, number, count = self.stored.numbered(own)
+        words, first = ngrams(number[word], bounds, order), np.full((order, 1), START)
 
         def stored(level, grams):
-            return self.stored.of(level, gram_key(grams), grams[2:], 1 if level == order else 5)[1]
-
-        found = stored(1, words[-1:])
+            """Of n-grams each one's place among the different ones, and of these the counts."""
+            group, _, _, found = self.stored.of(level, gram_key(grams), grams[2:], 1 if level == order else 5)
+            return group, found
+
+        def as_context(level, found):
+            """Of different n-grams the count as a context, and what the discounts of those that follow leave over."""
+            d = cut[level]
+            return found[:, 1], found[:, 2] * d[1] + found[:, 3] * d[2] + found[:, 4] * d[3]
+
+        # Figures are made for different n-grams and dealt out to the tokens; words are sorted once.
+        again, found = stored(1, number[None])
+        group = again[word]
         even = 1.0 / (m["distinct"] + 1)
         if m["pairs"]:
             n, d = found[:, 0], cut[0]
             n1, n2, _, _, n3 = m["of_words"]
             spare = (d[1] * n1 + d[2] * n2 + d[3] * n3) / m["pairs"]
-            p = (n - d[np.minimum(n, 3)]) / m["pairs"] + spare * even
+            p = ((n - d[np.minimum(n, 3)]) / m["pairs"] + spare * even)[group]
         else:
             p = np.full(len(own), even)
         for level in range(2, order + 1):
             # The context of a token is the shorter n-gram that ends one place before it.
-            context = shifted(found[:, 1:], bounds, stored(level - 1, first[: level - 1])[0, 1:])
-            found, d = stored(level, words[order - level :]), cut[level - 1]
+            start = as_context(level - 1, stored(level - 1, first[: level - 1])[1])
+            total, left = (shifted(x[group], bounds, s[0]) for x, s in zip(as_context(level - 1, found), start))
+            group, found = stored(level, words[order - level :])
             n = found[:, 0]
-            share = (n - d[np.minimum(n, 3)] + (context[:, 1:] @ d[1:]) * p) / np.maximum(context[:, 0], 1)
-            p = np.where(context[:, 0] > 0, share, p)
-        return count, np.log10(p)
+            share = ((n - cut[level - 1][np.minimum(n, 3)])[group] + left * p) / np.maximum(total, 1)
+            p = np.where(total > 0, share, p)
+        return count[word], np.log10(p)
 
 
 def score(docs: DataFrame, folder: str) -> DataFrame:

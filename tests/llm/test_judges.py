@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from darwise.llm import decontaminate as D, language_model as L, quality_model as Q, quality_rules as R, toxicity as T
 from darwise.llm.kneser_ney_words import SharedBackoff, Steps, fitted, ngrams
+from darwise.llm.text import slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -137,6 +138,27 @@ def test_words_from_hashes(level):
     assert (L.words_of(L.gram_key(words), words[2:], level) == words).all()
 
 
+@pytest.mark.parametrize("level", [3, 4])
+def test_key_of_a_context(level):
+    words = np.random.default_rng(level).integers(0, 1 << 32, (level, 1000), dtype=np.uint32)
+    assert (L.context_key(L.gram_key(words), words[-1]) == L.gram_key(words[:-1])).all()
+
+
+def test_words_are_looked_up_once(docs, rows, monkeypatch):
+    """Single words are found by the different words of a slice, not by its tokens; what is found is the same."""
+    folder, asked, of = L.fit(docs), {}, L.Stored.of
+    monkeypatch.setattr(L.Stored, "of", lambda self, level, key, *more: asked.setdefault(level, []).append(len(key)) or of(self, level, key, *more))
+    texts = [t for _, t in rows]
+    (part,) = slices(pa.array(texts), 1 << 30)
+    own, bounds = L.tokens(part)
+    count, share = L.Model(folder).log_shares(own, bounds)
+    tokens, c, _ = brute_model(rows, {i for i, _ in rows}, 3)
+    assert len(own) == max(asked[0]) > 2 * len(c) and max(asked[1]) == len(c)
+    assert count.tolist() == [c[w] for i, _ in rows for w in tokens[i]]
+    one = {r["doc_id"]: r["score"] for r in L.score(docs, folder).collect()}
+    assert np.add.reduceat(share, bounds[:-1]) == pytest.approx([one[i] for i, _ in rows])
+
+
 def test_ngrams_of_one_hash():
     """N-grams that share a hash but not their last word stay apart."""
     key, tails = np.array([7, 5, 7, 7, 5], np.uint64), np.array([[2, 1, 1, 2, 1]], np.uint32)
