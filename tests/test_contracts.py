@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from darwise import values as V
+from darwise.functions.parsing import reply_json
 from darwise.operators import contracts as C, evaluation as E
 
 A = """عقد بيع
@@ -133,6 +134,16 @@ def test_business_checks(spark):
     assert record(spark, contract_no="X", buyer_name="a", unit_no="U", total_price_sar=9.0, payment_method="cash", down_payment_sar=5.0) == [V.ISSUE_CASH]
 
 
+def test_values_are_whole(spark):
+    """A bracket too many after a value is text that follows it: then the outermost object or array counts, if that is whole."""
+    cases = {
+        '{"a":1}]': '{"a":1}', '"a"]': None, "[1]]": None, "1]": None, 'so {"a":[1]}] it is': '{"a":[1]}', '{"a":1}]{"b":2}': None,
+        "null]": None, "1,2": None, "[1,2]": "[1,2]", "1": "1", "": None, "[]": "[]", "{}": "{}", '"],"': '"],"', '{"a":"]"} x': '{"a":"]"}',
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "reply string")
+    assert {r[0]: r[1] for r in df.select("reply", F.to_json(reply_json("reply"))).collect()} == cases
+
+
 def test_replies(spark):
     rows = [
         ("ok", '```json\n{"contract_no": "T-1", "buyer_name": "a", "unit_no": "u", "total_price_sar": "١,٢٣٤,٠٠٠", "area_sqm": 1.5e2, "installments_count": 3, "other": 1}\n```'),
