@@ -4,9 +4,10 @@ Counting runs in Spark. Words are counted first; a word's number is its place in
 their sorted hashes. Tasks then count the n-grams of their texts and send them
 to the bucket their hash names, a group of buckets per round so that disk stays
 bounded; a bucket adds up and writes its n-grams as sorted hash arrays. The
-hash of an n-gram and its third and later words give back all its words, so what
-the n-grams one word shorter need (the number of different words before them,
-and the counts of what follows them) is read from those files, again in rounds.
+hash of an n-gram and what of its words does not fit into 64 bits (a few bits of
+the third word, and the later ones) give back all its words, so what the n-grams
+one word shorter need (the number of different words before them, and the counts
+of what follows them) is read from those files, again in rounds.
 A frequent word or n-gram is one entry per bucket there, so no key gathers many
 rows. Workers map the arrays into memory and look up the sorted keys of a slice
 of text at a time.
@@ -104,6 +105,51 @@ def words_of(key: np.ndarray, tails: np.ndarray, level: int) -> np.ndarray:
     return np.concatenate([np.stack(first).astype(np.uint32), tails])
 
 
+def width_of(distinct: int) -> int:
+    """The bits of a word's number, if there are so many words, the start and one number for those not in training."""
+    return (distinct + 1).bit_length()
+
+
+def _left_over(width: int) -> int:
+    """How many bits of the third word find no place beside the first two in 64."""
+    return max(0, 3 * width - 64)
+
+
+def third_type(width: int) -> str:
+    """The narrowest type for these bits."""
+    return next(f"<u{n}" for n in (1, 2, 4) if 8 * n >= _left_over(width))
+
+
+def keyed(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and tails of n-grams of words of ``width`` bits; together they give back the words.
+
+    The first three words fill up the 64 bits that ``gram_key`` makes of two, and
+    what is left of the third is the first row of the tails; later words are rows as they are.
+    """
+    if len(words) < 3:
+        return gram_key(words), words[2:]
+    low = _left_over(width)
+    first, second, third = words[:3].astype(np.uint64)
+    rest = third & np.uint64((1 << low) - 1)
+    key = mix((((first << np.uint64(width)) | second) << np.uint64(width - low)) | (third >> np.uint64(low)))
+    key = mix(key * np.uint64(STEP) + rest)
+    for own in words[3:]:
+        key = mix(key * np.uint64(STEP) + own)
+    return key, np.concatenate([rest[None].astype(np.uint32), words[3:]])
+
+
+def unkeyed(key: np.ndarray, tails: np.ndarray, level: int, width: int) -> np.ndarray:
+    """The words of n-grams: ``keyed`` backwards."""
+    if level < 3:
+        return words_of(key, tails, level)
+    for own in tails[::-1]:
+        key = context_key(key, own)
+    key, low = _unmix(key), _left_over(width)
+    inside, mask = np.uint64(width - low), np.uint64((1 << width) - 1)
+    third = ((key << np.uint64(low)) & mask) | tails[0]
+    return np.concatenate([np.stack([key >> (inside + np.uint64(width)), (key >> inside) & mask, third]).astype(np.uint32), tails[1:]])
+
+
 def _grouped(key: np.ndarray, tails=()) -> tuple[np.ndarray, np.ndarray]:
     """An order that sorts the keys, equal ones by their tails, and where each group begins in it."""
 
@@ -129,10 +175,15 @@ def _grouped(key: np.ndarray, tails=()) -> tuple[np.ndarray, np.ndarray]:
 
 def _by_bucket(key: np.ndarray, bits: int):
     """Bounds of the buckets in sorted keys."""
-    bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
-    cuts = np.flatnonzero(np.concatenate([np.ones(min(1, len(bucket)), bool), bucket[1:] != bucket[:-1]]))
-    for lo, hi in zip(cuts, np.append(cuts[1:], len(bucket))):
-        yield int(bucket[lo]), lo, hi
+    cuts = np.append(np.searchsorted(key, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(key))
+    for bucket in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+        yield bucket, int(cuts[bucket]), int(cuts[bucket + 1])
+
+
+def _in_round(key: np.ndarray, bits: int, rounds: int, number: int) -> np.ndarray:
+    """The places of the keys whose buckets are dealt out in this round: a run of neighbours."""
+    first, end = ((at << bits) // rounds << (64 - bits) for at in (number, number + 1))
+    return np.flatnonzero(key - np.uint64(first) <= np.uint64(end - first - 1)) if first < end else np.zeros(0, np.int64)
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -152,17 +203,35 @@ _ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("keys", pa.b
 COUNTED = "bucket int, distinct long, total long, of_counts array<long>"
 
 
-def _dealt(kind: str, key: np.ndarray, tails: np.ndarray, n: np.ndarray, bits: int):
+def _tail_bytes(tails: np.ndarray, third: str) -> bytes:
+    """The rows of fourth and later words, then that of what is left of the third."""
+    return b"".join([*(own.tobytes() for own in tails[1:]), *(own.astype(third).tobytes() for own in tails[:1])])
+
+
+def _tails(raw, size: int, rows: int, at: int = 0, end: int | None = None) -> list[np.ndarray]:
+    """The rows of ``_tail_bytes``, as they are stored."""
+    if not rows or not size:
+        return [np.zeros(size, np.uint32)] * rows
+    wide = ((len(raw) if end is None else end) - at) // size - 4 * (rows - 1)
+    return [np.frombuffer(raw, f"<u{wide}", size, at + 4 * (rows - 1) * size), *(np.frombuffer(raw, np.uint32, size, at + 4 * i * size) for i in range(rows - 1))]
+
+
+def _dealt(kind: str, key: np.ndarray, tails: np.ndarray, n: np.ndarray, bits: int, third: str = "<u4"):
     """A row for each bucket of sorted keys."""
-    rows = [(b, kind, key[lo:hi].tobytes(), np.ascontiguousarray(tails[:, lo:hi]).tobytes(), packed(n[lo:hi])) for b, lo, hi in _by_bucket(key, bits)]
+    rows = [(b, kind, key[lo:hi].tobytes(), _tail_bytes(tails[:, lo:hi], third), packed(n[lo:hi])) for b, lo, hi in _by_bucket(key, bits)]
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ARROW)], schema=_ARROW).to_batches()
 
 
 def _received(table: pa.Table, level: int, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = max(0, level - 2)
     keys = [np.frombuffer(raw, np.uint64) for raw in table["keys"].to_pylist()]
-    tails = [np.frombuffer(raw, np.uint32).reshape(max(0, level - 2), len(k)) for raw, k in zip(table["tails"].to_pylist(), keys)]
+    tails = [_tails(raw, len(k), rows) for raw, k in zip(table["tails"].to_pylist(), keys)]
     n = [unpacked(raw, wide * len(k)).reshape(-1, wide) for raw, k in zip(table["n"].to_pylist(), keys)]
-    return np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros((max(0, level - 2), 0), np.uint32), *tails], axis=1), np.concatenate([np.zeros((0, wide), np.int64), *n])
+    key = np.concatenate([np.zeros(0, np.uint64), *keys])
+    joined = np.zeros((rows, len(key)), np.uint32)
+    for i in range(rows):
+        np.concatenate([np.zeros(0, np.uint32), *(t[i] for t in tails)], out=joined[i])
+    return key, joined, np.concatenate([np.zeros((0, wide), np.int64), *n])
 
 
 def _count_words(bits: int):
@@ -175,16 +244,17 @@ def _count_words(bits: int):
     return run
 
 
-def _store(path: str, key: np.ndarray, tails: np.ndarray, numbers: np.ndarray) -> None:
+def _store(path: str, key: np.ndarray, tails: np.ndarray, numbers: np.ndarray, third: str) -> None:
     """Sorted keys with their tails and a row of numbers each."""
     flat = numbers.reshape(-1)
     many = np.flatnonzero(flat >= MANY)
     head = np.array([len(key), numbers.shape[1], len(many), len(tails)], "<i8")
-    parts = (head, key, many.astype("<i8"), flat[many].astype("<i8"), np.ascontiguousarray(tails), np.minimum(flat, MANY).astype(np.uint8))
-    put(path, lambda out: [out.write(x.tobytes()) for x in parts])
+    parts = (head, key, many.astype("<i8"), flat[many].astype("<i8"), np.minimum(flat, MANY).astype(np.uint8))
+    *first, last = (x.tobytes() for x in parts)
+    put(path, lambda out: [out.write(x) for x in (*first, _tail_bytes(tails, third), last)])
 
 
-def _add_up(folder: str, level: int, top: bool):
+def _add_up(folder: str, level: int, top: bool, third: str):
     """Add up one bucket of words (level 0) or n-grams and write its file.
 
     Its numbers are the count and, below the ``top``, of the n-gram as a context
@@ -200,7 +270,7 @@ def _add_up(folder: str, level: int, top: bool):
             key, tails = np.concatenate([key, others[0]]), np.concatenate([tails, others[1]], axis=1)
         at, heads = _grouped(key, tails)
         n, at = np.add.reduceat(n[at], heads, axis=0), at[heads]
-        _store(f"{folder}/grams{level}-{bucket:06d}", key[at], tails[:, at], n)
+        _store(f"{folder}/grams{level}-{bucket:06d}", key[at], tails[:, at], n, third)
         own = n[:, 0]
         of_counts = [*(int((own == i).sum()) for i in (1, 2, 3, 4)), int((own > 2).sum())]
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "distinct": [len(own)], "total": [int(own.sum())], "of_counts": pa.array([of_counts], pa.list_(pa.int64()))})
@@ -228,20 +298,21 @@ class Stored:
             at = 32 + 8 * n
             self.arrays[level, bucket] = (
                 np.frombuffer(raw, np.uint64, n, 32),
-                np.frombuffer(raw, np.uint32, n * tails, at + 16 * many).reshape(tails, n),
-                np.frombuffer(raw, np.uint8, n * wide, at + 16 * many + 4 * n * tails).reshape(n, wide),
+                _tails(raw, n, tails, at + 16 * many, raw.size - n * wide),
+                np.frombuffer(raw, np.uint8, n * wide, raw.size - n * wide).reshape(n, wide),
                 np.frombuffer(raw, "<i8", many, at),
                 np.frombuffer(raw, "<i8", many, at + 8 * many),
             )
         return self.arrays[level, bucket]
 
     @staticmethod
-    def numbers(held, at: np.ndarray) -> np.ndarray:
+    def numbers(held, at: np.ndarray, wide: int) -> np.ndarray:
+        """The first ``wide`` numbers of the n-grams at these places."""
         _, _, small, many, full = held
-        small = small[at]
-        out = small.astype(np.int64)
-        row, column = np.nonzero(small == MANY)
-        out[row, column] = full[np.searchsorted(many, at[row] * small.shape[1] + column)]
+        out = small[:, :wide].take(at, axis=0).astype(np.int64)
+        if len(many):
+            row, column = np.divmod(np.flatnonzero(out == MANY), wide)
+            out[row, column] = full[np.searchsorted(many, at[row] * small.shape[1] + column)]
         return out
 
     def look_up(self, level: int, key: np.ndarray, tails: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
@@ -253,14 +324,14 @@ class Stored:
                 continue
             keys, their = held[:2]
             at = np.searchsorted(keys, key[lo:hi])
-            asked = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == key[lo:hi])
+            asked = np.flatnonzero(keys.take(at, mode="clip") == key[lo:hi])
             at, asked = at[asked], asked + lo
             while len(asked):  # more than once only where n-grams share a hash
                 same = np.ones(len(asked), bool)
                 for one, other in zip(their, tails):
                     same &= one[at] == other[asked]
                 found, there = (asked, at) if same.all() else (asked[same], at[same])
-                place[found], out[found] = there, self.numbers(held, there)
+                place[found], out[found] = there, self.numbers(held, there, wide)
                 asked, at = asked[~same], at[~same] + 1
                 more = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == key[asked])
                 asked, at = asked[more], at[more]
@@ -298,15 +369,14 @@ def _number(folder: str, bits: int):
     return run
 
 
-def _count(bits: int, order: int, rounds: int, number: int):
+def _count(bits: int, order: int, rounds: int, number: int, width: int):
     def send(held):
-        words = np.concatenate(held, axis=1)
-        key = gram_key(words)
-        here = (key >> np.uint64(64 - bits)).astype(np.int64) % rounds == number
-        key, tails = key[here], words[2:, here]
+        key, tails = keyed(np.concatenate(held, axis=1), width)
+        here = _in_round(key, bits, rounds, number)
+        key, tails = key[here], tails[:, here]
         at, heads = _grouped(key, tails)
         n, at = np.diff(np.append(heads, len(key))), at[heads]
-        yield from _dealt("grams", key[at], tails[:, at], n, bits)
+        yield from _dealt("grams", key[at], tails[:, at], n, bits, third_type(width))
 
     def run(batches):
         held, size = [], 0
@@ -323,7 +393,7 @@ def _count(bits: int, order: int, rounds: int, number: int):
     return run
 
 
-def _tell(folder: str, bits: int, level: int, rounds: int, number: int):
+def _tell(folder: str, bits: int, level: int, rounds: int, number: int, width: int):
     """From the files of n-grams, what contexts and shorter n-grams are told that are dealt out in this round."""
 
     def run(batches):
@@ -332,25 +402,23 @@ def _tell(folder: str, bits: int, level: int, rounds: int, number: int):
                 held = Stored(folder, bits).file(level, bucket)
                 if held is None:
                     continue
-                n = Stored.numbers(held, np.arange(len(held[0])))[:, 0]
-                counted = n > 0  # others are contexts only
-                key, tails, n = held[0][counted], held[1][:, counted], n[counted]
-                if level > 2:  # the key of the context stands in that of the n-gram
-                    shorter = context_key(key, tails[-1])
-                    words = np.concatenate([words_of(shorter, tails[:-1], level - 1), tails[-1:]])
-                else:
-                    words = words_of(key, tails, level)
-                    shorter = gram_key(words[:-1])
-                for kind, part, key in (("context", words[:-1], shorter), ("grams", words[1:], gram_key(words[1:]))):
-                    here = (key >> np.uint64(64 - bits)).astype(np.int64) % rounds == number
-                    key, tails, own = key[here], part[2:, here], n[here]
+                key, n = held[0], held[2][:, 0]
+                tails = np.array(held[1], np.uint32).reshape(max(0, level - 2), len(key))
+                words = unkeyed(key, tails, level, width)
+                # A longer context's key stands in that of its n-gram.
+                contexts = (context_key(key, tails[-1]), tails[:-1]) if level > 3 else keyed(words[:-1], width)
+                for kind, (key, tails) in (("context", contexts), ("grams", keyed(words[1:], width))):
+                    here = _in_round(key, bits, rounds, number)
+                    here = here[n[here] > 0]  # others are contexts only
+                    key, tails = key[here], tails[:, here]
                     at, heads = _grouped(key, tails)
                     if kind == "context":
+                        own = Stored.numbers(held, here[at], 1)[:, 0]
                         of = np.column_stack([own, own == 1, own == 2, own > 2]).astype(np.int64)
-                        told = np.add.reduceat(of[at], heads, axis=0) if len(heads) else of
+                        told = np.add.reduceat(of, heads, axis=0) if len(heads) else of
                     else:
                         told = np.diff(np.append(heads, len(key)))
-                    yield from _dealt(kind, key[at[heads]], tails[:, at[heads]], told, bits)
+                    yield from _dealt(kind, key[at[heads]], tails[:, at[heads]], told, bits, third_type(width))
 
     return run
 
@@ -368,8 +436,8 @@ def fit(docs: DataFrame, folder: str | None = None, order: int = ORDER, rounds:
     """Count the n-grams of ``order`` words of the texts of ``docs`` and write the model; returns its folder.
 
     Only ``text`` is looked at. Null and empty texts are their end alone. What a
-    shuffle of n-grams holds at a time is divided by ``rounds`` (twice as many
-    below the longest); the model is the same for any number. At most 2**32 - 2
+    shuffle of n-grams holds at a time is divided by ``rounds`` (half as many
+    for single words); the model is the same for any number. At most 2**32 - 2
     different words can be numbered; more are refused.
     """
     if order < 2 or rounds < 1:
@@ -381,13 +449,14 @@ def fit(docs: DataFrame, folder: str | None = None, order: int = ORDER, rounds:
     bits = max(math.ceil(math.log2(max(1, size / BUCKET_BYTES))), LEAST_BITS)
 
     def added(sent: DataFrame, level: int) -> DataFrame:
-        return saved(spark, sent.groupBy("bucket").applyInArrow(_add_up(folder, level, level in (0, order)), COUNTED), "counts")
+        return saved(spark, sent.groupBy("bucket").applyInArrow(_add_up(folder, level, level in (0, order), third), COUNTED), "counts")
 
     def summed(parts: list[DataFrame]) -> list[int]:
         """Distinct n-grams, their counts, how many are counted 1, 2, 3, 4 times and 3 times or more."""
         rows = [part.agg(F.sum("distinct"), F.sum("total"), *(F.sum(F.col("of_counts")[i]) for i in range(5))).first() for part in parts]
         return [sum(r[i] or 0 for r in rows) for i in range(7)]
 
+    third = "<u4"  # until the words are counted
     words = added(own.mapInArrow(_count_words(bits), SENT), 0)
     held = np.zeros(1 << bits, np.int64)
     for row in words.select("bucket", "distinct").collect():  # a row per bucket
@@ -396,19 +465,23 @@ def fit(docs: DataFrame, folder: str | None = None, order: int = ORDER, rounds:
         raise ValueError("too many different words to number")
     put(f"{folder}/bases", lambda out: out.write((1 + np.cumsum(held) - held).astype("<i8").tobytes()))
     distinct, total, *_ = summed([words])
+    width = width_of(distinct)
+    third = third_type(width)
 
     numbered = scratch_path(spark, "numbers")
     own.mapInArrow(_number(folder, bits), "numbers binary, bounds binary").write.parquet(numbered)
     numbers = spark.read.parquet(numbered)
-    counts = {order: summed([added(numbers.mapInArrow(_count(bits, order, rounds, number), SENT), order) for number in range(rounds)])}
+    counts = {order: summed([added(numbers.mapInArrow(_count(bits, order, rounds, number, width), SENT), order) for number in range(rounds)])}
     removed(spark, numbered)
     buckets = spark.range(0, 1 << bits, 1, min(1 << bits, READERS))
     for level in range(order, 1, -1):
-        told = (buckets.mapInArrow(_tell(folder, bits, level, 2 * rounds, number), SENT) for number in range(2 * rounds))
+        parts = rounds if level > 2 else -(-rounds // 2)  # pairs are fewer, and tell a word no more than once a bucket
+        told = (buckets.mapInArrow(_tell(folder, bits, level, parts, number, width), SENT) for number in range(parts))
         counts[level - 1] = summed([added(sent, level - 1) for sent in told])
     meta = {
         "order": order,
         "bits": bits,
+        "width": width,
         "tokens": total,
         "distinct": distinct,
         "pairs": counts[1][1],
@@ -431,11 +504,12 @@ class Model:
         m = self.meta
         order, cut = m["order"], [np.array([0.0, *d]) for d in m["discounts"]]
         word, number, count = self.stored.numbered(own)
+        number = np.minimum(number, UNKNOWN >> np.uint32(32 - m["width"]))  # the largest of that width is no word's
         words, first = ngrams(number[word], bounds, order), np.full((order, 1), START)
 
         def stored(level, grams):
             """Of n-grams each one's place among the different ones, and of these the counts."""
-            group, _, _, found = self.stored.of(level, gram_key(grams), grams[2:], 1 if level == order else 5)
+            group, _, _, found = self.stored.of(level, *keyed(grams, m["width"]), 1 if level == order else 5)
             return group, found
 
         def as_context(level, found):

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import random
 import re
 import string
@@ -144,6 +145,51 @@ def test_key_of_a_context(level):
     assert (L.context_key(L.gram_key(words), words[-1]) == L.gram_key(words[:-1])).all()
 
 
+@pytest.mark.parametrize("width", [1, 5, 21, 22, 24, 25, 29, 30, 32])
+@pytest.mark.parametrize("level", [1, 2, 3, 4, 5])
+def test_words_from_keys_and_tails(level, width):
+    """Words of few bits fill 64, so that of the third only what is left stands in the tails, in as few bytes as hold it."""
+    words = np.random.default_rng(level).integers(0, 1 << width, (level, 1000), dtype=np.uint32)
+    words[:, 0], words[:, 1] = 0, (1 << width) - 1
+    key, tails = L.keyed(words, width)
+    raw = L._tail_bytes(tails, L.third_type(width))
+    assert len(raw) == 1000 * (0 if level < 3 else (1 if width <= 24 else 2 if width <= 26 else 4) + 4 * (level - 3))
+    tails = np.array(L._tails(raw, 1000, max(0, level - 2)), np.uint32).reshape(-1, 1000)
+    assert (L.unkeyed(key, tails, level, width) == words).all()
+    if level > 3:
+        assert (L.context_key(key, tails[-1]) == L.keyed(words[:-1], width)[0]).all()
+
+
+def test_numbers_of_words_have_room():
+    """Of the numbers of a width the largest is for words not in training."""
+    for distinct in (0, 1, 2, 5, 6, 7, 1 << 20, 0xFFFFFFFE):
+        unknown = int(L.UNKNOWN >> np.uint32(32 - L.width_of(distinct)))
+        assert unknown > distinct and unknown <= 2 * distinct + 1
+
+
+@pytest.mark.parametrize("rounds", [1, 3, 4, 50])
+def test_each_bucket_has_one_round(rounds):
+    key = np.sort(np.concatenate([np.random.default_rng(1).integers(0, 1 << 64, 5000, np.uint64), np.array([0, (1 << 64) - 1, 1 << 59, (1 << 59) - 1], np.uint64)]))
+    parts = [L._in_round(key, 5, rounds, number) for number in range(rounds)]
+    assert np.concatenate(parts).tolist() == list(range(len(key)))
+    held = [{bucket for bucket, *_ in L._by_bucket(key[part], 5)} for part in parts]
+    assert sum(map(len, held)) == len(set().union(*held)) == 32
+    assert list(L._by_bucket(key[-3:], 5)) == [(31, 0, 3)] and not list(L._by_bucket(key[:0], 5))
+
+
+def test_stored_ngrams_are_small_and_read_seldom(docs, tmp_path, monkeypatch):
+    """A triple takes ten bytes where words have up to 24 bits; files are read once a round, for words in half of the rounds."""
+    told, tell = [], L._tell
+    monkeypatch.setattr(L, "_tell", lambda folder, bits, level, *more: told.append(level) or tell(folder, bits, level, *more))
+    folder = L.fit(docs, str(tmp_path / "model"), rounds=4)
+    assert told == [3] * 4 + [2] * 2
+    stored, meta = L.Stored(folder, L.LEAST_BITS), L.Model(folder).meta
+    held = [(f"{tmp_path}/model/grams3-{b:06d}", stored.file(3, b)) for b in range(1 << L.LEAST_BITS) if stored.file(3, b)]
+    assert meta["width"] <= 24 and sum(len(keys) for _, (keys, *_) in held) > 5000
+    for path, (keys, _, _, many, _) in held:
+        assert os.path.getsize(path) == 32 + 10 * len(keys) + 16 * len(many)
+
+
 def test_words_are_looked_up_once(docs, rows, monkeypatch):
     """Single words are found by the different words of a slice, not by its tokens; what is found is the same."""
     folder, asked, of = L.fit(docs), {}, L.Stored.of
