@@ -213,6 +213,13 @@ def test_ngrams_of_one_hash():
     assert np.diff(np.append(heads, 5)).tolist() == [2, 1, 2]
 
 
+def test_sums_of_groups():
+    key, columns = np.array([7, 5, 7, 7, 5], np.uint64), [np.array([1, 2, 3, 4, 1 << 40]), np.arange(5)]
+    order, heads = L._grouped(key)
+    assert L._sums(columns, order, heads).tolist() == [[(1 << 40) + 2, 5], [8, 5]]
+    assert L._sums([c[:0] for c in columns], *L._grouped(key[:0])).shape == (0, 2)
+
+
 def test_numbers_above_a_byte():
     n = np.array([[0, 254], [255, 256], [1, 1 << 40]])
     assert L.unpacked(L.packed(n), 6).reshape(3, 2).tolist() == n.tolist()
