@@ -1,18 +1,19 @@
 """Unit-price model: features, split by time, boosted trees, median baseline, importance, scoring."""
 
+import functools
 import random
 from typing import NamedTuple
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from darwise import values as V
 from darwise.functions.text import month_index, month_start
-from darwise.operators import trees
+from darwise.operators import boosting, trees
 from darwise.operators.median import grouped_median
-from darwise.sources.scratch import scratch_folder, stored
+from darwise.sources.scratch import stored
 
 _TARGET = "sale_price_sar"
 _EPS = 2.220446049250313e-16  # smallest relative error of a double, the floor of a percentage base
@@ -60,15 +61,6 @@ def _model_input(df: DataFrame) -> DataFrame:
     return df.withColumns({**{c: F.col(c).cast("string") for c in V.PRICE_CATEGORICAL}, **numbers})
 
 
-def _checkpoints(df: DataFrame) -> None:
-    """Boosting cuts its lineage in the folder the cluster names."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = scratch_folder(df.sparkSession)
-        if folder:
-            sc.setCheckpointDir(folder)
-
-
 as_model_input = _model_input
 
 
@@ -85,29 +77,26 @@ def fit_tasks(rows: int) -> int:
 
 def fit_price_model(train: DataFrame, seed: int = 42, iterations: int = V.GBT_ITERATIONS) -> PipelineModel:
     """Boosted trees on log price. Categories unknown to training share one code of their own."""
-    _checkpoints(train)
     data = stored(_model_input(train).select(*V.PRICE_CATEGORICAL, *V.PRICE_NUMERIC, F.log(_TARGET).alias("_log_price")))
+    rows, codes = data.count(), [f"_c_{c}" for c in V.PRICE_CATEGORICAL]
     # Every tree is several passes over the rows: as few tasks as the size of the table asks for.
-    data = data.coalesce(fit_tasks(data.count())).persist()
-    try:
-        codes = [f"_c_{c}" for c in V.PRICE_CATEGORICAL]
-        indexer = category_codes(data)
-        widest = max((len(labels) for labels in indexer.labelsArray), default=0)
-        boosted = GBTRegressor(
-            labelCol="_log_price",
-            featuresCol="_features",
-            predictionCol="_log_prediction",
-            maxIter=iterations,
-            stepSize=V.GBT_STEP,
-            maxDepth=_TREE_DEPTH,
-            minInstancesPerNode=V.GBT_MIN_LEAF,
-            maxBins=max(_BINS, widest + 1),
-            seed=seed,
-        )
-        assembler = VectorAssembler(inputCols=codes + V.PRICE_NUMERIC, outputCol="_features")
-        return Pipeline(stages=[indexer, assembler, boosted]).fit(data)
-    finally:
-        data.unpersist()
+    data = data.coalesce(fit_tasks(rows))
+    indexer = category_codes(data)
+    kinds = [len(labels) + 1 for labels in indexer.labelsArray]
+    boosted = GBTRegressor(
+        labelCol="_log_price",
+        featuresCol="_features",
+        predictionCol="_log_prediction",
+        maxIter=iterations,
+        stepSize=V.GBT_STEP,
+        maxDepth=_TREE_DEPTH,
+        minInstancesPerNode=V.GBT_MIN_LEAF,
+        maxBins=max(_BINS, *kinds),
+        seed=seed,
+    )
+    coding = PipelineModel([indexer, VectorAssembler(inputCols=codes + V.PRICE_NUMERIC, outputCol="_features")])
+    fitted = boosting.fit(boosted, trees.with_vectors(coding, data), rows, kinds + [0] * len(V.PRICE_NUMERIC))
+    return PipelineModel([*coding.stages, fitted])
 
 
 def predict(model: PipelineModel, df: DataFrame, name: str = "predicted") -> DataFrame:
@@ -184,6 +173,7 @@ def _is_prime(n: int) -> bool:
     return n > 1 and all(n % k for k in range(2, int(n**0.5) + 1))
 
 
+@functools.cache
 def permutation(feature: str, repeat: int, seed: int = 42) -> tuple[int, int]:
     """``(a, b)``: row ``i`` of ``n`` takes the value of row ``(a * i + b) % n``; a prime above a billion, so no two rows share a donor."""
     rng = random.Random(f"{seed}-{feature}-{repeat}")

@@ -2,11 +2,15 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from darwise import values as V
-from darwise.operators import pricing as P, trees
+from darwise.operators import boosting, pricing as P, trees
 
 
 @pytest.fixture(scope="module")
@@ -57,3 +61,56 @@ def test_importance_by_its_definition(sold, model):
 def test_tasks_of_a_fit_stay_few():
     assert [P.fit_tasks(n) for n in (0, 50_000, 50_001, 4_500_000, 27_000_000)] == [1, 1, 2, 48, 48]
     assert P.fit_tasks(100_000_000) == 100
+
+
+def nodes(model):
+    return [(weight, root) for weight, _, root in trees.read_trees(model)]
+
+
+def close(a, b):
+    if isinstance(a, float):
+        return a == pytest.approx(b, abs=1e-12)
+    test = a[1] == b[1] if isinstance(a[1], float) else list(a[1]) == list(b[1])
+    return not isinstance(b, float) and a[0] == b[0] and test and close(a[2], b[2]) and close(a[3], b[3])
+
+
+def test_trees_are_those_that_spark_grows(sold):
+    """one task, and several whose tallies the driver adds up; nothing of Spark's own boosting runs over the rows"""
+    data = P.as_model_input(sold).withColumn("_log_price", F.log("sale_price_sar"))
+    coded = PipelineModel([P.category_codes(sold), VectorAssembler(inputCols=[f"_c_{c}" for c in V.PRICE_CATEGORICAL] + V.PRICE_NUMERIC, outputCol="_features")])
+    asked = GBTRegressor(labelCol="_log_price", featuresCol="_features", maxIter=44, stepSize=0.05, maxDepth=4, minInstancesPerNode=10, maxBins=255, seed=42)
+    rows = trees.with_vectors(coded, data).select("_features", "_x", "_log_price").localCheckpoint()
+    kinds = [len(x) + 1 for x in coded.stages[0].labelsArray] + [0] * len(V.PRICE_NUMERIC)
+    own = nodes(asked.fit(rows))
+    for parts in (1, 3):
+        made = boosting.fit(asked, rows.coalesce(parts), 1500, kinds)
+        assert made.getNumTrees == 44 and made.numFeatures == len(kinds)
+        assert all(w == v and close(a, b) for (w, a), (v, b) in zip(nodes(made), own, strict=True)), parts
+    with pytest.raises(Exception, match="must not be null"):
+        boosting.fit(asked, rows.withColumn("_log_price", F.when(F.rand(1) < 0.9, F.col("_log_price"))).coalesce(1), 1500, kinds)
+
+
+def test_bounds_split_rows_into_equal_parts():
+    values, counts = np.arange(1000.0), np.ones(1000, int)
+    bounds = boosting.split_points(values, counts, 9)
+    assert len(bounds) == 9 and np.diff(bounds) == pytest.approx([100] * 8)
+    assert list(boosting.split_points(np.array([1.0, 4.0, 5.0]), np.array([9, 1, 1]), 9)) == [2.5, 4.5]
+
+
+def test_trees_of_many_leaves():
+    """leaves as bits of a number, beyond 16, and trees that have more of them than it has bits"""
+    rng = np.random.default_rng(3)
+
+    def grown(depth):
+        if not depth:
+            return float(rng.normal())
+        feature = int(rng.integers(0, 3))
+        return feature, rng.random(5) < 0.5 if feature == 2 else float(rng.integers(0, 6)), grown(depth - 1), grown(depth - 1)
+
+    many = [(0.5, {0, 1, 2}, grown(depth)) for depth in (0, 2, 4, 5, 7)]
+    x = np.array([rng.integers(0, 7, 500) / 1.0, rng.integers(-1, 7, 500) / 2, rng.integers(0, 5, 500) / 1.0])
+    bounds, made = trees.tables(many, 3)
+    assert [values is None for values, _ in made] == [False] * 4 + [True]
+    for (weight, _, root), (values, by_feature) in zip(many, made):
+        got = trees._value(values, by_feature, trees._places(bounds, x), x)
+        assert np.broadcast_to(got, 500).tolist() == np.broadcast_to(weight * trees.tree_values(root, x), 500).tolist()
